@@ -276,20 +276,20 @@ _ODD = "list_has_any(string_split(replace({0}, 'gs://', ''), '/'), ['', '.', '..
         """docs AS (SELECT o_orderkey,
             CASE WHEN json_valid(conf) THEN CAST(conf AS JSON) END AS doc FROM requests)""",
         f"""fields AS (SELECT *, {_text_sql('qa_prefix')} AS prefix,
-            list_filter([{', '.join(_text_sql(k) for k in _PATH_KEYS)}], x -> x IS NOT NULL)
+            list_filter([{', '.join(_text_sql(k) for k in _PATH_KEYS)}], lambda x: x IS NOT NULL)
               AS paths,
             json_type(doc, '$.candidates_per_user') AS kind,
             trim(doc->>'candidates_per_user') AS raw,
             coalesce(json_keys(doc), []) AS keys FROM docs)""",
         f"""judged AS (SELECT *,
-            list_sort(list_filter(keys, k -> k NOT IN ('partition_date', 'overwrite',
+            list_sort(list_filter(keys, lambda k: k NOT IN ('partition_date', 'overwrite',
               'candidates_per_user', 'qa_prefix', {', '.join(f"'{k}'" for k in _PATH_KEYS)})))
               AS unknown,
             list_has_any(keys, ['candidates_per_user', 'qa_prefix',
               {', '.join(f"'{k}'" for k in _PATH_KEYS)}]) AS trial,
             {_ODD.format('prefix')} AS prefix_odd,
-            len(list_filter(paths, p -> {_ODD.format('p')})) > 0 AS path_odd,
-            len(list_filter(paths, p -> NOT starts_with(p, prefix || '/'))) > 0 AS outside,
+            len(list_filter(paths, lambda p: {_ODD.format('p')})) > 0 AS path_odd,
+            len(list_filter(paths, lambda p: NOT starts_with(p, prefix || '/'))) > 0 AS outside,
             kind IN ('UBIGINT', 'BIGINT')
               OR (kind = 'VARCHAR' AND regexp_full_match(raw, '[0-9]+')) AS whole
           FROM fields)""",

@@ -97,8 +97,10 @@ mine AS (
   WHERE in_category <= 17),
 shared AS (
   SELECT user_id, video_id, row_number() OVER (PARTITION BY user_id ORDER BY overall) AS k
-  FROM people, ranked ANTI JOIN mine USING (user_id, video_id)
-  WHERE overall <= 22 QUALIFY k <= 5),
+  FROM people p, ranked r
+  WHERE overall <= 22 AND NOT EXISTS
+    (SELECT 1 FROM mine m WHERE m.user_id = p.user_id AND m.video_id = r.video_id)
+  QUALIFY k <= 5),
 taken AS (SELECT user_id, video_id FROM mine UNION ALL SELECT user_id, video_id FROM shared),
 walked AS (
   SELECT p.user_id, r.video_id,

@@ -192,7 +192,7 @@ def missing(spark: SparkSession, sf: str) -> DataFrame:
     with_ctes(
         """SELECT dt, max(validated_at) AS ready_at
         FROM (SELECT dt, event_type, min(event_timestamp) AS validated_at FROM log
-              WHERE event_type IN ('impression', 'click', 'view') AND value > 120
+              WHERE event_type IN ('impression', 'click', 'view') AND value > 200
               GROUP BY dt, event_type)
         GROUP BY dt HAVING count(*) = 3""",
         s.LOG,
@@ -201,7 +201,7 @@ def missing(spark: SparkSession, sf: str) -> DataFrame:
 def ready(spark: SparkSession, sf: str) -> DataFrame:
     """Days on which each of three tables has an update; events above a value stand
     in for updates, so that some days lack one."""
-    ledger = s.action_log(spark, sf).where(F.col("value") > 120)
+    ledger = s.action_log(spark, sf).where(F.col("value") > 200)
     ledger = ledger.select(
         F.col("event_type").alias("table_name"), "dt", F.col("event_timestamp").alias("validated_at")
     )

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
 from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.operators import quality as q
+from tidelake.operators.features import EVENT_TYPES
 from tidelake.session import scratch
 from tidelake.sources.sink import backfill, split_quarantine, tag_quarantine, write_quarantine
 
@@ -198,11 +199,13 @@ def orphan_users(spark: SparkSession, sf: str) -> DataFrame:
     return q.orphans(s.faulty_log(spark, sf), s.users(spark, sf), "user_id")
 
 
-RULES = {
-    "unknown event type": ~F.col("event_type").isin("impression", "click", "view", "like"),
-    "missing user": F.col("user_id").isNull(),
-    "negative video": F.col("video_id") < 0,
-}
+def rules() -> dict[str, Column]:
+    return {
+        "unknown event type": ~F.col("event_type").isin(*EVENT_TYPES),
+        "missing user": F.col("user_id").isNull(),
+        "negative video": F.col("video_id") < 0,
+    }
+
 
 _REASONS = """concat_ws('; ',
     CASE WHEN event_type = 'error' THEN 'unknown event type' END,
@@ -222,7 +225,7 @@ _REASONS = """concat_ws('; ',
 def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
     """Good rows to Parquet, bad ones to JSON lines, both read back."""
     good_base, bad_base = scratch(spark, "good"), scratch(spark, "quarantine")
-    good, bad = split_quarantine(s.faulty_log(spark, sf), RULES)
+    good, bad = split_quarantine(s.faulty_log(spark, sf), rules())
     backfill(good, good_base)
     write_quarantine(bad, bad_base)
     kept = spark.read.parquet(good_base).select(
@@ -251,5 +254,5 @@ def quarantine_split(spark: SparkSession, sf: str) -> DataFrame:
 )
 def quarantine_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """The limit is set so that some days pass and some do not."""
-    tagged = tag_quarantine(s.faulty_log(spark, sf), RULES)
+    tagged = tag_quarantine(s.faulty_log(spark, sf), rules())
     return q.quarantine_ratio(tagged, 0.22).withColumn("bad_ratio", F.round("bad_ratio", 9))

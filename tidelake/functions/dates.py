@@ -28,6 +28,11 @@ def kst_midnight(day: Column) -> Column:
     return F.convert_timezone(F.lit(LOCAL_ZONE), F.lit("UTC"), day.cast("timestamp_ntz"))
 
 
+def instant(ts: Column) -> Column:
+    """UTC wall clock as an instant, the type watermarks ask for, in any session zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
 def dt_compact(day: Column) -> Column:
     """Partition id ``YYYYMMDD``."""
     return F.date_format(day, "yyyyMMdd")

@@ -78,7 +78,7 @@ def safe_url(url: Column) -> Column:
     cleaned = F.regexp_replace(
         F.regexp_replace(url, F.lit(r"[\t\r\n]"), F.lit("")), F.lit(r"^[\x{00}- ]+"), F.lit("")
     )
-    authority = F.regexp_extract(cleaned, F.lit(r"^[^:/?#]+://([^/?#]*)"), F.lit(1))
+    authority = F.regexp_extract(cleaned, r"^[^:/?#]+://([^/?#]*)", 1)
     brackets_match = F.contains(authority, F.lit("[")) == F.contains(authority, F.lit("]"))
     accepted = (
         F.regexp_like(cleaned, F.lit(r"^(?i)https?:"))

@@ -26,7 +26,7 @@ def _bucket(rest: Column) -> Column:
 
 
 def _path(rest: Column) -> Column:
-    return F.regexp_extract(rest, F.lit(r"(?s)^[^/]*/(.*)$"), F.lit(1))
+    return F.regexp_extract(rest, r"(?s)^[^/]*/(.*)$", 1)
 
 
 def has_odd_segment(path: Column) -> Column:
@@ -71,10 +71,10 @@ def audit_objects(df: DataFrame, uri_col: str = "uri", strict: bool = False) ->
     normal = (F.col("_bucket") != "") & (path != "") & ~has_odd_segment(path)
     if strict:
         normal = normal & ~F.contains(uri, F.lit("\\"))
-    day = F.regexp_extract(path, F.lit(rf"(?:^|/){DAY_FOLDER}/"), F.lit(1)).try_cast("date")
-    before = F.regexp_extract(path, F.lit(rf"^(?:(.*?)/)?{DAY_FOLDER}/"), F.lit(1))
-    inside = F.regexp_extract(path, F.lit(rf"(?:^|/){DAY_FOLDER}/(.*)$"), F.lit(2))
-    folder = F.regexp_extract(path, F.lit("^(.*)/[^/]*$"), F.lit(1))
+    day = F.regexp_extract(path, rf"(?:^|/){DAY_FOLDER}/", 1).try_cast("date")
+    before = F.regexp_extract(path, rf"^(?:(.*?)/)?{DAY_FOLDER}/", 1)
+    inside = F.regexp_extract(path, rf"(?:^|/){DAY_FOLDER}/(.*)$", 2)
+    folder = F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
     def inside_is(form: str) -> Column:
         return F.col("dt").isNotNull() & F.regexp_like(inside, F.lit(f"^(?:{form})$"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidelake.functions.dates import kst_date, kst_midnight
+from tidelake.functions.dates import instant, kst_date, kst_midnight
 from tidelake.operators.attribution import CLICK_WINDOW_SECONDS, attribute_clicks
 from tidelake.plans.raw_load import RawTable, load_days
 from tidelake.sources.fs import SharedFs
@@ -99,7 +99,8 @@ def stream_dedup(
     log: DataFrame, key: str = "event_id", ts: str = "event_timestamp", delay: str = "2 days"
 ) -> DataFrame:
     """First copy of each event; state older than the delay is dropped."""
-    return log.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
+    timed = log.withColumn("_at", instant(F.col(ts))).withWatermark("_at", delay)
+    return timed.dropDuplicatesWithinWatermark([key]).drop("_at")
 
 
 def upsert_stream(
@@ -129,9 +130,10 @@ def daily_ctr(log: DataFrame, ts: str = "event_timestamp", delay: str = "2 days"
     """
     clicks = F.count_if(F.col("event_type") == "click")
     impressions = F.count_if(F.col("event_type") == "impression")
-    day = F.window(ts, "1 day", startTime="15 hours")
+    day = F.window("_at", "1 day", startTime="15 hours")
     return (
-        log.withWatermark(ts, delay)
+        log.withColumn("_at", instant(F.col(ts)))
+        .withWatermark("_at", delay)
         .groupBy(day)
         .agg(
             clicks.alias("clicks"),
@@ -139,7 +141,7 @@ def daily_ctr(log: DataFrame, ts: str = "event_timestamp", delay: str = "2 days"
             F.try_divide(clicks, impressions).alias("ctr"),
         )
         .select(
-            kst_date(F.col("window.start")).alias("dt"),
+            kst_date(F.col("window.start"), source_zone=None).alias("dt"),
             "clicks",
             "impressions",
             "ctr",
