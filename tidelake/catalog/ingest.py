@@ -45,13 +45,13 @@ _PER_DAY = "SELECT dt, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum
 @query("canonical_scan", with_ctes(f"{_PER_DAY} FROM log GROUP BY dt", s.LOG))
 def canonical_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every day of a lake in which left-over copies and shard folders lie around."""
-    base = _lake(spark, sf, "canonical")
+    base, twin = _lake(spark, sf, "canonical"), _lake(spark, sf, "twin")
     fs = SharedFs(spark, base)
-    for day in partitions(spark, base):
-        folder = partition_path(base, day)
-        part = next(n for n in fs.names(folder) if n.startswith("part-"))
-        fs.copy(f"{folder}/{part}", f"{folder}/part-0.parquet.staging-0f6a43ed")
-        fs.copy(f"{folder}/{part}", f"{folder}/shard=001/part-0.parquet")
+    strays = ("part-0.parquet.staging-0f6a43ed", "shard=001/part-0.parquet")
+    for n, day in enumerate(partitions(spark, base)):
+        copy = next(f for f in fs.names(partition_path(twin, day)) if f.startswith("part-"))
+        stray = f"{partition_path(base, day)}/{strays[n % 2]}"
+        fs.rename(f"{partition_path(twin, day)}/{copy}", stray)
     return _per_day(read_lake(spark, base, schema=schemas.ACTION_LOG))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ HOST = r"(?:\[[0-9a-f:.]+\]|[a-z0-9.-]+)"
 DEFAULT_REASON = "see the task log for the cause"
 
 # Every character that counts as white space or as part of a word in Unicode text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(
+    chr(c) for c in (*range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+)
 SPACE = r"\s\x{1c}-\x{1f}"
 WORD = r"\p{L}\p{N}_"
 _FLAGS = "(?iU)"
@@ -38,21 +44,35 @@ _NAMED = (
 )
 _BEARER = rf"{_FLAGS}(?<![{WORD}])(Bearer[{SPACE}]+)[^,;{SPACE}]+"
 
-# Order matters: an authority is cleaned before a named value can swallow it.
-_STEPS = (
-    (_URI_PASSWORD, f"$1{MARK}@"),
-    (_URI_TOKEN, f"$1{MARK}$2"),
-    (_QUOTED, f"$1{MARK}$3"),
-    (_NAMED, f"$1{MARK}"),
-    (_BEARER, f"$1{MARK}"),
-)
+# Letters outside ASCII that case-insensitive matching takes for s, k and i.
+_FOLD = ("\u017f\u212a\u0130\u0131", "skii")
 
 
-def redact(text: Column, max_length: int | None = TEXT_LIMIT) -> Column:
-    """Hide known credential forms in the whole text, then cut to ``max_length``."""
-    for pattern, replacement in _STEPS:
+def _replaced(text: Column, *steps: tuple[str, str]) -> Column:
+    for pattern, replacement in steps:
         text = F.regexp_replace(text, F.lit(pattern), F.lit(replacement))
-    return text if max_length is None else F.left(text, F.lit(max_length))
+    return text
+
+
+def redact(text: Column, max_length: int | None = TEXT_LIMIT) -> Column:
+    """Hide known credential forms in the whole text, then cut to ``max_length``.
+
+    Order matters: an authority is cleaned before a named value can swallow it. Plain
+    substring tests keep the patterns away from texts that cannot match them.
+    """
+    folded = F.lower(F.translate(text, *_FOLD))
+    has_name = reduce(or_, [F.contains(folded, F.lit(n)) for n in SECRET_NAMES.split("|")])
+    uri = ((_URI_PASSWORD, f"$1{MARK}@"), (_URI_TOKEN, f"$1{MARK}$2"))
+    named = ((_QUOTED, f"$1{MARK}$3"), (_NAMED, f"$1{MARK}"))
+    gates = (
+        (F.contains(text, F.lit("://")), uri),
+        (has_name, named),
+        (F.contains(folded, F.lit("bearer")), ((_BEARER, f"$1{MARK}"),)),
+    )
+    clean = text
+    for possible, steps in gates:
+        clean = F.when(possible, _replaced(clean, *steps)).otherwise(clean)
+    return clean if max_length is None else F.left(clean, F.lit(max_length))
 
 
 def escape(text: Column) -> Column:
@@ -67,9 +87,14 @@ def collapse_space(text: Column) -> Column:
     return F.trim(one_space)
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at either end."""
+    return F.trim(text, F.lit(WHITE))
+
+
 def is_blank(text: Column) -> Column:
     """NULL, empty or white space only."""
-    return text.isNull() | ~F.regexp_like(text, F.lit(rf"(?U)[^{SPACE}]"))
+    return text.isNull() | (strip(text) == "")
 
 
 def safe_url(url: Column) -> Column:

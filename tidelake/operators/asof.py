@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tidelake.functions.dates import time_bucket
 from tidelake.functions.predicates import any_null, none_null
 
-HOUR = 3_600
+BUCKET_SECONDS = 10 * 60
 
 _SEED, _RIGHT, _LEFT = 0, 1, 2
 
@@ -30,7 +30,7 @@ def pit_join(
     ts: str = "event_timestamp",
     view_ts: str = "event_timestamp",
     prefix: str = "",
-    bucket_seconds: int = HOUR,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Left as-of join. Adds ``<prefix>event_timestamp`` and the prefixed features.
 

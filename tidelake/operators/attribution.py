@@ -16,9 +16,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.dates import DAY_SECONDS, time_bucket
-from tidelake.functions.predicates import any_null
+from tidelake.functions.predicates import any_null, none_null
 
 CLICK_WINDOW_SECONDS = 30 * 60
+BUCKET_SECONDS = 5 * 60
 
 
 def two_day_slice(log: DataFrame, day: date) -> DataFrame:
@@ -31,42 +32,48 @@ def attribute_clicks(
     keys: Sequence[str] = ("user_id", "video_id"),
     window_seconds: int = CLICK_WINDOW_SECONDS,
     day: date | None = None,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Impressions with ``label`` 0/1; of one day, or of every day when none is named.
 
-    Rows are grouped by key and a time slot as long as the window, and each row is
-    also shown to the slot before its own, where the impressions it may answer are.
-    A key with a third of all rows is thereby spread over its slots.
+    Rows meet per key and short time bucket, so a key with a third of all rows is
+    spread over its buckets however wide the click window is. If the first row after
+    a bucket is a click, a copy of it closes the bucket.
     """
     if not 0 < window_seconds <= DAY_SECONDS:
         raise ValueError("the window must lie within one day, as D and D+1 are read")
     keys = list(keys)
-    rows = log.where(F.col("event_type").isin("impression", "click"))
+    log = log.where(F.col("event_type").isin("impression", "click"))
     if day is not None:
-        rows = two_day_slice(rows, day)
-    slot = time_bucket(rows, "event_timestamp", window_seconds)
-    entity = dict.fromkeys(["event_id", "user_id", "video_id", *keys])
-    slotted = (
-        rows.select(
-            *entity, "event_timestamp", "dt", (F.col("event_type") == "click").alias("_click"),
-            slot.alias("_own"),
+        log = two_day_slice(log, day)
+    entity = list(dict.fromkeys(["event_id", "user_id", "video_id", *keys]))
+    no_key = any_null(keys)
+    bucket = time_bucket(log, "event_timestamp", bucket_seconds)
+    rows = (
+        log.select(
+            *entity,
+            "event_timestamp",
+            "dt",
+            (F.col("event_type") == "click").alias("_click"),
+            # a hash spreads the impressions without a key, which nothing can follow
+            F.when(no_key, F.xxhash64("event_id")).otherwise(bucket).alias("_bucket"),
         )
-        # a click without a key answers nothing, an impression without one gets none
-        .where(~any_null(keys) | ~F.col("_click"))
-        .withColumn("_own", F.when(any_null(keys), F.xxhash64("event_id")).otherwise(F.col("_own")))
-        .withColumn("_slot", F.explode(F.array("_own", F.col("_own") - 1)))
+        .where(~(no_key & F.col("_click")))
     )
-    order = Window.partitionBy(*keys, "_slot").orderBy("event_timestamp", "_click", "event_id")
+    closing = _closing_clicks(rows.where(none_null(keys)), keys)
+    order = Window.partitionBy(*keys, "_bucket").orderBy("event_timestamp", "_click", "event_id")
     following = F.lead(F.struct("_click", "event_timestamp")).over(order)
-    labelled = slotted.withColumn("_next", following).where(
-        ~F.col("_click") & (F.col("_slot") == F.col("_own"))
+    labelled = (
+        rows.unionByName(closing, allowMissingColumns=True)
+        .withColumn("_next", following)
+        .where(~F.col("_click"))
     )
     if day is not None:
         labelled = labelled.where(F.col("dt") == F.lit(day))
     in_window = F.col("_next.event_timestamp") <= F.col("event_timestamp") + F.make_dt_interval(
         secs=F.lit(window_seconds)
     )
-    hit = F.col("_next._click") & in_window & ~any_null(keys)
+    hit = F.col("_next._click") & in_window & none_null(keys)
     return labelled.select(
         *entity,
         "event_timestamp",
@@ -75,6 +82,27 @@ def attribute_clicks(
     )
 
 
+def _closing_clicks(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each (key, bucket) the first row of the next bucket in use, if a click.
+
+    Works on the earliest click and impression times of each bucket, which the map
+    tasks reduce before the shuffle; a key has at most one row per bucket.
+    """
+    at = F.col("event_timestamp")
+    firsts = rows.groupBy(*keys, "_bucket").agg(
+        F.min(F.when(F.col("_click"), at)).alias("_first_click"),
+        F.min(F.when(~F.col("_click"), at)).alias("_first_impression"),
+    )
+    later = Window.partitionBy(*keys).orderBy("_bucket")
+    upcoming = firsts.select(
+        *keys, "_bucket", F.lead(F.struct("_first_click", "_first_impression")).over(later).alias("_n")
+    )
+    click, impression = F.col("_n._first_click"), F.col("_n._first_impression")
+    return upcoming.where(click.isNotNull() & (impression.isNull() | (click < impression))).select(
+        *keys, "_bucket", click.alias("event_timestamp"), F.lit(True).alias("_click")
+    )
+
+
 def label_rate(spine: DataFrame, by: str = "dt") -> DataFrame:
     """Rows, positives and label rate per day; a day without positives shows up."""
     return spine.groupBy(by).agg(

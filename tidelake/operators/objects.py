@@ -31,7 +31,7 @@ def _path(rest: Column) -> Column:
 
 def has_odd_segment(path: Column) -> Column:
     """True when a path has an empty, ``.`` or ``..`` segment."""
-    return F.exists(F.split(path, "/"), lambda s: s.isin("", ".", ".."))
+    return F.regexp_like(path, F.lit(r"(?:^|/)\.{0,2}(?:/|\z)"))
 
 
 def split_base_path(uri: Column) -> Column:

@@ -6,13 +6,16 @@ then have to name every path, all different, all inside one run-specific prefix.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelake.functions.predicates import messages
-from tidelake.functions.redact import collapse_space, is_blank
+from tidelake.functions.redact import is_blank, strip
 from tidelake.operators.objects import SCHEME, has_odd_segment, is_strict_path
 
 PREFIX = "qa_prefix"
@@ -64,12 +67,7 @@ def _text(doc: Column, key: str) -> Column:
     """Trimmed value of a key if it is a non-blank string."""
     raw = F.try_variant_get(doc, f"$.{key}", "string")
     is_text = (json_type(doc, key) == "STRING") & ~is_blank(raw)
-    return F.when(is_text, collapse_edges(raw))
-
-
-def collapse_edges(text: Column) -> Column:
-    """Text without white space at either end."""
-    return F.regexp_replace(text, F.lit(r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"), F.lit(""))
+    return F.when(is_text, strip(raw))
 
 
 def _is_normal(path: Column, kind: RequestKind) -> Column:
@@ -78,6 +76,11 @@ def _is_normal(path: Column, kind: RequestKind) -> Column:
     return ~has_odd_segment(F.regexp_replace(path, F.lit(f"^{SCHEME}"), F.lit("")))
 
 
+def _any(conditions: Iterable[Column]) -> Column:
+    """True if one of the conditions is true; NULLs count as false."""
+    return reduce(or_, [F.coalesce(c, F.lit(False)) for c in conditions])
+
+
 def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") -> DataFrame:
     """Add ``errors``, in the order in which a run would stop at them."""
     doc = F.col("_doc")
@@ -92,40 +95,41 @@ def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") ->
     prefix = F.col(named[PREFIX])
     paths = [F.col(named[k]) for k in kind.paths]
     trial_keys = kind.allowed if kind.strict else (PREFIX, COUNT, *kind.paths)
-    is_trial = F.arrays_overlap("_keys", F.array(*[F.lit(k) for k in trial_keys]))
-    unknown = F.array_sort(F.array_except("_keys", F.array(*[F.lit(k) for k in kind.allowed])))
-    present = F.array_compact(F.array(*paths))
-    outside = [p.isNotNull() & prefix.isNotNull() & ~F.startswith(p, F.concat(prefix, F.lit("/"))) for p in paths]
-    odd = [p.isNotNull() & ~_is_normal(p, kind) for p in paths]
-
-    def any_of(conditions: list[Column]) -> Column:
-        return F.array_contains(F.array(*[F.coalesce(c, F.lit(False)) for c in conditions]), True)
-
-    in_namespace = F.regexp_like(
-        F.regexp_replace(prefix, F.lit(f"^{SCHEME}"), F.lit("")), F.lit(kind.namespace)
-    )
+    bare_prefix = F.regexp_replace(prefix, F.lit(f"^{SCHEME}"), F.lit(""))
+    flags = {
+        "_trial": F.arrays_overlap("_keys", F.array(*[F.lit(k) for k in trial_keys])),
+        "_unknown": F.array_except("_keys", F.array(*[F.lit(k) for k in kind.allowed])),
+        "_given": F.array_compact(F.array(*paths)),
+        "_normal": _is_normal(prefix, kind),
+        "_reserved": F.regexp_like(bare_prefix, F.lit(kind.namespace)),
+        "_odd": _any(p.isNotNull() & ~_is_normal(p, kind) for p in paths),
+        "_outside": _any(~F.startswith(p, F.concat(prefix, F.lit("/"))) for p in paths),
+    }
+    parsed = parsed.withColumns(flags)
+    trial, normal = F.col("_trial"), F.col("_normal")
+    unknown = F.array_join(F.sort_array("_unknown"), ", ")
+    given = F.size("_given")
     cases = [
         (doc.isNull() | ~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), "not a JSON object"),
-        (F.size(unknown) > 0, F.concat(F.lit("unsupported keys: "), F.array_join(unknown, ", "))),
-        (is_trial & prefix.isNull(), "qa_prefix is missing"),
-        (is_trial & prefix.isNotNull() & ~_is_normal(prefix, kind), "qa_prefix is not normalized"),
-        (
-            is_trial & prefix.isNotNull() & _is_normal(prefix, kind) & ~in_namespace,
-            "qa_prefix is outside its namespace",
-        ),
-        (is_trial & any_of([p.isNull() for p in paths]), "paths are missing"),
-        (is_trial & (F.size(F.array_distinct(present)) < F.size(present)), "paths are not distinct"),
-        (is_trial & any_of(odd), "path is not normalized"),
-        (is_trial & any_of(outside), "path is outside qa_prefix"),
+        (F.size("_unknown") > 0, F.concat(F.lit("unsupported keys: "), unknown)),
+        (trial & prefix.isNull(), "qa_prefix is missing"),
+        (trial & ~normal, "qa_prefix is not normalized"),
+        (trial & normal & ~F.col("_reserved"), "qa_prefix is outside its namespace"),
+        (trial & (given < len(paths)), "paths are missing"),
+        (trial & (F.size(F.array_distinct("_given")) < given), "paths are not distinct"),
+        (trial & F.col("_odd"), "path is not normalized"),
+        (trial & F.col("_outside"), "path is outside qa_prefix"),
     ]
     if COUNT in kind.other_keys:
         cases += _count_cases(doc)
-    return parsed.withColumn("errors", messages(*cases)).drop("_doc", "_keys", *named.values())
+    return parsed.withColumn("errors", messages(*cases)).drop(
+        "_doc", "_keys", *named.values(), *flags
+    )
 
 
 def _count_cases(doc: Column) -> list[tuple[Column, str]]:
     kind = json_type(doc, COUNT)
-    raw = F.trim(F.try_variant_get(doc, f"$.{COUNT}", "string"))
+    raw = strip(F.try_variant_get(doc, f"$.{COUNT}", "string"))
     is_whole = (kind == "BIGINT") | ((kind == "STRING") & F.regexp_like(raw, F.lit(r"^\d+$")))
     value = raw.try_cast("decimal(38,0)")
     in_range = F.coalesce(value.between(COUNT_MIN, COUNT_MAX), F.lit(False))

@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from tidelake.functions.dates import in_date_window
-from tidelake.operators.asof import HOUR, pit_join, with_static
+from tidelake.operators.asof import BUCKET_SECONDS, pit_join, with_static
 
 
 @dataclass(frozen=True)
@@ -20,7 +20,7 @@ class View:
     key: str
     features: Sequence[str]
     prefix: str
-    bucket_seconds: int = HOUR
+    bucket_seconds: int = BUCKET_SECONDS
 
 
 def training_dataset(

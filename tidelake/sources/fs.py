@@ -33,11 +33,6 @@ class SharedFs:
     def delete(self, path: str) -> None:
         self._fs.delete(self._path(path), True)
 
-    def copy(self, source: str, target: str) -> None:
-        self._jvm.org.apache.hadoop.fs.FileUtil.copy(
-            self._fs, self._path(source), self._fs, self._path(target), False, self._conf
-        )
-
     def create_text(self, path: str, text: str) -> None:
         """Write a new small file; an existing one is an error, not replaced."""
         stream = self._fs.create(self._path(path), False)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from datetime import datetime, timedelta
+from datetime import date, datetime, time, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from tidelake.functions.dates import instant, kst_date, kst_midnight
+from tidelake.functions.dates import LOCAL_ZONE, instant, kst_date
 from tidelake.operators.attribution import CLICK_WINDOW_SECONDS, attribute_clicks
 from tidelake.plans.raw_load import RawTable, load_days
 from tidelake.sources.fs import SharedFs
@@ -37,6 +38,12 @@ def stream_ingest(
     return read_lake_stream(spark, source, table.schema).writeStream.foreachBatch(load)
 
 
+def _end_of_next_day(day: date) -> datetime:
+    """UTC wall clock at which the local day after ``day`` ends."""
+    local = datetime.combine(day + timedelta(days=2), time(), ZoneInfo(LOCAL_ZONE))
+    return local.astimezone(ZoneInfo("UTC")).replace(tzinfo=None)
+
+
 def stream_attribution(
     log: DataFrame,
     landing: str,
@@ -77,20 +84,18 @@ def stream_attribution(
         if not fs.exists(mark):
             fs.create_text(mark, json.dumps(newest.isoformat()))
         done = set(partitions(session, spine))
-        open_days = [d for d in partitions(session, landing) if d not in done]
-        if not open_days:
+        final = [
+            date.fromisoformat(d)
+            for d in partitions(session, landing)
+            if d not in done and _end_of_next_day(date.fromisoformat(d)) <= newest - delay
+        ]
+        if not final:
             return
-        landed = read_lake(session, landing, "batch=*/part-*.parquet")
-        if "batch" in landed.columns:
-            landed = landed.drop("batch")
-        limit = F.lit((newest - delay).isoformat()).cast("timestamp_ntz")
-        first = F.lit(open_days[0]).cast("date")
-        labelled = attribute_clicks(landed.where(F.col("dt") >= first), keys, window_seconds)
-        final = labelled.where(
-            F.col("dt").cast("string").isin(open_days)
-            & (kst_midnight(F.date_add("dt", 2)) <= limit)
+        landed = read_lake(session, landing, "batch=*/part-*.parquet").where(
+            F.col("dt").between(F.lit(final[0]), F.lit(final[-1] + timedelta(days=1)))
         )
-        backfill(final, spine)
+        labelled = attribute_clicks(landed, keys, window_seconds)
+        backfill(labelled.where(F.col("dt").isin(final)), spine)
 
     return log.writeStream.foreachBatch(advance)
 
