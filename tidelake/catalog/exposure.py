@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
-from tidelake.functions.predicates import HASH_SPAN, md5_number
+from tidelake.functions.predicates import HASH_SPAN, any_null, md5_number
 from tidelake.operators.candidates import decide_click, quota_mix, threshold_choice, threshold_sweep
 from tidelake.operators.ranking import first_n_users, top_n
-from tidelake.plans.exposure_log import exposure_events
+from tidelake.plans.exposure_log import exposure_events, publish_day
+from tidelake.session import scratch
+from tidelake.sources.lake import read_partition
 
 GRID = [round(0.1 * i, 1) for i in range(1, 21)]
 TARGET = 0.02
@@ -149,11 +151,45 @@ def candidate_mix(spark: SparkSession, sf: str) -> DataFrame:
 def exposure_log(spark: SparkSession, sf: str) -> DataFrame:
     """The log of a day in which every user is shown their candidates; a hash of user
     and video stands in for the ranking service's score."""
+    return _exposed(spark, sf).select("user_id", "video_id", "event_type", "dt")
+
+
+def _exposed(spark: SparkSession, sf: str) -> DataFrame:
     score = md5_number(F.col("user_id"), F.col("video_id"), "score") / F.lit(float(HASH_SPAN))
-    log = exposure_events(
-        _mix(spark, sf).withColumn("score", score), "score", THRESHOLD, s.DAY, s.MODEL
+    scored = _mix(spark, sf).withColumn("score", score)
+    return exposure_events(scored, "score", THRESHOLD, s.DAY, s.MODEL)
+
+
+@query(
+    "exposure_publish",
+    with_ctes(
+        f"""SELECT event_type, count(*) AS events FROM
+          (SELECT unnest(CASE WHEN score >= {THRESHOLD}
+            THEN ['impression', 'click', 'view'] ELSE ['impression'] END) AS event_type
+          FROM (SELECT {_HASH.format("user_id || '|' || video_id || '|score'")} / {HASH_SPAN}.0
+            AS score FROM mix))
+        GROUP BY event_type""",
+        s.LOG,
+        s.VIDEOS,
+        MIX,
+    ),
+)
+def exposure_publish(spark: SparkSession, sf: str) -> DataFrame:
+    """The same log through quarantine, partition write and quality report."""
+    base = scratch(spark, "published")
+    rules = {"missing key": any_null(["event_id", "user_id", "video_id"])}
+    publish_day(
+        _exposed(spark, sf),
+        rules,
+        s.videos(spark, sf),
+        s.users(spark, sf),
+        base,
+        scratch(spark, "set-aside"),
+        s.DAY,
+        s.MODEL,
     )
-    return log.select("user_id", "video_id", "event_type", "dt")
+    stored = read_partition(spark, base, s.DAY)
+    return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _scored_events(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,8 +7,14 @@ from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
+from tidelake.operators import attribution
 from tidelake.operators.asof import with_static
 from tidelake.operators.features import daily_activity, trailing
+from tidelake.plans.feature_build import build_entity, build_snapshots
+from tidelake.session import scratch
+from tidelake.sources import schemas
+from tidelake.sources.lake import read_lake
+from tidelake.sources.sink import backfill
 
 
 @query(
@@ -80,6 +86,46 @@ def static_enrich(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def label_rate(spark: SparkSession, sf: str) -> DataFrame:
-    from tidelake.operators.attribution import label_rate as rate
+    return attribution.label_rate(s.spine(spark, sf)).withColumn("label_rate", F.round("label_rate", 9))
 
-    return rate(s.spine(spark, sf)).withColumn("label_rate", F.round("label_rate", 9))
+
+@query(
+    "daily_feature_build",
+    with_ctes(
+        f"""SELECT 'user_dynamic_feature' AS table_name, count(*) AS rows,
+            CAST(sum(user_id) AS BIGINT) AS key_sum, CAST(sum(clicks) AS BIGINT) AS hits
+          FROM user_features WHERE dt = DATE '{s.DAY}'
+        UNION ALL SELECT 'video_feature', count(*), CAST(sum(video_id) AS BIGINT),
+            CAST(sum(price_rank) AS BIGINT) FROM video_features WHERE dt = DATE '{s.DAY}'
+        UNION ALL SELECT 'training_entity', count(*), CAST(sum(event_id) AS BIGINT),
+            CAST(sum(label) AS BIGINT) FROM spine WHERE dt = DATE '{s.DAY}' - 1""",
+        s.LOG,
+        s.VIDEOS,
+        s.TRENDING,
+        s.spine_sql(),
+        s.USER_FEATURES,
+        s.VIDEO_FEATURES,
+    ),
+)
+def daily_feature_build(spark: SparkSession, sf: str) -> DataFrame:
+    """The three feature tables of one run, from the stored raw layer."""
+    raw, out = scratch(spark, "raw"), scratch(spark, "features")
+    backfill(s.action_log(spark, sf), f"{raw}/log", schema=schemas.ACTION_LOG)
+    backfill(s.trending(spark, sf), f"{raw}/trending")
+    log = read_lake(spark, f"{raw}/log", schema=schemas.ACTION_LOG)
+    build_snapshots(log, read_lake(spark, f"{raw}/trending"), raw, out, s.DAY)
+    build_entity(log, raw, out, s.DAY, ["user_id"], s.WIDE_SECONDS)
+
+    def total(table: str, key: str, hits: str) -> DataFrame:
+        return read_lake(spark, f"{out}/{table}").agg(
+            F.lit(table).alias("table_name"),
+            F.count(F.lit(1)).alias("rows"),
+            F.sum(key).alias("key_sum"),
+            F.sum(hits).alias("hits"),
+        )
+
+    return (
+        total("user_dynamic_feature", "user_id", "clicks")
+        .unionByName(total("video_feature", "video_id", "price_rank"))
+        .unionByName(total("training_entity", "event_id", "label"))
+    )

@@ -13,6 +13,7 @@ from tidelake.operators.asof import pit_join
 from tidelake.operators.attribution import attribute_clicks, require_positives
 from tidelake.operators.evaluation import fit_score
 from tidelake.plans.training import View, training_dataset
+from tidelake.session import cut
 
 _SPINE = ["event_id", "user_id", "video_id", "event_timestamp", "dt", "label"]
 USER_COLUMNS = ["impressions", "clicks", "ctr", "distinct_videos", "top_category"]
@@ -126,8 +127,8 @@ def training_set(spark: SparkSession, sf: str) -> DataFrame:
 @query("train_score")
 def train_score(spark: SparkSession, sf: str) -> DataFrame:
     """Trees fitted on all but the last day of the window score that day."""
-    rows = _dataset(spark, sf)
-    cut = s.WINDOW[1] - timedelta(days=1)
+    rows = cut(_dataset(spark, sf))
+    last = s.WINDOW[1] - timedelta(days=1)
     numeric = [
         "user_impressions",
         "user_clicks",
@@ -138,7 +139,7 @@ def train_score(spark: SparkSession, sf: str) -> DataFrame:
         "video_price_rank",
         "balance",
     ]
-    train = require_positives(rows.where(F.col("dt") <= F.lit(cut)))
-    test = rows.where(F.col("dt") > F.lit(cut))
+    train = require_positives(rows.where(F.col("dt") <= F.lit(last)))
+    test = rows.where(F.col("dt") > F.lit(last))
     scored = fit_score(train, test, numeric, iterations=5)
     return scored.select("event_id", "label", F.round("score", 6).alias("score"))

@@ -113,7 +113,7 @@ def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") ->
         (doc.isNull() | ~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), "not a JSON object"),
         (F.size("_unknown") > 0, F.concat(F.lit("unsupported keys: "), unknown)),
         (trial & prefix.isNull(), "qa_prefix is missing"),
-        (trial & ~normal, "qa_prefix is not normalized"),
+        (trial & prefix.isNotNull() & ~normal, "qa_prefix is not normalized"),
         (trial & normal & ~F.col("_reserved"), "qa_prefix is outside its namespace"),
         (trial & (given < len(paths)), "paths are missing"),
         (trial & (F.size(F.array_distinct("_given")) < given), "paths are not distinct"),

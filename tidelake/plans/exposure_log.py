@@ -18,8 +18,14 @@ from tidelake.operators.quality import (
     enforce,
     quarantine_ratio,
 )
+from tidelake.session import cut
 from tidelake.sources.lake import read_partition
-from tidelake.sources.sink import replace_partition, split_quarantine, tag_quarantine, write_quarantine
+from tidelake.sources.sink import (
+    replace_partition,
+    split_tagged,
+    tag_quarantine,
+    write_quarantine,
+)
 
 
 def exposure_events(
@@ -70,10 +76,12 @@ def publish_day(
     limit: float = MAX_QUARANTINE_RATIO,
 ) -> list[dict]:
     """Publish a day if not too much of it is bad and its quality report is clean."""
-    ratio = quarantine_ratio(tag_quarantine(log, rules), limit).first()
-    if ratio is not None and not ratio.within_limit:
-        raise ValidationError(f"dt={day} quarantine ratio {ratio.bad_ratio:.3f} above {limit}")
-    good, bad = split_quarantine(log, rules)
+    tagged = cut(tag_quarantine(log, rules))
+    over = quarantine_ratio(tagged, limit).where(~F.col("within_limit")).collect()
+    if over:
+        shares = ", ".join(f"dt={r.dt} {r.bad_ratio:.3f}" for r in over)
+        raise ValidationError(f"quarantine ratio above {limit}: {shares}")
+    good, bad = split_tagged(tagged)
     write_quarantine(bad, quarantine)
     replace_partition(good, base, day, overwrite=overwrite)
     stored = read_partition(log.sparkSession, base, day)

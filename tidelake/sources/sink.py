@@ -132,7 +132,11 @@ def tag_quarantine(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def split_quarantine(df: DataFrame, rules: Mapping[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Good rows, and bad rows with their reasons."""
-    tagged = tag_quarantine(df, rules)
+    return split_tagged(tag_quarantine(df, rules))
+
+
+def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The two halves of a frame that has its reasons already."""
     good = tagged.where(F.size("reasons") == 0).drop("reasons")
     return good, tagged.where(F.size("reasons") > 0)
 
