@@ -5,15 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelake.operators.coverage import coverage, ready_dates, write_conflicts
-from tidelake.operators.objects import audit_objects, is_strict_path, split_base_path
-from tidelake.operators.requests import ACTION_LOG, BACKFILL, validate_requests
+from tidelake.operators.objects import audit_objects, is_strict_path, partition_object, split_base_path
+from tidelake.operators.requests import ACTION_LOG, BACKFILL, resolve_requests, validate_requests
 from tidelake.operators.results import audit_results
 
 
 @pytest.mark.parametrize(
     ("uri", "want"),
     [
-        ("gs://my-bucket/data_lake/youtube_trending_kr", ("my-bucket", "data_lake/youtube_trending_kr")),
+        ("gs://my-bucket/data_lake/trending", ("my-bucket", "data_lake/trending")),
         ("gs://my-bucket/data_lake/action_log/", ("my-bucket", "data_lake/action_log")),
         ("", None),
         ("my-bucket/data_lake", None),
@@ -111,7 +111,7 @@ def test_valid_requests(spark, conf):
         ({**QA, "action_log_quarantine_base_path": f"{PREFIX}/final"}, "paths are not distinct"),
         ({**QA, "youtube_base_path": f"{PREFIX}/../youtube"}, "path is not normalized"),
         ({"model_name": "x"}, "unsupported keys: model_name"),
-        ({"shard_count": 1, "openrouter_api_key": "x"}, "unsupported keys: openrouter_api_key, shard_count"),
+        ({"shard_count": 1, "api_key": "x"}, "unsupported keys: api_key, shard_count"),
         ({**QA, "candidates_per_user": 0}, "candidates_per_user is out of range"),
         ({**QA, "candidates_per_user": "201"}, "candidates_per_user is out of range"),
         ({**QA, "candidates_per_user": True}, "candidates_per_user is not an integer"),
@@ -145,6 +145,26 @@ def test_backfill_requests(spark):
         assert error in errors(spark, conf, BACKFILL), conf
 
 
+def test_requests_resolve_to_their_own_paths_or_the_fallbacks(spark):
+    fallbacks = {k: f"gs://prod/{k}" for k in ACTION_LOG.paths}
+    confs = [{}, {**QA, "candidates_per_user": "30"}, {"model_name": "x"}]
+    df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(confs)], "i int, conf string")
+    rows = {r.i: r for r in resolve_requests(df, ACTION_LOG, fallbacks).collect()}
+    assert [rows[0][k] for k in ACTION_LOG.paths] == list(fallbacks.values())
+    assert [rows[1][k] for k in ACTION_LOG.paths] == [QA[k] for k in ACTION_LOG.paths]
+    assert (rows[0].candidates_per_user, rows[1].candidates_per_user) == (24, 30)
+    assert rows[2].errors and all(rows[2][k] is None for k in ACTION_LOG.paths)
+    with pytest.raises(ValueError):
+        resolve_requests(df, ACTION_LOG, {})
+
+
+def test_partition_object(spark):
+    rows = [("gs://b/lake/log/", date(2024, 1, 2)), ("gs://b", date(2024, 1, 2))]
+    df = spark.createDataFrame(rows, "u string, d date")
+    got = [r[0] for r in df.select(partition_object(F.col("u"), F.col("d"))).collect()]
+    assert got == ["lake/log/dt=2024-01-02/part-0.parquet", None]
+
+
 RECORD = {
     "event": "model_promotion_result",
     "contract_version": "model-promotion-result-v1",

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 from datetime import date, datetime, timedelta
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from tidelake.operators.features import daily_activity, trailing, user_dynamic, video_feature
@@ -77,6 +78,16 @@ def test_video_feature_ranks_by_price(spark):
     assert got == {2: (1, 1), 1: (2, 2), 3: (3, 3)}
 
 
+def test_snapshot_beyond_its_bound_stops_the_job(spark):
+    df = spark.range(201).selectExpr(
+        "date'2024-01-01' as dt", "id as video_id", "'a' as category", "1 as size",
+        "double(id) as price", "int(id) as rank",
+    )
+    with pytest.raises(PySparkException, match="more than 200 videos"):
+        video_feature(df).collect()
+    assert video_feature(df.where("video_id < 200")).count() == 200
+
+
 def test_top_n_limits_groups_before_the_shuffle(spark):
     df = spark.range(5000).select((F.col("id") % 3 == 0).alias("g"), "id")
     top = top_n(df, ["g"], [F.desc("id")], 4)

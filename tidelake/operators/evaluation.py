@@ -95,29 +95,34 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     )
 
 
-def promotion_decision(versions: DataFrame, serving_ready: Column | bool = True) -> DataFrame:
-    """One decision per model from its registered versions.
+def latest_candidate(versions: DataFrame) -> DataFrame:
+    """Per model its ``champion`` and its ``candidate`` row, either of them NULL.
 
     The candidate is the newest version above the champion that has a finite metric.
-    Without one the outcome is ``no_candidate``, so deciding again after a promotion
-    changes nothing. Champion and candidate are partial aggregates: a model with very
-    many versions sends one row per task.
+    Both are partial aggregates: a model with very many versions sends one row per
+    task.
     """
-    ready = F.lit(serving_ready) if isinstance(serving_ready, bool) else serving_ready
     metric = F.col(METRIC)
     finite = metric.isNotNull() & ~F.isnan(metric) & (F.abs(metric) != F.lit(float("inf")))
-    fields = F.struct(
-        "version", METRIC, "downsampled", "has_calibration", ready.alias("serving_ready")
-    )
+    fields = F.struct(*[c for c in versions.columns if c != "model_name"])
     is_champion = F.coalesce(F.col("is_champion"), F.lit(False))
     grouped = versions.groupBy("model_name").agg(
-        F.max_by(fields, F.when(is_champion, F.col("version"))).alias("_champion"),
+        F.max_by(fields, F.when(is_champion, F.col("version"))).alias("champion"),
         F.max_by(fields, F.when(~is_champion & finite, F.col("version"))).alias("_newest"),
     )
-    old = F.col("_champion")
-    is_newer = old.isNull() | (F.col("_newest.version") > old["version"])
-    decided = grouped.withColumn("_new", F.when(is_newer, F.col("_newest")))
-    new = F.col("_new")
+    is_newer = F.col("champion").isNull() | (F.col("_newest.version") > F.col("champion.version"))
+    return grouped.select("model_name", "champion", F.when(is_newer, F.col("_newest")).alias("candidate"))
+
+
+def promotion_decision(versions: DataFrame, serving_ready: Column | bool = True) -> DataFrame:
+    """One decision per model from its registered versions.
+
+    Without a candidate the outcome is ``no_candidate``, so deciding again after a
+    promotion changes nothing.
+    """
+    ready = F.lit(serving_ready) if isinstance(serving_ready, bool) else serving_ready
+    decided = latest_candidate(versions.withColumn("serving_ready", ready))
+    old, new = F.col("champion"), F.col("candidate")
     sampled = F.coalesce(new["downsampled"], F.lit(False))
     reason = (
         F.when(new.isNull(), F.lit(None).cast("string"))

@@ -44,6 +44,13 @@ def split_base_path(uri: Column) -> Column:
     return F.when(valid, F.struct(_bucket(rest).alias("bucket"), _path(rest).alias("prefix")))
 
 
+def partition_object(uri: Column, day: Column, file: str = "part-0.parquet") -> Column:
+    """Path of a day's file inside the bucket of a base path, NULL for a bad base."""
+    return F.concat(
+        split_base_path(uri)["prefix"], F.lit("/dt="), day.cast("string"), F.lit(f"/{file}")
+    )
+
+
 def is_strict_path(uri: Column) -> Column:
     """Normalized ``scheme://bucket/path``: no back slash, no odd segment, no slash at the end."""
     rest = _after_scheme(uri)

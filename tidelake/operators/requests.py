@@ -6,7 +6,7 @@ then have to name every path, all different, all inside one run-specific prefix.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -20,8 +20,8 @@ from tidelake.operators.objects import SCHEME, has_odd_segment, is_strict_path
 
 PREFIX = "qa_prefix"
 COUNT = "candidates_per_user"
-# Range of the candidate count.
-COUNT_MIN, COUNT_MAX = 1, 200
+# Range and default of the candidate count.
+COUNT_MIN, COUNT_MAX, DEFAULT_COUNT = 1, 200, "24"
 
 
 @dataclass(frozen=True)
@@ -70,10 +70,20 @@ def _text(doc: Column, key: str) -> Column:
     return F.when(is_text, strip(raw))
 
 
+def _path(doc: Column, key: str, kind: RequestKind) -> Column:
+    """A path as the run would use it; strict requests keep their slash at the end."""
+    text = _text(doc, key)
+    return text if kind.strict else F.rtrim(text, F.lit("/"))
+
+
+def _bare(path: Column) -> Column:
+    """Path without the scheme, which a lax path may leave out."""
+    tail = F.substring(path, len(SCHEME) + 1, 1 << 30)
+    return F.when(F.startswith(path, F.lit(SCHEME)), tail).otherwise(path)
+
+
 def _is_normal(path: Column, kind: RequestKind) -> Column:
-    if kind.strict:
-        return is_strict_path(path)
-    return ~has_odd_segment(F.regexp_replace(path, F.lit(f"^{SCHEME}"), F.lit("")))
+    return is_strict_path(path) if kind.strict else ~has_odd_segment(_bare(path))
 
 
 def _any(conditions: Iterable[Column]) -> Column:
@@ -84,24 +94,20 @@ def _any(conditions: Iterable[Column]) -> Column:
 def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") -> DataFrame:
     """Add ``errors``, in the order in which a run would stop at them."""
     doc = F.col("_doc")
-    keys = F.map_keys(F.from_json(F.col(column), "map<string,string>"))
-    parsed = df.withColumn("_doc", F.try_parse_json(column)).withColumn(
-        "_keys", F.coalesce(keys, F.array().cast("array<string>"))
-    )
-    cut = (lambda c: c) if kind.strict else (lambda c: F.regexp_replace(c, F.lit("/+$"), F.lit("")))
+    keys = F.json_object_keys(column)  # NULL unless the text is an object
+    parsed = df.withColumn("_doc", F.try_parse_json(column)).withColumn("_keys", keys)
     named = {k: f"_at_{k}" for k in (PREFIX, *kind.paths)}
-    parsed = parsed.withColumns({c: cut(_text(doc, k)) for k, c in named.items()})
+    parsed = parsed.withColumns({c: _path(doc, k, kind) for k, c in named.items()})
 
     prefix = F.col(named[PREFIX])
     paths = [F.col(named[k]) for k in kind.paths]
     trial_keys = kind.allowed if kind.strict else (PREFIX, COUNT, *kind.paths)
-    bare_prefix = F.regexp_replace(prefix, F.lit(f"^{SCHEME}"), F.lit(""))
     flags = {
         "_trial": F.arrays_overlap("_keys", F.array(*[F.lit(k) for k in trial_keys])),
         "_unknown": F.array_except("_keys", F.array(*[F.lit(k) for k in kind.allowed])),
         "_given": F.array_compact(F.array(*paths)),
         "_normal": _is_normal(prefix, kind),
-        "_reserved": F.regexp_like(bare_prefix, F.lit(kind.namespace)),
+        "_reserved": F.regexp_like(_bare(prefix), F.lit(kind.namespace)),
         "_odd": _any(p.isNotNull() & ~_is_normal(p, kind) for p in paths),
         "_outside": _any(~F.startswith(p, F.concat(prefix, F.lit("/"))) for p in paths),
     }
@@ -110,7 +116,7 @@ def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") ->
     unknown = F.array_join(F.sort_array("_unknown"), ", ")
     given = F.size("_given")
     cases = [
-        (doc.isNull() | ~F.startswith(F.schema_of_variant(doc), F.lit("OBJECT")), "not a JSON object"),
+        (doc.isNull() | F.col("_keys").isNull(), "not a JSON object"),
         (F.size("_unknown") > 0, F.concat(F.lit("unsupported keys: "), unknown)),
         (trial & prefix.isNull(), "qa_prefix is missing"),
         (trial & prefix.isNotNull() & ~normal, "qa_prefix is not normalized"),
@@ -127,6 +133,31 @@ def validate_requests(df: DataFrame, kind: RequestKind, column: str = "conf") ->
     )
 
 
+def resolve_requests(
+    df: DataFrame,
+    kind: RequestKind,
+    fallbacks: Mapping[str, str],
+    count: str = DEFAULT_COUNT,
+    column: str = "conf",
+) -> DataFrame:
+    """Validated requests with the paths and the candidate count they run with.
+
+    A trial run uses its own paths, any other run the fallbacks; a request with errors
+    resolves to NULLs. Missing fallbacks are refused up front.
+    """
+    if set(fallbacks) != set(kind.paths):
+        raise ValueError(f"fallbacks must name exactly {', '.join(kind.paths)}")
+    checked = validate_requests(df, kind, column).withColumn("_doc", F.try_parse_json(column))
+    valid, doc = F.size("errors") == 0, F.col("_doc")
+    resolved = {}
+    for key in kind.paths:
+        resolved[key] = F.when(valid, F.coalesce(_path(doc, key, kind), F.lit(fallbacks[key])))
+    if COUNT in kind.other_keys:
+        given = strip(F.try_variant_get(doc, f"$.{COUNT}", "string"))
+        resolved[COUNT] = F.when(valid, F.coalesce(given, F.lit(count)).try_cast("int"))
+    return checked.withColumns(resolved).drop("_doc")
+
+
 def _count_cases(doc: Column) -> list[tuple[Column, str]]:
     kind = json_type(doc, COUNT)
     raw = strip(F.try_variant_get(doc, f"$.{COUNT}", "string"))

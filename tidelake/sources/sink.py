@@ -66,9 +66,10 @@ def replace_partition(
         else F.lit(0)
     )
     seen = Observation()
-    body = df.observe(seen, F.count(F.lit(1)).alias("rows"), foreign.alias("foreign")).drop("dt")
     if rebalance:
-        body = body.hint("rebalance")
+        df = df.hint("rebalance")
+    # counted in the writing tasks themselves, so a repeated shuffle stage adds nothing
+    body = df.observe(seen, F.count(F.lit(1)).alias("rows"), foreign.alias("foreign")).drop("dt")
     run = uuid.uuid4().hex
     staged = f"{base}/_staging/{run}"
     body.write.parquet(staged)
