@@ -40,6 +40,9 @@ def test_entry_has_rows(spark):
 def test_query_agrees_with_its_sql(spark, con, name):
     df = contract.queries()[name](spark, SF)
     rows = df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "MapInPandas"):
+        assert node not in plan
     if name in ROWS_ONLY:
         assert rows
         return

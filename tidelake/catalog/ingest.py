@@ -11,7 +11,7 @@ from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.functions.dates import dt_compact, in_date_window
 from tidelake.operators.coverage import ready_dates
-from tidelake.plans.raw_load import RawTable, load_day
+from tidelake.plans.raw_load import RawTable, load_day, load_days
 from tidelake.session import scratch
 from tidelake.sources import schemas
 from tidelake.sources.fs import SharedFs
@@ -122,19 +122,15 @@ def feature_replace_idempotent(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query(
-    "raw_load_day",
-    with_ctes(
-        f"{_PER_DAY} FROM log WHERE dt IN (DATE '{s.DAY}', DATE '{s.DAY}' + 1) GROUP BY dt", s.LOG
-    ),
-)
-def raw_load_day(spark: SparkSession, sf: str) -> DataFrame:
-    """Lake to raw layer for two days: read, replace, validate, record."""
+@query("raw_load", with_ctes(f"{_PER_DAY} FROM log GROUP BY dt", s.LOG))
+def raw_load(spark: SparkSession, sf: str) -> DataFrame:
+    """Lake to raw layer: every day as one catch-up load, then one day on its own."""
     source = _lake(spark, sf, "lake")
     target, ledger = scratch(spark, "raw"), scratch(spark, "ledger")
-    for day in (s.DAY, date.fromordinal(s.DAY.toordinal() + 1)):
-        # backfill commits the table as a whole, so days carry no marker of their own
-        load_day(spark, source, target, day, ACTION_LOG, ledger, require_success=False)
+    days = [date.fromisoformat(d) for d in partitions(spark, source)]
+    load_days(spark, source, target, days, ACTION_LOG, ledger)
+    # backfill commits the table as a whole, so its days carry no marker of their own
+    load_day(spark, source, target, s.DAY, ACTION_LOG, ledger, require_success=False)
     loaded = _per_day(read_lake(spark, target, schema=schemas.ACTION_LOG))
     ready = ready_dates(spark.read.parquet(ledger), [ACTION_LOG.name])
     return loaded.join(ready.select("dt"), "dt", "left_semi")
