@@ -3,7 +3,7 @@ from datetime import date, datetime, timedelta
 
 import pytest
 
-from tidelake.operators.asof import pit_join, with_static
+from tidelake.operators.asof import pit_join, span_of, with_static
 from tidelake.plans.training import View, training_dataset
 
 START = datetime(2024, 1, 1)
@@ -12,7 +12,11 @@ START = datetime(2024, 1, 1)
 def frames(spark, seed, n=300, m=120, keys=3, step=17):
     rng = random.Random(seed)
     spine = [
-        (i, None if rng.random() < 0.05 else rng.randrange(keys), START + timedelta(minutes=step * rng.randrange(300)))
+        (
+            i,
+            None if rng.random() < 0.05 else rng.randrange(keys),
+            START + timedelta(minutes=step * rng.randrange(300)),
+        )
         for i in range(n)
     ]
     unique = {(rng.randrange(keys + 1), step * rng.randrange(300)) for _ in range(m)}
@@ -90,3 +94,22 @@ def test_training_dataset_keeps_every_row_of_the_window(spark):
     assert rows.count() == spine.where("dt between '2024-01-02' and '2024-01-03'").count()
     assert "segment" in rows.columns
     assert with_static(spine, dim, "user_id").count() == spine.count()
+
+
+@pytest.mark.parametrize("bucket", [60, 7200, 86_400])
+@pytest.mark.parametrize("seed", [7, 8])
+def test_knowing_the_span_changes_nothing(spark, seed, bucket):
+    _, _, left, right = frames(spark, seed)
+    start, end = START + timedelta(hours=20), START + timedelta(hours=50)
+    part = left.where(f"event_timestamp between '{start}' and '{end}'")
+    whole = pit_join(part, right, ["user_id"], ["x"], bucket_seconds=bucket).collect()
+    near = pit_join(part, right, ["user_id"], ["x"], bucket_seconds=bucket, span=span_of(part))
+    assert sorted(map(repr, whole)) == sorted(map(repr, near.collect())) and len(whole) > 20
+    assert span_of(left.where("false")) is None
+
+
+def test_empty_window_gives_no_rows(spark):
+    _, _, left, right = frames(spark, 6)
+    spine = left.selectExpr("*", "to_date(event_timestamp) as dt", "1 as label")
+    views = [View(right, "user_id", ["x"], "u_")]
+    assert training_dataset(spine, views, [], date(2030, 1, 1), date(2030, 1, 2)).count() == 0

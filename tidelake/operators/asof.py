@@ -9,11 +9,12 @@ summary with at most one row per key and bucket.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidelake.functions.dates import time_bucket
+from tidelake.functions.dates import epoch_seconds, time_bucket
 from tidelake.functions.predicates import any_null, none_null
 
 BUCKET_SECONDS = 10 * 60
@@ -31,11 +32,16 @@ def pit_join(
     view_ts: str = "event_timestamp",
     prefix: str = "",
     bucket_seconds: int = BUCKET_SECONDS,
+    span: Span | None = None,
 ) -> DataFrame:
     """Left as-of join. Adds ``<prefix>event_timestamp`` and the prefixed features.
 
     The view must be unique in (keys, view_ts). There is no time limit: the latest
     earlier row wins however old it is. Every spine row comes out exactly once.
+
+    With the ``span`` of the spine a long history stays cheap: later rows of the view
+    are not read, and earlier ones count as one bucket, which the map tasks reduce to
+    the latest row of each key.
     """
     keys = list(keys)
     # rows without a key match nothing; a hash spreads them over the tasks
@@ -51,15 +57,23 @@ def pit_join(
         *[F.col(c).alias(f"_left_{c}") for c in payload],
     )
     found = F.struct(F.col(view_ts).alias("_view_ts"), *features)
-    right = view.where(none_null([*keys, view_ts])).select(
+    usable = view.where(none_null([*keys, view_ts]))
+    view_bucket, near = time_bucket(view, view_ts, bucket_seconds), F.lit(True)
+    if span is not None:
+        kind = view.schema[view_ts].dataType
+        usable = usable.where(F.col(view_ts) <= F.lit(span.last).cast(kind))
+        view_bucket = F.greatest(view_bucket, F.lit(span.first_second // bucket_seconds - 1))
+        one_bucket = F.make_dt_interval(secs=F.lit(bucket_seconds))
+        near = F.col("_at") >= F.lit(span.first).cast(kind) - one_bucket
+    right = usable.select(
         *keys,
-        time_bucket(view, view_ts, bucket_seconds).alias("_bucket"),
+        view_bucket.alias("_bucket"),
         F.lit(_RIGHT).alias("_side"),
         F.col(view_ts).alias("_at"),
         found.alias("_found"),
     )
     seeds = _seeds(spine, right, keys, ts, bucket_seconds)
-    merged = left.unionByName(right, allowMissingColumns=True).unionByName(
+    merged = left.unionByName(right.where(near), allowMissingColumns=True).unionByName(
         seeds, allowMissingColumns=True
     )
     # a seed is older than anything in its bucket; at equal times a feature row
@@ -105,6 +119,25 @@ def _seeds(
     )
 
 
+@dataclass(frozen=True)
+class Span:
+    """Earliest and latest event time of a spine, as text in the session's zone."""
+
+    first: str
+    last: str
+    first_second: int
+
+
+def span_of(spine: DataFrame, ts: str = "event_timestamp") -> Span | None:
+    """One scan of the time column; NULL for a spine without rows."""
+    row = spine.agg(
+        F.min(ts).cast("string").alias("first"),
+        F.max(ts).cast("string").alias("last"),
+        F.min(epoch_seconds(spine, ts)).alias("first_second"),
+    ).first()
+    return Span(row.first, row.last, row.first_second) if row.first is not None else None
+
+
 def with_static(spine: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Left join with a table that has one row per key.
 

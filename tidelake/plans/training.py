@@ -9,7 +9,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 
 from tidelake.functions.dates import in_date_window
-from tidelake.operators.asof import BUCKET_SECONDS, pit_join, with_static
+from tidelake.operators.asof import BUCKET_SECONDS, pit_join, span_of, with_static
 
 
 @dataclass(frozen=True)
@@ -32,10 +32,12 @@ def training_dataset(
 ) -> DataFrame:
     """Spine rows of the window with the features known at their time.
 
-    Every view adds one exchange by its own key; rows never multiply. Check the spine
-    with ``require_positives`` before training on it.
+    Every view adds one exchange by its own key; rows never multiply. The earliest and
+    latest event time of the window decide which rows of a view are read. Check the
+    spine with ``require_positives`` before training on it.
     """
     rows = in_date_window(spine, start, end)
+    span = span_of(rows)
     for view in views:
         rows = pit_join(
             rows,
@@ -44,6 +46,7 @@ def training_dataset(
             view.features,
             prefix=view.prefix,
             bucket_seconds=view.bucket_seconds,
+            span=span,
         )
     for dim, key in dims:
         rows = with_static(rows, dim, key)
