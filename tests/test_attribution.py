@@ -63,6 +63,13 @@ def test_agrees_with_brute_force(make_log, seed, keys, seconds, step):
         assert got == brute_force(rows, keys, seconds)
 
 
+def test_many_small_groups_full_of_ties(make_log):
+    rows = random_rows(21, n=1500, users=60, videos=2, minutes=90, step=5)
+    for seconds, bucket in ((300, 300), (600, 60), (1800, 900)):
+        got = labels(attribute_clicks(make_log(rows), ["user_id"], seconds, bucket_seconds=bucket))
+        assert got == brute_force(rows, ("user_id",), seconds)
+
+
 def test_days_add_up_to_the_whole(make_log):
     rows = random_rows(7)
     log = make_log(rows)
@@ -111,7 +118,8 @@ def test_window_beyond_a_day_is_refused(make_log):
 
 def test_hot_key_is_spread_over_its_buckets(spark, make_log):
     """No window group grows with the share of one key, only with its rate per bucket."""
-    rows = [(i, 7, 7, str(datetime(2024, 1, 1) + timedelta(seconds=30 * i)), "impression") for i in range(2000)]
+    start = datetime(2024, 1, 1)
+    rows = [(i, 7, 7, str(start + timedelta(seconds=30 * i)), "impression") for i in range(2000)]
     plan = attribute_clicks(make_log(rows), ["user_id"], 6 * 3600)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "_bucket" in text and "CartesianProduct" not in text and "Join" not in text

@@ -117,6 +117,9 @@ def test_valid_requests(spark, conf):
         ({**QA, "candidates_per_user": True}, "candidates_per_user is not an integer"),
         ({**QA, "candidates_per_user": "1.5"}, "candidates_per_user is not an integer"),
         ({**QA, "candidates_per_user": 20.0}, "candidates_per_user is not an integer"),
+        ({**QA, "candidates_per_user": None}, "candidates_per_user is not an integer"),
+        ({**QA, "qa_prefix": "/"}, "qa_prefix is not normalized"),
+        ({**QA, "qa_prefix": {"a": 1}}, "qa_prefix is missing"),
         ({**QA, "candidates_per_user": "many"}, "candidates_per_user is not an integer"),
         ({**QA, "candidates_per_user": "9" * 60}, "candidates_per_user is out of range"),
         ("[1]", "not a JSON object"),

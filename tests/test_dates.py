@@ -15,6 +15,14 @@ def test_local_day_changes_at_fifteen_utc(spark):
     assert days == [date(2024, 1, 10), date(2024, 1, 11)]
 
 
+def test_summer_time_of_old_years_is_kept(spark):
+    """Clocks were ten hours ahead in the summer of 1988."""
+    rows = [(datetime(1988, 7, 1, 14, 30),), (datetime(1988, 12, 1, 14, 30),), (None,)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz")
+    days = [r[0] for r in df.select(dates.kst_date(F.col("ts"))).collect()]
+    assert days == [date(1988, 7, 2), date(1988, 12, 1), None]
+
+
 def test_midnight_is_the_first_instant_of_its_day(spark):
     df = spark.createDataFrame([(date(2024, 1, 11),)], "d date")
     row = df.select(dates.kst_midnight(F.col("d")).alias("m"), dates.dt_compact(F.col("d")).alias("c"))
