@@ -8,6 +8,7 @@ from tidelake.operators.attribution import (
     NoPositivesError,
     attribute_clicks,
     label_rate,
+    last_touch,
     require_positives,
 )
 
@@ -70,6 +71,16 @@ def test_many_small_groups_full_of_ties(make_log):
         assert got == brute_force(rows, ("user_id",), seconds)
 
 
+@pytest.mark.parametrize(("seconds", "bucket"), [(600, 60), (3600, 900)])
+def test_last_touch_names_the_impressions_that_get_a_label(make_log, seconds, bucket):
+    rows = random_rows(22, n=900, users=20, minutes=300, step=5)
+    log = make_log(rows)
+    touched = last_touch(log, ["user_id"], seconds, bucket).collect()
+    assert len(touched) == sum(r[4] == "click" for r in rows)
+    labelled = {k for k, v in brute_force(rows, ("user_id",), seconds).items() if v}
+    assert {r.impression_id for r in touched} - {None} == labelled
+
+
 def test_days_add_up_to_the_whole(make_log):
     rows = random_rows(7)
     log = make_log(rows)

@@ -4,7 +4,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tidelake.operators.coverage import coverage, ready_dates, write_conflicts
+from tidelake.operators.coverage import coverage, ready_dates, window_gaps, write_conflicts
 from tidelake.operators.objects import audit_objects, is_strict_path, partition_object, split_base_path
 from tidelake.operators.requests import ACTION_LOG, BACKFILL, resolve_requests, validate_requests
 from tidelake.operators.results import audit_results
@@ -261,3 +261,10 @@ def test_ready_needs_every_table(spark):
             ("a", date(2024, 1, 2), at[0]), ("b", date(2024, 1, 3), None)]
     ledger = spark.createDataFrame(rows, "table_name string, dt date, validated_at timestamp_ntz")
     assert [tuple(r) for r in ready_dates(ledger, ["a", "b"]).collect()] == [(DAY, at[2])]
+
+
+def test_window_gaps(spark):
+    rows = [("a", DAY), ("a", date(2024, 1, 3)), ("b", date(2024, 1, 2)), ("x", date(2024, 1, 2))]
+    inventory = spark.createDataFrame(rows, "table_name string, dt date")
+    got = {(r.table_name, r.dt.day) for r in window_gaps(inventory, ["a", "b"], DAY, date(2024, 1, 3)).collect()}
+    assert got == {("a", 2), ("b", 1), ("b", 3)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.functions.redact import normalize_reason, reason_label, redact, safe_url
-from tidelake.operators.coverage import coverage, write_conflicts
+from tidelake.operators.coverage import coverage, window_gaps, write_conflicts
 from tidelake.operators.objects import audit_objects
 from tidelake.operators.requests import ACTION_LOG, BACKFILL, validate_requests
 from tidelake.operators.results import audit_results
@@ -440,3 +440,21 @@ def table_coverage(spark: SparkSession, sf: str) -> DataFrame:
 def conflicts(spark: SparkSession, sf: str) -> DataFrame:
     a = _tables(spark, sf, ["impression", "click"], 150)
     return write_conflicts(a, _tables(spark, sf, ["click", "view"], 180))
+
+
+@query(
+    "window_gaps",
+    with_ctes(
+        f"""SELECT t AS table_name, CAST(d AS DATE) AS dt
+        FROM (VALUES ('impression'), ('click'), ('view')) tables(t),
+          generate_series(DATE '{s.WINDOW[0]}', DATE '{s.WINDOW[1]}', INTERVAL 1 DAY) days(d)
+        WHERE NOT EXISTS (SELECT 1 FROM log
+          WHERE event_type = t AND dt = CAST(d AS DATE) AND value > 200)""",
+        s.LOG,
+    ),
+)
+def gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """Which tables lack which days of the training window; as above, high-valued
+    events stand for tables and days."""
+    inventory = _tables(spark, sf, ["impression", "click", "view", "like"], 200)
+    return window_gaps(inventory, ["impression", "click", "view"], *s.WINDOW)

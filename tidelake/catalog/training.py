@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.operators.asof import pit_join
-from tidelake.operators.attribution import attribute_clicks, require_positives
+from tidelake.operators.attribution import attribute_clicks, last_touch, require_positives
 from tidelake.operators.evaluation import fit_score
 from tidelake.plans.training import View, training_dataset
 from tidelake.session import cut
@@ -39,6 +39,25 @@ def click_attribution_item(spark: SparkSession, sf: str) -> DataFrame:
     return attribute_clicks(s.action_log(spark, sf), window_seconds=86_400).select(*_SPINE)
 
 
+@query(
+    "click_last_touch",
+    with_ctes(
+        f"""SELECT c.event_id, c.user_id, c.event_timestamp, c.dt, h.impression_id
+        FROM log c LEFT JOIN (
+          SELECT c.event_id, i.event_id AS impression_id FROM log c JOIN log i
+            ON i.user_id = c.user_id AND i.event_timestamp <= c.event_timestamp
+            AND c.event_timestamp <= i.event_timestamp + INTERVAL {s.WIDE_SECONDS} SECOND
+          WHERE c.event_type = 'click' AND i.event_type = 'impression'
+          QUALIFY row_number() OVER (PARTITION BY c.event_id
+            ORDER BY i.event_timestamp DESC, i.event_id DESC) = 1) h USING (event_id)
+        WHERE c.event_type = 'click'""",
+        s.LOG,
+    ),
+)
+def click_last_touch(spark: SparkSession, sf: str) -> DataFrame:
+    return last_touch(s.action_log(spark, sf), ["user_id"], s.WIDE_SECONDS)
+
+
 @query(
     "pit_user_features",
     with_ctes(

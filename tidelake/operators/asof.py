@@ -138,10 +138,10 @@ def span_of(spine: DataFrame, ts: str = "event_timestamp") -> Span | None:
     return Span(row.first, row.last, row.first_second) if row.first is not None else None
 
 
-def with_static(spine: DataFrame, dim: DataFrame, key: str) -> DataFrame:
-    """Left join with a table that has one row per key.
+def with_static(spine: DataFrame, dim: DataFrame, key: str | Sequence[str]) -> DataFrame:
+    """Left join with a table that has one row per key, a column or several.
 
     No hint: Spark broadcasts the table when its size allows, and otherwise shuffles
     and splits hot keys at run time.
     """
-    return spine.join(dim, key, "left")
+    return spine.join(dim, [key] if isinstance(key, str) else list(key), "left")

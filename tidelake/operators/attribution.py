@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidelake.functions.dates import DAY_SECONDS, time_bucket
 from tidelake.functions.predicates import any_null, none_null
+from tidelake.operators.asof import pit_join
 
 CLICK_WINDOW_SECONDS = 30 * 60
 BUCKET_SECONDS = 5 * 60
@@ -103,6 +104,33 @@ def _closing_clicks(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def last_touch(
+    log: DataFrame,
+    keys: Sequence[str] = ("user_id", "video_id"),
+    window_seconds: int = CLICK_WINDOW_SECONDS,
+    bucket_seconds: int = BUCKET_SECONDS,
+) -> DataFrame:
+    """Every click with the impression it goes to, NULL if none lies in the window.
+
+    Impressions of one key and time count as the one with the largest id, which makes
+    them a view that an as-of join can look clicks up in.
+    """
+    keys = list(keys)
+    shown = log.where(F.col("event_type") == "impression")
+    latest = shown.groupBy(*keys, "event_timestamp").agg(F.max("event_id").alias("event_id"))
+    clicks = log.where(F.col("event_type") == "click").select(
+        "event_id", *[k for k in keys if k != "event_id"], "event_timestamp", "dt"
+    )
+    matched = pit_join(
+        clicks, latest, keys, ["event_id"], prefix="impression_", bucket_seconds=bucket_seconds
+    )
+    since = F.col("event_timestamp") - F.make_dt_interval(secs=F.lit(window_seconds))
+    in_window = F.col("impression_event_timestamp") >= since
+    return matched.select(
+        *clicks.columns, F.when(in_window, F.col("impression_event_id")).alias("impression_id")
+    )
+
+
 def label_rate(spine: DataFrame, by: str = "dt") -> DataFrame:
     """Rows, positives and label rate per day; a day without positives shows up."""
     return spine.groupBy(by).agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,3 +42,22 @@ def ready_dates(ledger: DataFrame, required: Sequence[str]) -> DataFrame:
         .where(F.col("_tables") == len(set(required)))
         .select("dt", "ready_at")
     )
+
+
+def window_gaps(inventory: DataFrame, required: Sequence[str], start: date, end: date) -> DataFrame:
+    """Days of an inclusive window that a required table lacks.
+
+    What is expected comes from the table names and the calendar, so it is short; the
+    inventory shrinks to distinct tables and days first.
+    """
+    spark = inventory.sparkSession
+    names = F.array(*[F.lit(t) for t in required])
+    expected = (
+        spark.range(1)
+        .select(F.explode(names).alias("table_name"))
+        .select("table_name", F.explode(F.sequence(F.lit(start), F.lit(end))).alias("dt"))
+    )
+    present = inventory.where(
+        F.col("dt").between(F.lit(start), F.lit(end)) & F.col("table_name").isin(*required)
+    )
+    return expected.join(present.select("table_name", "dt").distinct(), ["table_name", "dt"], "left_anti")
