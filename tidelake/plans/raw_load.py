@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators.quality import enforce, validate_raw
-from tidelake.sources.lake import read_lake, read_partition
+from tidelake.sources.lake import read_days, read_partition
 from tidelake.sources.sink import backfill, replace_partition
 
 
@@ -60,9 +60,9 @@ def load_days(
     spark: SparkSession, source: str, target: str, days: list[date], table: RawTable, ledger: str
 ) -> list[dict]:
     """The same for several days as one load, one check and one ledger entry set."""
-    files = read_lake(spark, source, schema=table.schema).where(F.col("dt").isin(days))
+    files = read_days(spark, source, days, schema=table.schema)
     backfill(files, target, schema=table.schema)
-    loaded = read_lake(spark, target, schema=table.schema).where(F.col("dt").isin(days))
+    loaded = read_days(spark, target, days, schema=table.schema)
     metrics = validate_raw(loaded, files, table.required, table.key)
     rows = enforce(metrics)
     entries = spark.createDataFrame([(table.name, r["dt"]) for r in rows], "table_name string, dt date")

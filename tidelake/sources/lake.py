@@ -6,6 +6,7 @@ left-over staging copies and shard folders never reach a result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -57,18 +58,21 @@ def read_partition(
 def read_days(
     spark: SparkSession,
     base: str,
-    start: date,
-    end: date,
+    days: Iterable[date],
     pattern: str = CANONICAL,
     schema: T.StructType | None = None,
 ) -> DataFrame:
-    """The days of an inclusive window that exist; only their folders are listed."""
-    fs = SharedFs(spark, base)
-    days = [start + timedelta(days=n) for n in range((end - start).days + 1)]
-    present = [d for d in days if fs.exists(partition_path(base, d))]
-    if not present:
-        raise FileNotFoundError(f"no partition of {base} between {start} and {end}")
-    return _scan(spark, base, [f"{partition_path(base, d)}/{pattern}" for d in present], schema)
+    """The named days that exist. Only their folders are listed, not the whole table."""
+    present = set(partitions(spark, base))
+    wanted = sorted(d for d in map(str, days) if d in present)
+    if not wanted:
+        raise FileNotFoundError(f"none of the days is in {base}")
+    return _scan(spark, base, [f"{partition_path(base, d)}/{pattern}" for d in wanted], schema)
+
+
+def days_between(start: date, end: date) -> list[date]:
+    """All days of an inclusive window."""
+    return [start + timedelta(days=n) for n in range((end - start).days + 1)]
 
 
 def read_lake(

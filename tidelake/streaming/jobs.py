@@ -15,7 +15,7 @@ from tidelake.functions.dates import LOCAL_ZONE, instant, kst_date
 from tidelake.operators.attribution import CLICK_WINDOW_SECONDS, attribute_clicks
 from tidelake.plans.raw_load import RawTable, load_days
 from tidelake.sources.fs import SharedFs
-from tidelake.sources.lake import partitions, read_lake
+from tidelake.sources.lake import days_between, partitions, read_days
 from tidelake.sources.online import publish, upsert_onto
 from tidelake.sources.sink import backfill
 from tidelake.streaming.source import read_lake_stream
@@ -91,9 +91,8 @@ def stream_attribution(
         ]
         if not final:
             return
-        landed = read_lake(session, landing, "batch=*/part-*.parquet").where(
-            F.col("dt").between(F.lit(final[0]), F.lit(final[-1] + timedelta(days=1)))
-        )
+        days = days_between(final[0], final[-1] + timedelta(days=1))
+        landed = read_days(session, landing, days, "batch=*/part-*.parquet")
         labelled = attribute_clicks(landed, keys, window_seconds)
         backfill(labelled.where(F.col("dt").isin(final)), spine)
 
