@@ -53,6 +53,19 @@ def test_run_lost_before_its_state_file_is_done_again(spark):
     assert rows(materialize(features, base, "v", ["user_id"], T[3])) == [(1, T[2], 2)]
 
 
+def test_half_written_state_file_is_not_read(spark):
+    base = scratch(spark, "online")
+    features = spark.createDataFrame([(1, T[0], 1)], SCHEMA)
+    materialize(features, base, "v", ["user_id"], T[1])
+    with open(f"{base.removeprefix('file:')}/v/state/0000000002.json.part", "w") as lost:
+        lost.write('{"vers')
+    assert watermark(spark, base, "v") == T[1]
+    materialize(features, base, "v", ["user_id"], T[2])
+    assert watermark(spark, base, "v") == T[2]
+    with pytest.raises(FileExistsError):
+        SharedFs(spark, base).create_text(f"{base}/v/state/0000000002.json", "x")
+
+
 def test_shared_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
     assert shared_dir(spark).startswith(named.rstrip("/"))

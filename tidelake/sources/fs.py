@@ -34,12 +34,16 @@ class SharedFs:
         self._fs.delete(self._path(path), True)
 
     def create_text(self, path: str, text: str) -> None:
-        """Write a new small file; an existing one is an error, not replaced."""
-        stream = self._fs.create(self._path(path), False)
+        """Write a new small file as a whole; an existing one is an error."""
+        if self.exists(path):
+            raise FileExistsError(path)
+        part = f"{path}.part"
+        stream = self._fs.create(self._path(part), True)
         try:
             stream.write(bytearray(text.encode("utf-8")))
         finally:
             stream.close()
+        self.rename(part, path)
 
     def read_text(self, path: str) -> str:
         stream = self._fs.open(self._path(path))

@@ -56,8 +56,8 @@ def stream_attribution(
 
     Rows land per day and batch. A day is final when the latest event time less the
     delay has passed the end of the next local day; rows that come later than that
-    land too but no longer change a label. Final days are labelled in one batch job,
-    so no pairs of clicks and impressions are held as state.
+    land too but no longer change a label. Newly final days are labelled in one batch
+    job, so no pairs of clicks and impressions are held as state.
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
@@ -74,27 +74,28 @@ def stream_attribution(
         )
         newest = rows.agg(F.max("event_timestamp").alias("at")).first().at
         marks = f"{landing}/_marks"
-        known = fs.names(marks)
-        if known:
-            before = datetime.fromisoformat(json.loads(fs.read_text(f"{marks}/{known[-1]}")))
-            newest = max(filter(None, (newest, before)))
+        written = [n for n in fs.names(marks) if n.endswith(".json")]
+        before = None
+        if written:
+            before = datetime.fromisoformat(json.loads(fs.read_text(f"{marks}/{written[-1]}")))
+            newest = before if newest is None else max(newest, before)
         if newest is None:
             return
+        ends = {d: _end_of_next_day(d) for d in map(date.fromisoformat, partitions(session, landing))}
+        final = [
+            d
+            for d, end in ends.items()
+            if end <= newest - delay and (before is None or end > before - delay)
+        ]
+        if final:
+            days = days_between(final[0], final[-1] + timedelta(days=1))
+            landed = read_days(session, landing, days, "batch=*/part-*.parquet")
+            labelled = attribute_clicks(landed, keys, window_seconds)
+            backfill(labelled.where(F.col("dt").isin(final)), spine)
+        # written last: a batch that is lost before this point does its days again
         mark = f"{marks}/{batch_id:010d}.json"
         if not fs.exists(mark):
             fs.create_text(mark, json.dumps(newest.isoformat()))
-        done = set(partitions(session, spine))
-        final = [
-            date.fromisoformat(d)
-            for d in partitions(session, landing)
-            if d not in done and _end_of_next_day(date.fromisoformat(d)) <= newest - delay
-        ]
-        if not final:
-            return
-        days = days_between(final[0], final[-1] + timedelta(days=1))
-        landed = read_days(session, landing, days, "batch=*/part-*.parquet")
-        labelled = attribute_clicks(landed, keys, window_seconds)
-        backfill(labelled.where(F.col("dt").isin(final)), spine)
 
     return log.writeStream.foreachBatch(advance)
 
