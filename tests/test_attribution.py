@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidelake.operators.attribution import (
     NoPositivesError,
     attribute_clicks,
+    fitting_bucket,
     label_rate,
     last_touch,
     require_positives,
@@ -59,7 +60,7 @@ def random_rows(seed, n=400, users=3, videos=2, minutes=3 * 24 * 60, step=1):
 )
 def test_agrees_with_brute_force(make_log, seed, keys, seconds, step):
     rows = random_rows(seed, step=step)
-    for bucket in (60, 300, 7200):
+    for bucket in (None, 60, 300, 7200):
         got = labels(attribute_clicks(make_log(rows), keys, seconds, bucket_seconds=bucket))
         assert got == brute_force(rows, keys, seconds)
 
@@ -137,6 +138,18 @@ def test_hot_key_is_spread_over_its_buckets(spark, make_log):
     assert plan.count() == 2000
 
 
+def test_buckets_shrink_with_the_busiest_hour(spark):
+    def log(rows, seconds):
+        at = f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % {seconds})"
+        return spark.range(rows).selectExpr(f"{at} as event_timestamp")
+
+    assert fitting_bucket(log(100, 86_400)) == 86_400
+    assert fitting_bucket(log(7200, 3600), group_rows=100) == 150
+    assert fitting_bucket(log(7200, 7200), group_rows=100) == 300
+    assert fitting_bucket(log(5000, 3600), group_rows=1) == 10
+    assert fitting_bucket(log(0, 3600)) == 86_400
+
+
 def test_label_rate_and_guard(make_log):
     log = make_log(
         [(1, 1, 1, "2024-01-01 00:00:00", "impression"), (2, 2, 1, "2024-01-01 00:00:00", "impression")]

@@ -22,7 +22,7 @@ def failed_tasks(instances: DataFrame, run: Sequence[str] = ("run_id",)) -> Data
     Ids are made distinct first, so a run's list is as long as its graph has tasks.
     """
     failed = instances.where(F.col("state").isin(*FAILED_STATES)).select(*run, "task_id").distinct()
-    return failed.groupBy(*run).agg(F.array_sort(F.collect_list("task_id")).alias("failed_tasks"))
+    return failed.groupBy(*run).agg(F.sort_array(F.collect_list("task_id")).alias("failed_tasks"))
 
 
 def primary_failed(instances: DataFrame, run: Sequence[str] = ("run_id",)) -> DataFrame:
@@ -58,7 +58,7 @@ def run_summary(instances: DataFrame) -> DataFrame:
         F.min("start_date").alias("start_date"),
         F.max("end_date").alias("end_date"),
     )
-    names = F.array_sort(F.collect_list(F.when(F.col("_failed"), F.col("task_id"))))
+    names = F.sort_array(F.collect_list(F.when(F.col("_failed"), F.col("task_id"))))
     summary = per_task.groupBy(*run).agg(
         names.alias("_names"),
         F.min(F.when(F.col("_own"), F.col("task_id"))).alias("primary_task"),
