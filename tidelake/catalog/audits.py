@@ -169,7 +169,9 @@ _EXCEPTION = "CASE WHEN doc_id % 2 = 0 THEN 'RuntimeError: <' || text || '> & to
 
 
 def _line_sql(text: str) -> str:
-    escaped = f"replace(replace(replace(left({_redact_sql(text)}, 2000), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    escaped = f"left({_redact_sql(text)}, 2000)"
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = f"replace({escaped}, '{raw}', '{entity}')"
     return f"left(trim(regexp_replace({escaped}, '[{_WS}]+', ' ', 'g')), 1000)"
 
 
@@ -312,14 +314,22 @@ def _backfill_conf(prefix: str, source: str, target: str) -> str:
     )
 
 
+_OTHER = "gs://bucket/qa/other/run=1"
+_FORMS = {
+    "right": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in.parquet'", _BACKFILL_RUN + " || '/out'"),
+    "outside": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", "'gs://bucket/production/out'"),
+    "elsewhere": (f"'{_OTHER}'", f"'{_OTHER}/in'", f"'{_OTHER}/out'"),
+    "same": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", _BACKFILL_RUN + " || '/in'"),
+    "odd": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in//x'", _BACKFILL_RUN + " || '/out/'"),
+}
 _BACKFILL_REQUEST = f"""CASE o_orderkey % 7
   WHEN 0 THEN '{{}}'
-  WHEN 1 THEN {_backfill_conf(_BACKFILL_RUN, _BACKFILL_RUN + " || '/in.parquet'", _BACKFILL_RUN + " || '/out'")}
+  WHEN 1 THEN {_backfill_conf(*_FORMS["right"])}
   WHEN 2 THEN '{{"source_path": "' || {_BACKFILL_RUN} || '"}}'
-  WHEN 3 THEN {_backfill_conf(_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", "'gs://bucket/production/out'")}
-  WHEN 4 THEN {_backfill_conf("'gs://bucket/qa/other/run=1'", "'gs://bucket/qa/other/run=1/in'", "'gs://bucket/qa/other/run=1/out'")}
-  WHEN 5 THEN {_backfill_conf(_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", _BACKFILL_RUN + " || '/in'")}
-  ELSE {_backfill_conf(_BACKFILL_RUN, _BACKFILL_RUN + " || '/in//x'", _BACKFILL_RUN + " || '/out/'")} END"""
+  WHEN 3 THEN {_backfill_conf(*_FORMS["outside"])}
+  WHEN 4 THEN {_backfill_conf(*_FORMS["elsewhere"])}
+  WHEN 5 THEN {_backfill_conf(*_FORMS["same"])}
+  ELSE {_backfill_conf(*_FORMS["odd"])} END"""
 
 
 @query(
