@@ -86,6 +86,14 @@ def test_replace_twice_equals_once_and_leaves_other_days_alone(spark, base, log)
     assert (digest(base, DAYS[0]), digest(base, DAYS[2])) == before
 
 
+def test_rebalancing_evens_out_the_files(spark, base, log):
+    scattered = log.where("dt = '2024-01-02'").repartition(4)
+    assert sink.replace_partition(scattered, base, DAYS[1], overwrite=True, rebalance=True) == 4
+    assert len(digest(base, DAYS[1])) == 1
+    assert sink.replace_partition(scattered, base, DAYS[1], overwrite=True) == 4
+    assert len(digest(base, DAYS[1])) > 1
+
+
 def test_existing_day_needs_permission(base, log):
     with pytest.raises(sink.PartitionExistsError):
         sink.replace_partition(log.where("dt = '2024-01-02'"), base, DAYS[1])

@@ -83,6 +83,6 @@ def publish_day(
         raise ValidationError(f"quarantine ratio above {limit}: {shares}")
     good, bad = split_tagged(tagged)
     write_quarantine(bad, quarantine)
-    replace_partition(good, base, day, overwrite=overwrite)
+    replace_partition(good, base, day, overwrite=overwrite, rebalance=True)
     stored = read_partition(log.sparkSession, base, day)
     return enforce(action_log_quality(stored, videos, users, model, day))

@@ -52,7 +52,11 @@ def replace_partition(
     overwrite: bool = False,
     rebalance: bool = False,
 ) -> int:
-    """Replace exactly one day and return its row count; running twice equals once."""
+    """Replace exactly one day and return its row count; running twice equals once.
+
+    ``rebalance`` evens out the files of a day that was filtered from many tasks; a day
+    read from its own partition does not need it.
+    """
     spark = df.sparkSession
     fs = SharedFs(spark, base)
     target = partition_path(base, dt)
