@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as contract
+from tidelake.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = [f.removesuffix(".parquet") for f in os.listdir(SF)] if os.path.isdir(SF) else []
@@ -28,15 +29,16 @@ def in_order(columns, rows):
 
 
 def test_only_the_fitted_model_has_no_oracle():
-    assert contract.queries().keys() - contract.oracle_sql().keys() == ROWS_ONLY
+    assert QUERIES.keys() - ORACLES.keys() == ROWS_ONLY
     assert contract.oracle_sql().keys() <= contract.queries().keys()
+    assert QUERIES.keys() <= contract.queries().keys()
 
 
 def test_entry_has_rows(spark):
     assert contract.entry(spark).limit(1).count() == 1
 
 
-@pytest.mark.parametrize("name", contract.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_query_agrees_with_its_sql(spark, con, name):
     df = contract.queries()[name](spark, SF)
     rows = df.collect()
