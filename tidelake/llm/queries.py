@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import exact_dedup, langid, mixing, pieces, simhash
+from tidelake.llm import exact_dedup, langid, mixing, pieces, pii, simhash, topk, warc
 from tidelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,7 +24,12 @@ def _register(name: str, sql: str | None = None):
     return put
 
 
-MIX_SQL = f"""
+@_register("op1_pii")
+def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+MIX_SQL = """
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size,
     (('0x' || substr(md5(concat('mix|', coalesce(doc_id::VARCHAR, ''), '|', coalesce(text, ''))), 1, 12))::BIGINT
@@ -92,6 +97,40 @@ def simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+@_register(
+    "op8_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload, strlen(coalesce(html, '')) AS n FROM pages),
+    f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY payload) END AS first FROM p)
+    SELECT page_id, n AS payload_bytes, sha256(payload) AS payload_digest,
+      CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM f
+    """,
+)
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@_register(
+    "op9_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v::DOUBLE[], c.v::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank,
+      vec_id, score
+    FROM s QUALIFY rank <= 20
+    """,
+)
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 @_register(
     "op10_exact_dedup",
     """
