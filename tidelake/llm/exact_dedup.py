@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelake.llm.common import ROW, packed
+from tidelake.llm.common import ROW, packed, stored
 
 #: Slots a filter block holds: the fixed size of Spark's bitmap aggregate.
 BLOCK_BITS = 1 << 15
@@ -86,7 +86,11 @@ def exact_dedup(
         "text_sha256",
     )
     suspects = marked.filter("suspect")
-    groups = suspects.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that both sides of the join are dealt by it and a hot group can be split
+    groups = stored(
+        suspects.groupBy("text_sha256").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+        "dedup-groups",
+    )
     grouped = suspects.join(groups, "text_sha256").select(
         ROW,
         F.col("id").alias("doc_id"),
