@@ -27,29 +27,34 @@ def _slots(text: str, bits: int, hashes: int) -> list[Column]:
     return [F.pmod(F.xxhash64(base, F.lit(j)), F.lit(bits)) for j in range(hashes)]
 
 
-def _block(slot: Column) -> Column:
+def block_of(slot: Column) -> Column:
     return F.floor(slot / F.lit(BLOCK_BITS)).cast("long")
 
 
-def repeat_filter(rows: DataFrame, text: str, bits: int, hashes: int) -> DataFrame:
-    """(block, bitmap): a set bit is a slot that more than one row falls on."""
-    hits = rows.select(F.explode(F.array(*_slots(text, bits, hashes))).alias("slot"))
+def key_bitmaps(slots: DataFrame) -> DataFrame:
+    """(block, bitmap) with a set bit for every value of column slot."""
     return (
-        hits.groupBy("slot")
-        .count()
-        .filter("count > 1")
-        .select(_block(F.col("slot")).alias("block"), F.pmod("slot", F.lit(BLOCK_BITS)).alias("bit"))
+        slots.select(block_of(F.col("slot")).alias("block"), F.pmod("slot", F.lit(BLOCK_BITS)).alias("bit"))
         .repartition("block")
         .groupBy("block")
         .agg(F.bitmap_construct_agg("bit").alias("bitmap"))
     )
 
 
-def _bit(bitmap: Column, position: Column) -> Column:
+def repeat_bitmaps(slots: DataFrame) -> DataFrame:
+    """(block, bitmap) with a set bit for every slot that more than one row falls on."""
+    return key_bitmaps(slots.groupBy("slot").count().filter("count > 1"))
+
+
+def test_bit(bitmap: Column, position: Column) -> Column:
     byte = F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))
     return F.bit_get(F.conv(F.hex(byte), 16, 10).cast("int"), F.pmod(position, F.lit(8)).cast("int")) == 1
 
 
+def repeat_filter(rows: DataFrame, text: str, bits: int, hashes: int) -> DataFrame:
+    return repeat_bitmaps(rows.select(F.explode(F.array(*_slots(text, bits, hashes))).alias("slot")))
+
+
 def mark_suspects(rows: DataFrame, text: str, bits: int, hashes: int) -> DataFrame:
     """The rows with ``suspect``: false only where no other row has the same text."""
     blocks = F.broadcast(repeat_filter(rows, text, bits, hashes))
@@ -57,8 +62,8 @@ def mark_suspects(rows: DataFrame, text: str, bits: int, hashes: int) -> DataFra
     for j, slot in enumerate(_slots(text, bits, hashes)):
         part = blocks.select(F.col("block").alias(f"block{j}"), F.col("bitmap").alias(f"bitmap{j}"))
         rows = rows.withColumn(f"slot{j}", slot)
-        rows = rows.join(part, _block(F.col(f"slot{j}")) == F.col(f"block{j}"), "left")
-        known = _bit(F.col(f"bitmap{j}"), F.pmod(F.col(f"slot{j}"), F.lit(BLOCK_BITS)))
+        rows = rows.join(part, block_of(F.col(f"slot{j}")) == F.col(f"block{j}"), "left")
+        known = test_bit(F.col(f"bitmap{j}"), F.pmod(F.col(f"slot{j}"), F.lit(BLOCK_BITS)))
         suspect = suspect & F.coalesce(known, F.lit(False))
     extra = [f"{n}{j}" for j in range(hashes) for n in ("slot", "block", "bitmap")]
     return rows.withColumn("suspect", suspect).drop(*extra)

@@ -80,13 +80,18 @@ def best_of_block(
             else:
                 now, left = left, left[:0]
             now = now[bound[now] > -np.inf]
-            got = (real_c[now] @ real_q[i]).astype(np.int64) if whole else rows[now] @ queries[i]
+            if not whole:
+                got = rows[now] @ queries[i]
+            elif 8 * len(now) > len(c_ids):  # most of the block: one pass over it beats gathering rows
+                got = (real_c @ real_q[i])[now].astype(np.int64)
+            else:
+                got = (real_c[now] @ real_q[i]).astype(np.int64)
             scores, ids = np.concatenate((scores, got)), np.concatenate((ids, c_ids[now]))
             order = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[order], ids[order]
             if len(scores) == k:
                 left = left[bound[left] >= scores[-1]]
-            take *= 2
+            take *= 8
         out[0].extend([int(me)] * len(ids))
         out[1].extend(ids.tolist())
         out[2].extend(scores.tolist())
