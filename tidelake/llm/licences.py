@@ -15,8 +15,10 @@ The main path is built-in SQL functions only.
 
 from __future__ import annotations
 
+import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,12 +101,13 @@ def _variants(rng: random.Random, line: list[str], filler: list[list[str]], coun
 
 def fit(
     ordinary: list[str], max_features: int = 2000, variants: int = 40, steps: int = 600, rate: float = 2.0,
-    penalty: float = 1e-4, seed: int = 11,
+    penalty: float = 1e-4, seed: int = 11, common: float = 0.01,
 ) -> dict:
     """Weights per n-gram and class, bias, classes and the calibrated threshold.
 
     Ordinary lines with over half of some template's pairs are left out of the sample,
-    since they are notices themselves.
+    since they are notices themselves. An n-gram that more than the share ``common`` of
+    the ordinary lines has is no feature.
     """
     rng = random.Random(seed)
     notices = [(f, _words(t)) for f, ts in TEMPLATES.items() for t in ts]
@@ -118,7 +121,9 @@ def fit(
     single = sorted({w for _, words in notices for w in words})
     samples += [(0, rng.sample(single, rng.randrange(1, 7))) for _ in range(len(notices) * variants)]
     rng.shuffle(samples)
-    features = sorted(set().union(*(_grams(w) for _, w in notices)))[:max_features]
+    seen = Counter(g for w in plain for g in _grams(w))
+    wanted = set().union(*(_grams(w) for _, w in notices))
+    features = sorted(g for g in wanted if seen[g] <= common * len(plain))[:max_features]
     index = {g: i for i, g in enumerate(features)}
     x = np.zeros((len(samples), len(features)), np.float32)
     for row, (_, words) in zip(x, samples):
@@ -153,14 +158,25 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 def train(docs: DataFrame, text_col: str = "text", max_ordinary: int = 3000, **options) -> dict:
     """Fit with at most max_ordinary different corpus lines, those with the smallest hash."""
     lines = docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line")).filter("length(line) > 0")
-    order = F.xxhash64(F.lit("ordinary"), "line")
-    sample = lines.select("line", order.alias("order")).distinct().orderBy("order", "line").limit(max_ordinary)
+    lines = lines.withColumn("order", F.xxhash64(F.lit("ordinary"), "line"))
+    # the smallest different hashes first, so that no text but the sample's is shuffled
+    least = lines.select("order").distinct().orderBy("order").limit(max_ordinary).agg(F.max("order")).first()[0]
+    sample = lines.filter(F.col("order") <= F.lit(least)).distinct().orderBy("order", "line").limit(max_ordinary)
     return fit([r["line"] for r in sample.collect()], **options)
 
 
 def _weights(spark: SparkSession, model: dict) -> DataFrame:
-    rows = [(g, [float(v) for v in row]) for g, row in zip(model["features"], model["weights"])]
-    return spark.createDataFrame(rows, "gram string, w array<double>")
+    rows = [{"gram": g, "w": [float(v) for v in row]} for g, row in zip(model["features"], model["weights"])]
+    return _inline(spark, rows, "gram string, w array<double>")
+
+
+def _inline(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
+    """A small table of literals."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{_typed(schema)}>>")))
+
+
+def _typed(schema: str) -> str:
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.split(" ", 1) for c in schema.split(", ")))
 
 
 def _templates(spark: SparkSession) -> DataFrame:
@@ -169,27 +185,25 @@ def _templates(spark: SparkSession) -> DataFrame:
         for number, text in enumerate(texts):
             words = _words(text)
             pairs = sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
-            rows += [(p, family, number, len(pairs)) for p in pairs]
-    return spark.createDataFrame(rows, "gram string, family string, number int, pairs int")
+            rows += [{"gram": p, "family": family, "number": number, "pairs": len(pairs)} for p in pairs]
+    return _inline(spark, rows, "gram string, family string, number int, pairs int")
 
 
 def classify(lines: DataFrame, model: dict, confirm_at: float = 0.7) -> DataFrame:
     """(line, family, score, similarity, confirmed) for every different line that is not ordinary.
 
-    A line without any feature word is ordinary by the model's bias alone and is left out
-    before its pairs are built.
+    A line without any single word that is a feature is ordinary and is left out before
+    its pairs are built.
     """
     spark = lines.sparkSession
     single = [g for g in model["features"] if " " not in g]
     bias, classes = model["bias"], model["classes"]
-    known = F.array(*(F.lit(g) for g in single))
+    known = F.array(*(F.lit(g) for g in single)).cast("array<string>")
     grams = (
         lines.select("line")
-        .withColumn("words", words_of(F.col("line")))
-        .filter(F.arrays_overlap("words", known))
-        .groupBy("line")
-        .agg(F.first("words").alias("words"))
-        .select("line", F.explode(grams_of(F.col("words"))).alias("gram"))
+        .filter(F.arrays_overlap(words_of(F.col("line")), known))
+        .distinct()
+        .select("line", F.explode(grams_of(words_of(F.col("line")))).alias("gram"))
     )
     sums = [(F.sum(F.col("w")[i]) + F.lit(float(bias[i]))).alias(f"z{i}") for i in range(len(classes))]
     scored = grams.join(F.broadcast(_weights(spark, model)), "gram").groupBy("line").agg(*sums)
@@ -236,7 +250,7 @@ def scan(
     model = model or train(docs, text_col, **options)
     lines = lines_of(docs, id_col, text_col)
     classes = stored(classify(lines, model, confirm_at), "licence-lines")
-    single = F.array(*(F.lit(g) for g in model["features"] if " " not in g))
+    single = F.array(*(F.lit(g) for g in model["features"] if " " not in g)).cast("array<string>")
     likely = lines.filter(F.arrays_overlap(words_of(F.col("line")), single))
     return likely.join(classes, "line").select(
         "doc_id", "paragraph", "family", "nearest", "score", "similarity", "confirmed"
