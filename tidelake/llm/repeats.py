@@ -65,8 +65,9 @@ def bands(shingles: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(rows)]
 
 
-def _key(words: list[str], kind: int) -> int:
-    return _signed(xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"), kind))
+def _key(text: str, kind: int) -> int:
+    """Equal paragraphs share it; that of a line is what Spark's xxhash64 gives."""
+    return _signed(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42 + kind))
 
 
 def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, int, int, int, str]]:
@@ -75,13 +76,13 @@ def paragraphs(text: str, min_words: int) -> Iterator[tuple[int, int, int, int,
     for number, line in enumerate(text.split("\n")):
         words = line.lower().split()
         if len(words) >= min_words:
-            yield LINE, number, at, at + len(line), len(words), _key(words, LINE), line
+            yield LINE, number, at, at + len(line), len(words), _key(line, LINE), line
             parts = list(_SENTENCE.finditer(line))
             for m in parts if len(parts) > 1 else ():
                 inner = m[0].lower().split()
                 if len(inner) >= min_words:
                     start = at + m.start() + len(m[0]) - len(m[0].lstrip())
-                    yield SENTENCE, number, start, at + m.end(), len(inner), _key(inner, SENTENCE), m[0]
+                    yield SENTENCE, number, start, at + m.end(), len(inner), _key(" ".join(inner), SENTENCE), m[0]
         at += len(line) + 1
 
 
@@ -101,7 +102,7 @@ def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
                 rows = [(DOCUMENT, -1, 0, len(text), 0, _signed(xxhash.xxh64_intdigest(text.encode(), 42)), None)]
                 rows += paragraphs(text, min_words)
                 for kind, line, start, end, words, key, body in rows:
-                    mark = bands(np.unique(shingle_hashes(body, WIDTH))) if kind == LINE else None
+                    mark = bands(shingle_hashes(body, WIDTH)) if kind == LINE else None
                     for column, value in zip(columns, (rid, doc_id, kind, line, start, end, words, key, mark)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -112,29 +113,25 @@ def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
     )
 
 
-def _shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame, min_words: int) -> DataFrame:
+def _shingle_sets(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     """(key, shingles) of the wanted lines; a filter of fixed size keeps the others out of the shuffle."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches, 64):
-            keys, sets = [], []
-            for text in batch.column("text").to_pylist():
-                for kind, _, _, _, _, key, body in paragraphs(text, min_words):
-                    if kind == LINE:
-                        keys.append(key)
-                        sets.append(np.unique(shingle_hashes(body, WIDTH)).view(np.int64))
+        for batch in text_slices(batches):
+            sets = [np.unique(shingle_hashes(t, WIDTH)).view(np.int64) for t in batch.column("line").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"]
+                [batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["key", "shingles"]
             )
 
-    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    lines = texts.mapInArrow(run, "key long, shingles array<long>")
+    lines = docs.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("line"))
+    lines = lines.withColumn("key", F.xxhash64("line"))
     slot = F.pmod("key", F.lit(FILTER_BITS))
     maps = key_bitmaps(wanted.select(slot.alias("slot")))
     near = lines.withColumn("slot", slot)
     near = near.join(F.broadcast(maps), block_of(F.col("slot")) == F.col("block"))
     near = near.filter(test_bit(F.col("bitmap"), F.pmod("slot", F.lit(BLOCK_BITS))))
-    return near.groupBy("key").agg(F.first("shingles").alias("shingles")).join(wanted, "key", "left_semi")
+    once = near.groupBy("key").agg(F.first("line").alias("line")).join(wanted, "key", "left_semi")
+    return once.mapInArrow(run, "key long, shingles array<long>")
 
 
 def similar(a: set, b: set) -> bool:
@@ -220,7 +217,7 @@ def repeated(
     banded = classes.select("key", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
     met = stored(banded.join(shared, "band"), "repeats-met")
-    sets = _shingle_sets(docs, text_col, stored(met.select("key").distinct(), "repeats-wanted"), min_words)
+    sets = _shingle_sets(docs, text_col, stored(met.select("key").distinct(), "repeats-wanted"))
     roots = stored(components(_links(met, sets, sparse, block)), "repeats-roots")
 
     paragraphs_ = units.filter(F.col("kind") != DOCUMENT).drop("bands")
