@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelake.llm.common import ROW, packed, text_slices
+from tidelake.llm.common import ROW, packed, stored, text_slices
 
 UNDECIDED = "und"
 BITS = 14
 DIM = 16
+#: The sample is cut by 2**SAMPLE_BITS hash bins per language; a bin is what a task may sort beyond it.
+SAMPLE_BITS = 16
 #: Every ASCII byte that is no letter becomes a space; other bytes stay.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 _HAS_LETTER = re.compile(r"[^\W\d_]")
@@ -171,9 +173,20 @@ def train(
         F.xxhash64(F.lit("sample"), F.col(id_col), F.col(text_col)).alias("order"),
     )
     labelled = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # counts per hash bin say how far the sample reaches, so that no other text is shuffled
+    bins = labelled.withColumn("bin", F.shiftright("order", 64 - SAMPLE_BITS))
+    running = Window.partitionBy("lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = (
+        bins.groupBy("lang", "bin").count()
+        .withColumn("before", F.coalesce(F.sum("count").over(running), F.lit(0)))
+        .filter(F.col("before") < per_language)
+        .groupBy("lang").agg(F.max("bin").alias("last"))
+    )
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", "text"))
     sample = (
-        labelled.withColumn("place", place)
+        bins.join(stored(reach, "langid-reach"), "lang")
+        .filter(F.col("bin") <= F.col("last"))
+        .withColumn("place", place)
         .filter(F.col("place") <= per_language)
         .orderBy("place", "lang")
         .limit(max_sample)
