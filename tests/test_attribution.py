@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tidelake.operators.attribution import (
     NoPositivesError,
     attribute_clicks,
-    fitting_bucket,
     label_rate,
     last_touch,
     require_positives,
@@ -123,11 +122,6 @@ def test_ties_go_to_the_larger_id_and_one_click_labels_one_row(make_log):
     assert labels(attribute_clicks(log)) == {1: 0, 2: 1}
 
 
-def test_window_beyond_a_day_is_refused(make_log):
-    with pytest.raises(ValueError):
-        attribute_clicks(make_log([(1, 1, 1, "2024-01-01 00:00:00", "click")]), window_seconds=90_000)
-
-
 def test_hot_key_is_spread_over_its_buckets(spark, make_log):
     """No window group grows with the share of one key, only with its rate per bucket."""
     start = datetime(2024, 1, 1)
@@ -138,16 +132,17 @@ def test_hot_key_is_spread_over_its_buckets(spark, make_log):
     assert plan.count() == 2000
 
 
-def test_buckets_shrink_with_the_busiest_hour(spark):
-    def log(rows, seconds):
-        at = f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % {seconds})"
-        return spark.range(rows).selectExpr(f"{at} as event_timestamp")
+@pytest.mark.parametrize("seconds", [10, 86_400])
+def test_bucket_length_never_changes_labels(make_log, seconds):
+    log = make_log(random_rows(21))
+    assert labels(attribute_clicks(log, bucket_seconds=seconds)) == labels(attribute_clicks(log))
 
-    assert fitting_bucket(log(100, 86_400)) == 86_400
-    assert fitting_bucket(log(7200, 3600), group_rows=100) == 150
-    assert fitting_bucket(log(7200, 7200), group_rows=100) == 300
-    assert fitting_bucket(log(5000, 3600), group_rows=1) == 10
-    assert fitting_bucket(log(0, 3600)) == 86_400
+
+def test_wide_windows_need_the_whole_log(make_log):
+    log = make_log([(1, 1, 1, "2024-01-01 00:00:00", "impression"), (2, 1, 1, "2024-01-03 00:00:00", "click")])
+    assert labels(attribute_clicks(log, window_seconds=3 * 86_400)) == {1: 1}
+    with pytest.raises(ValueError):
+        attribute_clicks(log, window_seconds=86_401, day=date(2024, 1, 1))
 
 
 def test_label_rate_and_guard(make_log):

@@ -78,14 +78,13 @@ def test_video_feature_ranks_by_price(spark):
     assert got == {2: (1, 1), 1: (2, 2), 3: (3, 3)}
 
 
-def test_snapshot_beyond_its_bound_stops_the_job(spark):
-    df = spark.range(201).selectExpr(
+def test_price_ranks_have_no_end(spark):
+    df = spark.range(1500).selectExpr(
         "date'2024-01-01' as dt", "id as video_id", "'a' as category", "1 as size",
         "double(id) as price", "int(id) as rank",
     )
-    with pytest.raises(PySparkException, match="more than 200 videos"):
-        video_feature(df).collect()
-    assert video_feature(df.where("video_id < 200")).count() == 200
+    assert [r.price_rank for r in video_feature(df).orderBy("price_rank").collect()] == list(range(1, 1501))
+    assert top_n(df, ["category"], [F.desc("video_id")], 1200).count() == 1200
 
 
 def test_top_n_limits_groups_before_the_shuffle(spark):
@@ -121,6 +120,7 @@ def test_latest_row_is_whole(spark):
 def test_first_users(spark):
     df = spark.createDataFrame([(5,), (3,), (9,), (3,)], "user_id long")
     assert [r.user_id for r in first_n_users(df, 2).collect()] == [3, 5]
-    for n in (0, 1001, True):
+    assert first_n_users(df, 5000).count() == 3
+    for n in (0, True):
         with pytest.raises(ValueError):
             first_n_users(df, n)

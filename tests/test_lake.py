@@ -56,9 +56,11 @@ def test_left_over_copies_and_shards_are_not_read(spark, base):
     assert spark.table("source_files").count() == 4
 
 
-def test_window_read_skips_absent_days(spark, base):
-    df = lake.read_days(spark, base, lake.days_between(date(2024, 1, 2), date(2024, 1, 9)))
-    assert counts(df) == {DAYS[1]: 4, DAYS[2]: 4}
+def test_window_read_names_absent_days(spark, base):
+    wanted = lake.days_between(date(2024, 1, 2), date(2024, 1, 9))
+    assert counts(lake.read_days(spark, base, wanted, missing_ok=True)) == {DAYS[1]: 4, DAYS[2]: 4}
+    with pytest.raises(FileNotFoundError, match="2024-01-09"):
+        lake.read_days(spark, base, wanted)
     with pytest.raises(FileNotFoundError):
         lake.read_days(spark, base, [date(2025, 1, 1)])
 
@@ -177,3 +179,28 @@ def test_bad_day_raises_and_is_not_recorded(spark, log):
         load_day(spark, source, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
     with pytest.raises(PySparkException):
         spark.read.parquet(ledger)
+
+
+def test_a_failed_reload_leaves_the_good_day(spark, base, log):
+    target, ledger, worse = (scratch(spark, n) for n in ("raw", "ledger", "src"))
+    load_day(spark, base, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+    before = sorted(map(tuple, lake.read_partition(spark, target, DAYS[0]).collect()))
+    sink.backfill(log.unionByName(log.where("event_id = 10")), worse)
+    with pytest.raises(ValidationError):
+        load_day(spark, worse, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+    assert sorted(map(tuple, lake.read_partition(spark, target, DAYS[0]).collect())) == before
+    with pytest.raises(FileNotFoundError):
+        load_days(spark, base, target, [date(2024, 1, 1), date(2024, 2, 1)], TABLE, ledger)
+    assert spark.read.parquet(ledger).count() == 1
+
+
+def test_a_clean_rerun_empties_the_days_quarantine(spark, log):
+    path = scratch(spark, "aside")
+    bad = sink.split_quarantine(log, {"odd": F.col("event_id") % 2 == 1})[1]
+    sink.write_quarantine(bad, path)
+    rows = spark.read.json(path)
+    day = date.fromisoformat(DAYS[0])
+    others = rows.where(F.col("dt") != F.lit(day)).count()
+    assert 0 < others < rows.count()
+    sink.write_quarantine(bad.limit(0), path, day)
+    assert spark.read.json(path).count() == others

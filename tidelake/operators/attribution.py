@@ -20,23 +20,8 @@ from tidelake.functions.predicates import any_null, none_null
 from tidelake.operators.asof import pit_join
 
 CLICK_WINDOW_SECONDS = 30 * 60
-HOUR_SECONDS = 3_600
-SHORTEST_BUCKET = 10
-# rows that one key may bring to a task, and the share of all rows it is assumed to hold
-GROUP_ROWS = 1_000_000
-HOT_SHARE = 1 / 3
-
-
-def fitting_bucket(df: DataFrame, ts: str = "event_timestamp", group_rows: int = GROUP_ROWS) -> int:
-    """Bucket length at which a key with a third of all rows stays within ``group_rows``.
-
-    Taken from the busiest hour, which one scan of the time column finds. Small tables
-    get whole days, where buckets cost least; large ones get minutes or seconds.
-    """
-    per_hour = df.groupBy(time_bucket(df, ts, HOUR_SECONDS).alias("_hour")).count()
-    busiest = per_hour.agg(F.max("count").alias("rows")).first().rows or 1
-    seconds = int(HOUR_SECONDS * group_rows / (busiest * HOT_SHARE))
-    return max(SHORTEST_BUCKET, min(seconds, DAY_SECONDS))
+# one length for every table: the rows of a key in ten minutes meet in a task
+BUCKET_SECONDS = 600
 
 
 def two_day_slice(log: DataFrame, day: date) -> DataFrame:
@@ -49,24 +34,24 @@ def attribute_clicks(
     keys: Sequence[str] = ("user_id", "video_id"),
     window_seconds: int = CLICK_WINDOW_SECONDS,
     day: date | None = None,
-    bucket_seconds: int | None = None,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Impressions with ``label`` 0/1; of one day, or of every day when none is named.
 
     Rows meet per key and time bucket, so a key with a third of all rows is spread
     over its buckets however wide the click window is. If the first row after a
-    bucket is a click, a copy of it closes the bucket. Without a given length the
-    buckets are fitted to the table, see :func:`fitting_bucket`.
+    bucket is a click, a copy of it closes the bucket. The length never changes the
+    result; shorter buckets spread a key that is busier.
     """
-    if not 0 < window_seconds <= DAY_SECONDS:
-        raise ValueError("the window must lie within one day, as D and D+1 are read")
+    if window_seconds <= 0 or (day is not None and window_seconds > DAY_SECONDS):
+        raise ValueError("the window must be positive and, as D and D+1 are read, within one day")
     keys = list(keys)
     log = log.where(F.col("event_type").isin("impression", "click"))
     if day is not None:
         log = two_day_slice(log, day)
     entity = list(dict.fromkeys(["event_id", "user_id", "video_id", *keys]))
     no_key = any_null(keys)
-    bucket = time_bucket(log, "event_timestamp", bucket_seconds or fitting_bucket(log))
+    bucket = time_bucket(log, "event_timestamp", bucket_seconds)
     rows = (
         log.select(
             *entity,
@@ -125,7 +110,7 @@ def last_touch(
     log: DataFrame,
     keys: Sequence[str] = ("user_id", "video_id"),
     window_seconds: int = CLICK_WINDOW_SECONDS,
-    bucket_seconds: int | None = None,
+    bucket_seconds: int = BUCKET_SECONDS,
 ) -> DataFrame:
     """Every click with the impression it goes to, NULL if none lies in the window.
 
@@ -134,7 +119,6 @@ def last_touch(
     """
     keys = list(keys)
     log = log.where(F.col("event_type").isin("impression", "click"))
-    bucket_seconds = bucket_seconds or fitting_bucket(log)
     shown = log.where(F.col("event_type") == "impression")
     latest = shown.groupBy(*keys, "event_timestamp").agg(F.max("event_id").alias("event_id"))
     clicks = log.where(F.col("event_type") == "click").select(

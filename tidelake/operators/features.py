@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelake.functions.dates import kst_midnight
-from tidelake.operators.ranking import SNAPSHOT_LIMIT
 
 # The event kinds of the log.
 EVENT_TYPES = ("impression", "click", "view", "like")
@@ -70,12 +69,10 @@ def user_dynamic(log: DataFrame, videos: DataFrame, day: date | None = None) ->
 def video_feature(trending: DataFrame, day: date | None = None) -> DataFrame:
     """One row per video and day of the snapshot.
 
-    The snapshot holds at most 200 videos a day, which bounds the price ranking; a
-    longer one stops the job.
+    Prices are ranked within a day; the collector bounds a day's snapshot.
     """
     rows = trending if day is None else trending.where(F.col("dt") == F.lit(day))
     by_price = Window.partitionBy("dt").orderBy(F.desc_nulls_last("price"), "video_id")
-    too_many = F.raise_error(F.lit(f"more than {SNAPSHOT_LIMIT} videos in a daily snapshot"))
     place = F.row_number().over(by_price)
     return rows.select(
         "video_id",
@@ -83,7 +80,7 @@ def video_feature(trending: DataFrame, day: date | None = None) -> DataFrame:
         "category",
         "size",
         F.col("rank").alias("trend_rank"),
-        F.when(place > SNAPSHOT_LIMIT, too_many.cast("int")).otherwise(place).alias("price_rank"),
+        place.alias("price_rank"),
         "dt",
     )
 

@@ -82,7 +82,7 @@ def publish_day(
         shares = ", ".join(f"dt={r.dt} {r.bad_ratio:.3f}" for r in over)
         raise ValidationError(f"quarantine ratio above {limit}: {shares}")
     good, bad = split_tagged(tagged)
-    write_quarantine(bad, quarantine)
+    write_quarantine(bad, quarantine, day)
     replace_partition(good, base, day, overwrite=overwrite, rebalance=True)
     stored = read_partition(log.sparkSession, base, day)
     return enforce(action_log_quality(stored, videos, users, model, day))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.operators.quality import enforce, validate_raw
+from tidelake.session import scratch
+from tidelake.sources.fs import SharedFs
 from tidelake.sources.lake import read_days, read_partition
 from tidelake.sources.sink import backfill, replace_partition
 
@@ -43,14 +45,17 @@ def load_day(
     ledger: str | None = None,
     require_success: bool = True,
 ) -> list[dict]:
-    """Load and check one day. A violated check raises before the ledger entry, so
-    nothing downstream takes the day for ready."""
+    """Load and check one day. The checks run on a staged copy: a violated one raises
+    while the target and the ledger still hold the load before."""
     files = read_partition(
         spark, source, day, schema=table.schema, require_success=require_success
     )
-    replace_partition(files, target, day, schema=table.schema, overwrite=True)
-    loaded = read_partition(spark, target, day, schema=table.schema)
-    metrics = enforce(validate_raw(loaded, files, table.required, table.key, day))
+    staging = scratch(spark, f"staged-{table.name}")
+    replace_partition(files, staging, day, schema=table.schema, overwrite=True)
+    staged = read_partition(spark, staging, day, schema=table.schema)
+    metrics = enforce(validate_raw(staged, files, table.required, table.key, day))
+    replace_partition(staged, target, day, schema=table.schema, overwrite=True)
+    SharedFs(spark, staging).delete(staging)
     if ledger:
         record(spark, ledger, table.name, day)
     return metrics
@@ -59,12 +64,17 @@ def load_day(
 def load_days(
     spark: SparkSession, source: str, target: str, days: list[date], table: RawTable, ledger: str
 ) -> list[dict]:
-    """The same for several days as one load, one check and one ledger entry set."""
+    """The same for several days as one load, one check and one ledger entry set.
+
+    Every requested day must have a partition; a missing one raises.
+    """
     files = read_days(spark, source, days, schema=table.schema)
-    backfill(files, target, schema=table.schema)
-    loaded = read_days(spark, target, days, schema=table.schema)
-    metrics = validate_raw(loaded, files, table.required, table.key)
-    rows = enforce(metrics)
+    staging = scratch(spark, f"staged-{table.name}")
+    backfill(files, staging, schema=table.schema)
+    staged = read_days(spark, staging, days, schema=table.schema)
+    rows = enforce(validate_raw(staged, files, table.required, table.key))
+    backfill(staged, target, schema=table.schema)
+    SharedFs(spark, staging).delete(staging)
     entries = spark.createDataFrame([(table.name, r["dt"]) for r in rows], "table_name string, dt date")
     entries.withColumn("validated_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(
         ledger

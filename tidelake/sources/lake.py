@@ -61,10 +61,14 @@ def read_days(
     days: Iterable[date],
     pattern: str = CANONICAL,
     schema: T.StructType | None = None,
+    missing_ok: bool = False,
 ) -> DataFrame:
-    """The named days that exist. Only their folders are listed, not the whole table."""
+    """The named days. A day without a partition is an error unless it may be missing."""
     present = set(partitions(spark, base))
-    wanted = sorted(d for d in map(str, days) if d in present)
+    named = sorted(set(map(str, days)))
+    wanted = [d for d in named if d in present]
+    if not missing_ok and len(wanted) < len(named):
+        raise FileNotFoundError(f"not in {base}: {', '.join(d for d in named if d not in present)}")
     if not wanted:
         raise FileNotFoundError(f"none of the days is in {base}")
     return _scan(spark, base, [f"{partition_path(base, d)}/{pattern}" for d in wanted], schema)

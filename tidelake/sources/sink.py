@@ -146,8 +146,13 @@ def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, tagged.where(F.size("reasons") > 0)
 
 
-def write_quarantine(bad: DataFrame, base: str) -> None:
-    """Bad rows as JSON lines under their day."""
+def write_quarantine(bad: DataFrame, base: str, day: date | None = None) -> None:
+    """Bad rows as JSON lines under their day.
+
+    With a named day its quarantine is replaced as a whole, by nothing if no row is bad.
+    """
+    if day is not None:
+        SharedFs(bad.sparkSession, base).delete(f"{base}/dt={day}")
     (
         bad.hint("rebalance", "dt")
         .write.mode("overwrite")

@@ -89,7 +89,7 @@ def stream_attribution(
         ]
         if final:
             days = days_between(final[0], final[-1] + timedelta(days=1))
-            landed = read_days(session, landing, days, "batch=*/part-*.parquet")
+            landed = read_days(session, landing, days, "batch=*/part-*.parquet", missing_ok=True)
             labelled = attribute_clicks(landed, keys, window_seconds)
             backfill(labelled.where(F.col("dt").isin(final)), spine)
         # written last: a batch that is lost before this point does its days again
