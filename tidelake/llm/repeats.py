@@ -50,19 +50,37 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def minhash(shingles: np.ndarray, block: int = 4096) -> np.ndarray:
-    """The smallest of each hash function over a set of shingle hashes."""
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(shingles), block):
-        h = shingles[start : start + block, None] * _FACTORS + _SHIFTS
-        np.minimum(least, (h ^ h >> np.uint64(31)).min(axis=0), out=least)
-    return least
+def minhashes(sets: list[np.ndarray], block: int = 1 << 15) -> np.ndarray:
+    """A row per non-empty array of shingle hashes: the smallest value of each hash function.
 
-
-def bands(shingles: np.ndarray) -> list[int]:
-    """One number per band; the number of the band is part of it."""
-    rows = minhash(shingles).reshape(BANDS, BAND_ROWS).astype("<u8")
-    return [_signed(xxhash.xxh64_intdigest(r.tobytes(), i)) for i, r in enumerate(rows)]
+    Arrays are worked on together, up to block shingles at once; a longer one in pieces.
+    """
+    out = np.full((len(sets), len(_FACTORS)), np.iinfo(np.uint64).max, np.uint64)
+    pieces = [(i, s[at : at + block]) for i, s in enumerate(sets) for at in range(0, len(s), block)]
+    first = 0
+    while first < len(pieces):
+        last, total = first, 0
+        while last < len(pieces) and (last == first or total + len(pieces[last][1]) <= block):
+            total += len(pieces[last][1])
+            last += 1
+        rows = [i for i, _ in pieces[first:last]]
+        lengths = np.array([len(s) for _, s in pieces[first:last]])
+        h = np.concatenate([s for _, s in pieces[first:last]])[:, None] * _FACTORS
+        h += _SHIFTS
+        h ^= h >> np.uint64(31)
+        np.minimum.at(out, rows, np.minimum.reduceat(h, np.cumsum(lengths) - lengths, axis=0))
+        first = last
+    return out
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A row per set with one number per band; the number of the band is part of it."""
+    rows = minhashes(sets).reshape(-1, BANDS, BAND_ROWS)
+    mixed = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), rows.shape[:2]).copy()
+    for r in range(BAND_ROWS):
+        mixed = (mixed ^ rows[:, :, r]) * _FACTORS[r]
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
 
 
 def _key(text: str, kind: int) -> int:
@@ -101,8 +119,9 @@ def _units(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataF
                 rid += 1
                 rows = [(DOCUMENT, -1, 0, len(text), 0, _signed(xxhash.xxh64_intdigest(text.encode(), 42)), None)]
                 rows += paragraphs(text, min_words)
-                for kind, line, start, end, words, key, body in rows:
-                    mark = bands(shingle_hashes(body, WIDTH)) if kind == LINE else None
+                marks = iter(bands([shingle_hashes(r[-1], WIDTH) for r in rows if r[0] == LINE]))
+                for kind, line, start, end, words, key, _ in rows:
+                    mark = next(marks) if kind == LINE else None
                     for column, value in zip(columns, (rid, doc_id, kind, line, start, end, words, key, mark)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
