@@ -13,13 +13,13 @@ from tidelake.operators.results import audit_results
 @pytest.mark.parametrize(
     ("uri", "want"),
     [
-        ("gs://my-bucket/data_lake/trending", ("my-bucket", "data_lake/trending")),
-        ("gs://my-bucket/data_lake/action_log/", ("my-bucket", "data_lake/action_log")),
+        ("gs://reef/tide/daily", ("reef", "tide/daily")),
+        ("gs://reef/tide/hourly/", ("reef", "tide/hourly")),
         ("", None),
-        ("my-bucket/data_lake", None),
+        ("reef/tide", None),
         ("gs://", None),
-        ("gs://bucket-only", None),
-        ("gs://bucket-only/", None),
+        ("gs://reef", None),
+        ("gs://reef/", None),
     ],
 )
 def test_base_path(spark, uri, want):
@@ -30,7 +30,7 @@ def test_base_path(spark, uri, want):
 
 @pytest.mark.parametrize(
     "uri",
-    ["", "bucket/path", "gs://test-bucket/path//object", "gs://test-bucket/path/", "gs://b/a\\c",
+    ["", "reef/tide", "gs://reef/tide//x", "gs://reef/tide/", "gs://b/a\\c",
      "gs://b/../c", "gs://b", "gs:///x", None],
 )
 def test_strict_path_refuses(spark, uri):
@@ -65,13 +65,13 @@ def test_outer_slash_only_matters_in_strict_mode(spark):
     assert audit_objects(df, strict=True).first()["class"] == "not_normalized"
 
 
-PREFIX = "gs://qa-bucket/qa/action-log/run=1"
+PREFIX = "gs://reef/qa/action-log/trial-3"
 QA = {
     "qa_prefix": PREFIX,
-    "youtube_base_path": f"{PREFIX}/youtube",
-    "virtual_users_path": f"{PREFIX}/users.parquet",
-    "action_log_output_base_path": f"{PREFIX}/final",
-    "action_log_quarantine_base_path": f"{PREFIX}/quarantine",
+    "youtube_base_path": f"{PREFIX}/source",
+    "virtual_users_path": f"{PREFIX}/people",
+    "action_log_output_base_path": f"{PREFIX}/log",
+    "action_log_quarantine_base_path": f"{PREFIX}/aside",
 }
 
 
@@ -87,10 +87,10 @@ def errors(spark, conf, kind=ACTION_LOG):
         {},
         {"partition_date": "2024-01-01", "overwrite": True},
         QA,
-        {**QA, "candidates_per_user": 20},
-        {**QA, "candidates_per_user": " 24 "},
+        {**QA, "candidates_per_user": 37},
+        {**QA, "candidates_per_user": " 37 "},
         {**QA, "qa_prefix": PREFIX + "/"},
-        {**QA, "youtube_base_path": f"  {PREFIX}/youtube//  "},
+        {**QA, "youtube_base_path": f"  {PREFIX}/source//  "},
     ],
 )
 def test_valid_requests(spark, conf):
@@ -102,25 +102,25 @@ def test_valid_requests(spark, conf):
     [
         ({"qa_prefix": PREFIX, "youtube_base_path": f"{PREFIX}/y"}, "paths are missing"),
         ({**QA, "youtube_base_path": 7}, "paths are missing"),
-        ({"candidates_per_user": 20}, "qa_prefix is missing"),
-        ({**QA, "qa_prefix": "gs://qa-bucket/data_lake/action_log"}, "qa_prefix is outside its namespace"),
-        ({**QA, "qa_prefix": "gs://qa-bucket/qa/action-log"}, "qa_prefix is outside its namespace"),
-        ({**QA, "qa_prefix": "gs://qa-bucket//qa/action-log/x"}, "qa_prefix is not normalized"),
-        ({**QA, "action_log_output_base_path": "gs://qa-bucket/data_lake/x"}, "path is outside qa_prefix"),
+        ({"candidates_per_user": 37}, "qa_prefix is missing"),
+        ({**QA, "qa_prefix": "gs://reef/live/log"}, "qa_prefix is outside its namespace"),
+        ({**QA, "qa_prefix": "gs://reef/qa/action-log"}, "qa_prefix is outside its namespace"),
+        ({**QA, "qa_prefix": "gs://reef//qa/action-log/trial-3"}, "qa_prefix is not normalized"),
+        ({**QA, "action_log_output_base_path": "gs://reef/live/log"}, "path is outside qa_prefix"),
         ({**QA, "action_log_output_base_path": PREFIX + "-2/x"}, "path is outside qa_prefix"),
-        ({**QA, "action_log_quarantine_base_path": f"{PREFIX}/final"}, "paths are not distinct"),
-        ({**QA, "youtube_base_path": f"{PREFIX}/../youtube"}, "path is not normalized"),
-        ({"model_name": "x"}, "unsupported keys: model_name"),
-        ({"shard_count": 1, "api_key": "x"}, "unsupported keys: api_key, shard_count"),
+        ({**QA, "action_log_quarantine_base_path": f"{PREFIX}/log"}, "paths are not distinct"),
+        ({**QA, "youtube_base_path": f"{PREFIX}/../source"}, "path is not normalized"),
+        ({"colour": "x"}, "unsupported keys: colour"),
+        ({"speed": 1, "colour": "x"}, "unsupported keys: colour, speed"),
         ({**QA, "candidates_per_user": 0}, "candidates_per_user is out of range"),
         ({**QA, "candidates_per_user": "201"}, "candidates_per_user is out of range"),
         ({**QA, "candidates_per_user": True}, "candidates_per_user is not an integer"),
-        ({**QA, "candidates_per_user": "1.5"}, "candidates_per_user is not an integer"),
-        ({**QA, "candidates_per_user": 20.0}, "candidates_per_user is not an integer"),
+        ({**QA, "candidates_per_user": "3.7"}, "candidates_per_user is not an integer"),
+        ({**QA, "candidates_per_user": 37.0}, "candidates_per_user is not an integer"),
         ({**QA, "candidates_per_user": None}, "candidates_per_user is not an integer"),
         ({**QA, "qa_prefix": "/"}, "qa_prefix is not normalized"),
         ({**QA, "qa_prefix": {"a": 1}}, "qa_prefix is missing"),
-        ({**QA, "candidates_per_user": "many"}, "candidates_per_user is not an integer"),
+        ({**QA, "candidates_per_user": "a few"}, "candidates_per_user is not an integer"),
         ({**QA, "candidates_per_user": "9" * 60}, "candidates_per_user is out of range"),
         ("[1]", "not a JSON object"),
         ("{", "not a JSON object"),
@@ -130,17 +130,17 @@ def test_invalid_requests(spark, conf, error):
     assert error in errors(spark, conf)
 
 
-RUN = "gs://test-bucket/qa/youtube-backfill/run=1"
-FILL = {"qa_prefix": RUN, "source_path": f"{RUN}/in.parquet", "youtube_base_path": f"{RUN}/out"}
+RUN = "gs://reef/qa/youtube-backfill/trial-3"
+FILL = {"qa_prefix": RUN, "source_path": f"{RUN}/from", "youtube_base_path": f"{RUN}/to"}
 
 
 def test_backfill_requests(spark):
     assert errors(spark, {}, BACKFILL) == [] and errors(spark, FILL, BACKFILL) == []
     for conf, error in (
         ({"source_path": FILL["source_path"]}, "paths are missing"),
-        ({**FILL, "unknown": "value"}, "unsupported keys: unknown"),
-        ({**FILL, "youtube_base_path": "gs://test-bucket/production/output"}, "path is outside qa_prefix"),
-        ({**FILL, "qa_prefix": "gs://test-bucket/qa/other/run=1"}, "qa_prefix is outside its namespace"),
+        ({**FILL, "colour": "x"}, "unsupported keys: colour"),
+        ({**FILL, "youtube_base_path": "gs://reef/live/to"}, "path is outside qa_prefix"),
+        ({**FILL, "qa_prefix": "gs://reef/qa/sandbox/trial-3"}, "qa_prefix is outside its namespace"),
         ({**FILL, "qa_prefix": RUN + "/deep"}, "qa_prefix is outside its namespace"),
         ({**FILL, "qa_prefix": RUN + "/"}, "qa_prefix is not normalized"),
         ({**FILL, "youtube_base_path": FILL["source_path"]}, "paths are not distinct"),
@@ -150,7 +150,7 @@ def test_backfill_requests(spark):
 
 def test_requests_resolve_to_their_own_paths_or_the_fallbacks(spark):
     fallbacks = {k: f"gs://prod/{k}" for k in ACTION_LOG.paths}
-    confs = [{}, {**QA, "candidates_per_user": "30"}, {"model_name": "x"}]
+    confs = [{}, {**QA, "candidates_per_user": "30"}, {"colour": "x"}]
     df = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(confs)], "i int, conf string")
     rows = {r.i: r for r in resolve_requests(df, ACTION_LOG, fallbacks).collect()}
     assert [rows[0][k] for k in ACTION_LOG.paths] == list(fallbacks.values())
@@ -173,13 +173,13 @@ RECORD = {
     "contract_version": "model-promotion-result-v1",
     "outcome": "promoted",
     "reason_code": "metric_not_degraded",
-    "model_name": "ctr-model",
-    "champion_alias": "champion",
-    "candidate_version": "8",
-    "champion_version": "7",
+    "model_name": "tide",
+    "champion_alias": "best",
+    "candidate_version": "31",
+    "champion_version": "29",
     "metric_name": "val_roc_auc",
-    "candidate_metric": 0.81,
-    "champion_metric": 0.80,
+    "candidate_metric": 0.6425,
+    "champion_metric": 0.6375,
 }
 NO_CHAMPION = {"champion_version": None, "champion_metric": None}
 REJECTED = {"outcome": "rejected", "reason_code": "metric_below_champion"}
@@ -209,21 +209,21 @@ def test_valid_results(spark, change):
     ("change", "error"),
     [
         ({"event": "other"}, "unknown contract"),
-        ({"contract_version": "unknown"}, "unknown contract"),
+        ({"contract_version": "v0"}, "unknown contract"),
         ({"outcome": "no_candidate"}, "unknown outcome"),
         ({"outcome": "error"}, "unknown outcome"),
         ({"reason_code": "metric_below_champion"}, "reason does not fit the outcome"),
         ({"outcome": "rejected"}, "reason does not fit the outcome"),
-        ({"outcome": "rejected", "reason_code": "unknown_reason"}, "reason does not fit the outcome"),
+        ({"outcome": "rejected", "reason_code": "felt_right"}, "reason does not fit the outcome"),
         ({"reason_code": None}, "reason does not fit the outcome"),
         ({"model_name": None}, "model_name is missing"),
         ({"champion_alias": " "}, "champion_alias is missing"),
-        ({"candidate_version": 8}, "candidate_version is missing"),
-        ({"metric_name": "accuracy"}, "unknown metric"),
+        ({"candidate_version": 31}, "candidate_version is missing"),
+        ({"metric_name": "log_loss"}, "unknown metric"),
         ({"candidate_metric": None}, "candidate_metric is not a finite number"),
         ({"candidate_metric": True}, "candidate_metric is not a finite number"),
-        ({"candidate_metric": "0.81"}, "candidate_metric is not a finite number"),
-        ({"champion_metric": "0.80"}, "champion is incomplete"),
+        ({"candidate_metric": "0.6425"}, "candidate_metric is not a finite number"),
+        ({"champion_metric": "0.6375"}, "champion is incomplete"),
         ({**REJECTED, **NO_CHAMPION}, "champion is incomplete"),
         ({"reason_code": "first_champion"}, "first champion has a predecessor"),
         (

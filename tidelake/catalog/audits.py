@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
-from tidelake.functions.redact import normalize_reason, reason_label, redact, safe_url
+from tidelake.functions.redact import (
+    SECRET_NAMES,
+    normalize_reason,
+    reason_label,
+    redact,
+    safe_url,
+)
 from tidelake.operators.coverage import coverage, window_gaps, write_conflicts
 from tidelake.operators.objects import audit_objects
 from tidelake.operators.requests import ACTION_LOG, BACKFILL, validate_requests
@@ -89,28 +95,35 @@ _LINK = """CASE page_id % 6
   WHEN 4 THEN 'HTTPS' || regexp_replace(url, '^https?', '') || '/a@b'
   ELSE ' ' || url END"""
 
-# Redaction in the RE2 dialect, which has neither look-behind nor back-references: the
-# character before a key is consumed and put back, each quote gets its own branch.
-_NAMES = "password|token|api_key|client_secret|access_token|secret_key|aws_secret_access_key"
+# The rules of redaction in SQL. RE2 has no look-behind: the character before a bare key or
+# the word "bearer" is taken into the match and put back.
+_NAMES = f"(?:{'|'.join(SECRET_NAMES)})"
 _WS = "\\s\\v\\x1c-\\x1f\\x{85}\\p{Z}"
-_BODY2 = r'(?:\\[^\r\n]|[^"\\\r\n])*'
-_BODY1 = r"(?:\\[^\r\n]|[^''\\\r\n])*"
+_SET = f"[{_WS}]*[=:][{_WS}]*"
+_REST = f"[^,;{_WS}]+"
 
 
 def _redact_sql(text: str) -> str:
-    lead2 = rf'(?:(?:"_*(?:[a-z0-9]+_+)*(?:{_NAMES})")|(?:^|[^a-z0-9])(?:{_NAMES}))'
-    lead1 = rf"(?:(?:''_*(?:[a-z0-9]+_+)*(?:{_NAMES})''))"
-    key = rf"(?:{lead2}|{lead1})[{_WS}]*[=:][{_WS}]*"
-    steps = [
-        (rf"(^|[^\p{{L}}\p{{N}}_])([a-z][a-z0-9+.-]*://[^/@:{_WS}]+:)[^@/?#{_WS}]+@",
-         r"\1\2[REDACTED]@"),
-        (rf"(^|[^\p{{L}}\p{{N}}_])([a-z][a-z0-9+.-]*://)[a-z0-9._~!$&''()*+,;=%-]+"
-         rf"(@(?:\[[0-9a-f:.]+\]|[a-z0-9.-]+)(?::\d+)?(?:[/?#{_WS}]|$))", r"\1\2[REDACTED]\3"),
-        (rf'({key}"){_BODY2}(")' + rf"|({key}''){_BODY1}('')", r"\1\3[REDACTED]\2\4"),
-        (rf"(^|[^a-z0-9])((?:{_NAMES})[{_WS}]*[=:][{_WS}]*)[^,;{_WS}]+", r"\1\2[REDACTED]"),
-        (rf"(^|[^\p{{L}}\p{{N}}_])(Bearer[{_WS}]+)[^,;{_WS}]+", r"\1\2[REDACTED]"),
-    ]
-    for pattern, replacement in steps:
+    # an authority follows a piece that ends in a scheme; the colon stands for a next ://
+    ends_in_scheme = r"(^|[^\p{L}\p{N}_])[a-z][a-z0-9+.-]*$"
+    pieces = f"string_split({text}, '://')"
+    more = f"CASE WHEN i < len({pieces}) THEN ':' ELSE '' END"
+    hidden = f"regexp_replace(p || {more}, '^([^/@:{_WS}]+:)[^@/?#{_WS}]+@', '\\1[REDACTED]@', 'i')"
+    allowed = "[a-z0-9._~!$&''()*+,;=%-]+"
+    followed = rf"(@(?:[a-z0-9.-]+|\[[0-9a-f:.]+\])(?::\d+)?(?:[/?#{_WS}]|$))"
+    hidden = f"regexp_replace({hidden}, '^{allowed}{followed}', '[REDACTED]\\1', 'i')"
+    text = f"""array_to_string(list_transform({pieces}, lambda p, i:
+      CASE WHEN i > 1 AND regexp_matches({pieces}[i - 1], '{ends_in_scheme}', 'i')
+        THEN left({hidden}, CAST(len({hidden}) - len({more}) AS BIGINT)) ELSE p END), '://')"""
+    keys, values = [f"(?:^|[^a-z0-9]){_NAMES}"], []
+    for sign in ('"', "''"):
+        keys.append(f"{sign}(?:[a-z0-9_]*_)?{_NAMES}{sign}")
+        values.append(rf"({sign})(?:[^{sign}\\\r\n]|\\[^\r\n])*{sign}")
+    for pattern, replacement in (
+        (f"((?:{'|'.join(keys)}){_SET})(?:{'|'.join(values)})", r"\1\2\3[REDACTED]\2\3"),
+        (f"((?:^|[^a-z0-9]){_NAMES}{_SET}){_REST}", r"\1[REDACTED]"),
+        (rf"((?:^|[^\p{{L}}\p{{N}}_])bearer[{_WS}]+){_REST}", r"\1[REDACTED]"),
+    ):
         text = f"regexp_replace({text}, '{pattern}', '{replacement}', 'gi')"
     return text
 
@@ -127,14 +140,14 @@ def safe_urls(spark: SparkSession, sf: str) -> DataFrame:
     return pages.withColumn("safe", safe_url(F.col("link")))
 
 
-# Credentials in every supported form behind the document texts.
+# Credentials in every supported form, and two look-alikes, behind the document texts.
 _LEAKY = """text || CASE doc_id % 7
-  WHEN 0 THEN ' Authorization: bearer  ' || md5(text)
-  WHEN 1 THEN ' postgresql://service:' || substr(md5(text), 1, 9) || '@db.internal/app'
-  WHEN 2 THEN ' https://' || md5(text) || '@host.internal:8443/path'
-  WHEN 3 THEN ' {"client_secret": "' || md5(text) || '", "n": 1}'
-  WHEN 4 THEN ' my_ACCESS_TOKEN=' || md5(text) || '; Secret_Key : x'
-  WHEN 5 THEN ' https://host.invalid:8443/path@segment'
+  WHEN 0 THEN ' BEARER ' || md5(text) || '; rest'
+  WHEN 1 THEN ' amqp://writer:' || substr(md5(text), 1, 9) || '@broker-7.example:5671/jobs'
+  WHEN 2 THEN ' svn+ssh://' || md5(text) || '@[fe80::1]:3690/trunk'
+  WHEN 3 THEN ' [{"id": 4, "nightly_api_key" : "' || md5(text) || ' and more"}]'
+  WHEN 4 THEN ' old_PASSWORD : ' || md5(text) || ',Secret_Key=x mytoken=kept'
+  WHEN 5 THEN ' http://mirror.example/a@b?c=@d http://' || md5(text) || '@mirror.example://x'
   ELSE '' END"""
 
 
@@ -197,7 +210,7 @@ def reasons(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---- requests and records ---------------------------------------------------
 
-_RUN = "'gs://bucket/qa/action-log/run=' || CAST(o_orderkey AS STRING)"
+_RUN = "'gs://reef/qa/action-log/run=' || CAST(o_orderkey AS STRING)"
 
 
 def _conf(prefix: str, youtube: str, users: str, output: str, aside: str, more: str = "''") -> str:
@@ -228,17 +241,18 @@ _REQUEST = f"""CASE o_orderkey % 14
   WHEN 1 THEN '{{"partition_date": "2024-01-10", "overwrite": true}}'
   WHEN 2 THEN {_conf_in_run(more="', " + '"candidates_per_user": 20' + "'")}
   WHEN 3 THEN '{{"qa_prefix": "' || {_RUN} || '", "youtube_base_path": "' || {_RUN} || '/y"}}'
-  WHEN 4 THEN {_conf_in_run(prefix="'gs://bucket/data_lake/action_log'")}
-  WHEN 5 THEN {_conf_in_run(output="'gs://bucket/data_lake/action_log'")}
+  WHEN 4 THEN {_conf_in_run(prefix="'gs://reef/live/log'")}
+  WHEN 5 THEN {_conf_in_run(output="'gs://reef/live/log'")}
   WHEN 6 THEN {_conf_in_run(aside=_RUN + " || '/final'")}
   WHEN 7 THEN {_conf_in_run(youtube=_RUN + " || '/../youtube'")}
-  WHEN 8 THEN '{{"model_name": "x", "api_key": "y"}}'
+  WHEN 8 THEN '{{"speed": "x", "colour": "y"}}'
   WHEN 9 THEN {_conf_in_run(more=_COUNT)}
   WHEN 10 THEN '{{"candidates_per_user": "24"}}'
   WHEN 11 THEN '{{"qa_prefix": '
   WHEN 12 THEN {_conf_in_run(prefix=_RUN + " || '/'")}
-  ELSE {_conf_in_run(prefix="'gs://bucket//qa/action-log/x'")} END"""
+  ELSE {_conf_in_run(prefix="'gs://reef//qa/action-log/x'")} END"""
 
+# Key names and namespaces are the contract's, here and in the SQL below.
 _PATH_KEYS = list(ACTION_LOG.paths)
 
 
@@ -304,7 +318,7 @@ def request_audit(spark: SparkSession, sf: str) -> DataFrame:
     return audited.select("o_orderkey", F.array_join("errors", "; ").alias("errors"))
 
 
-_BACKFILL_RUN = "'gs://bucket/qa/youtube-backfill/run=' || CAST(o_orderkey AS STRING)"
+_BACKFILL_RUN = "'gs://reef/qa/youtube-backfill/run=' || CAST(o_orderkey AS STRING)"
 
 
 def _backfill_conf(prefix: str, source: str, target: str) -> str:
@@ -314,10 +328,10 @@ def _backfill_conf(prefix: str, source: str, target: str) -> str:
     )
 
 
-_OTHER = "gs://bucket/qa/other/run=1"
+_OTHER = "gs://reef/qa/sandbox/run=1"
 _FORMS = {
     "right": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in.parquet'", _BACKFILL_RUN + " || '/out'"),
-    "outside": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", "'gs://bucket/production/out'"),
+    "outside": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", "'gs://reef/live/out'"),
     "elsewhere": (f"'{_OTHER}'", f"'{_OTHER}/in'", f"'{_OTHER}/out'"),
     "same": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in'", _BACKFILL_RUN + " || '/in'"),
     "odd": (_BACKFILL_RUN, _BACKFILL_RUN + " || '/in//x'", _BACKFILL_RUN + " || '/out/'"),
@@ -332,15 +346,40 @@ _BACKFILL_REQUEST = f"""CASE o_orderkey % 7
   ELSE {_backfill_conf(*_FORMS["odd"])} END"""
 
 
+def _strict_text_sql(key: str) -> str:
+    return (
+        f"CASE WHEN json_type(doc, '$.{key}') = 'VARCHAR' "
+        f"AND trim(doc->>'{key}') <> '' THEN trim(doc->>'{key}') END"
+    )
+
+
+_STRICT = "(starts_with({0}, 'gs://') AND regexp_full_match({0}[6:], '[^/]+(/[^/]+)+'))"
+
+
 @query(
     "backfill_request_audit",
-    """SELECT o_orderkey, CASE o_orderkey % 7
-        WHEN 2 THEN 'qa_prefix is missing; paths are missing'
-        WHEN 3 THEN 'path is outside qa_prefix'
-        WHEN 4 THEN 'qa_prefix is outside its namespace'
-        WHEN 5 THEN 'paths are not distinct'
-        WHEN 6 THEN 'path is not normalized'
-        ELSE '' END AS errors FROM orders""",
+    with_ctes(
+        f"""SELECT o_orderkey, concat_ws('; ',
+            CASE WHEN trial AND prefix IS NULL THEN 'qa_prefix is missing' END,
+            CASE WHEN trial AND NOT {_STRICT.format('prefix')} THEN 'qa_prefix is not normalized'
+              END,
+            CASE WHEN trial AND {_STRICT.format('prefix')} AND NOT regexp_full_match(prefix[6:],
+              '[^/]+/qa/youtube-backfill/[^/]+') THEN 'qa_prefix is outside its namespace' END,
+            CASE WHEN trial AND len(paths) < 2 THEN 'paths are missing' END,
+            CASE WHEN trial AND len(list_distinct(paths)) < len(paths)
+              THEN 'paths are not distinct' END,
+            CASE WHEN trial AND len(list_filter(paths, lambda p: NOT {_STRICT.format('p')})) > 0
+              THEN 'path is not normalized' END,
+            CASE WHEN trial AND len(list_filter(paths,
+              lambda p: NOT starts_with(p, prefix || '/'))) > 0
+              THEN 'path is outside qa_prefix' END) AS errors
+        FROM fields""",
+        f"""docs AS (SELECT o_orderkey, CAST({_BACKFILL_REQUEST} AS JSON) AS doc FROM orders)""",
+        f"""fields AS (SELECT o_orderkey, len(json_keys(doc)) > 0 AS trial,
+            {_strict_text_sql('qa_prefix')} AS prefix,
+            list_filter([{', '.join(_strict_text_sql(k) for k in BACKFILL.paths)}],
+              lambda x: x IS NOT NULL) AS paths FROM docs)""",
+    ),
 )
 def backfill_request_audit(spark: SparkSession, sf: str) -> DataFrame:
     requests = s.table(spark, sf, "orders").select(
@@ -357,16 +396,16 @@ _RECORD = """'{"event": "model_promotion_result", "contract_version": "model-pro
   || '", "reason_code": "' || CASE c_nationkey % 6 WHEN 0 THEN 'first_champion'
        WHEN 1 THEN 'metric_not_degraded' WHEN 2 THEN 'metric_below_champion'
        WHEN 3 THEN 'calibration_artifact_missing' WHEN 4 THEN 'serving_calibration_not_ready'
-       ELSE 'unknown_reason' END
-  || '", "model_name": ' || CASE WHEN c_custkey % 17 = 2 THEN 'null' ELSE '"ctr"' END
-  || ', "champion_alias": "' || CASE WHEN c_custkey % 23 = 3 THEN ' ' ELSE 'champion' END
+       ELSE 'felt_right' END
+  || '", "model_name": ' || CASE WHEN c_custkey % 17 = 2 THEN 'null' ELSE '"tide"' END
+  || ', "champion_alias": "' || CASE WHEN c_custkey % 23 = 3 THEN ' ' ELSE 'best' END
   || '", "candidate_version": "' || CAST(c_custkey AS STRING)
-  || '", "metric_name": "' || CASE WHEN c_custkey % 13 = 4 THEN 'accuracy' ELSE 'val_roc_auc' END
+  || '", "metric_name": "' || CASE WHEN c_custkey % 13 = 4 THEN 'log_loss' ELSE 'val_roc_auc' END
   || '", "candidate_metric": ' || CASE c_custkey % 11 WHEN 5 THEN 'null' WHEN 6 THEN 'true'
-       WHEN 7 THEN '"0.8"' ELSE '0.81' END
-  || CASE c_custkey % 4 WHEN 0 THEN ', "champion_version": "7", "champion_metric": 0.80'
+       WHEN 7 THEN '"0.6"' ELSE '0.6425' END
+  || CASE c_custkey % 4 WHEN 0 THEN ', "champion_version": "29", "champion_metric": 0.6375'
        WHEN 1 THEN ', "champion_version": null, "champion_metric": null'
-       WHEN 2 THEN ', "champion_version": "7", "champion_metric": "0.80"' ELSE '' END || '}'"""
+       WHEN 2 THEN ', "champion_version": "29", "champion_metric": "0.6375"' ELSE '' END || '}'"""
 
 
 @query(
