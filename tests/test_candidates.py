@@ -1,4 +1,4 @@
-from datetime import date
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,9 +11,14 @@ from tidelake.operators.candidates import (
     threshold_choice,
     threshold_sweep,
 )
+from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.operators.quality import ValidationError
 from tidelake.plans.exposure_log import exposure_events, publish_day
+from tidelake.plans.raw_load import load_day
 from tidelake.session import scratch
+from tidelake.sources.fs import SharedFs
+from tidelake.sources.lake import read_lake
+from tidelake.sources.schemas import SchemaDriftError
 
 
 @pytest.fixture
@@ -102,9 +107,15 @@ DAY = date(2024, 1, 2)
 
 @pytest.fixture
 def log(spark):
-    rows = [(u, v, 0.9 if (u + v) % 7 == 0 else 0.1) for u in range(5) for v in range(24)]
-    scored = spark.createDataFrame(rows, "user_id long, video_id long, score double")
-    return exposure_events(scored, "score", 0.5, DAY, "m")
+    at = datetime(2024, 1, 2, 3)
+    rows = [
+        (u * 24 + v, u, v, at, DAY, 0.9 if (u + v) % 7 == 0 else 0.1)
+        for u in range(5)
+        for v in range(24)
+    ]
+    shown = "event_id long, user_id long, video_id long, event_timestamp timestamp_ntz, dt date"
+    scored = spark.createDataFrame(rows, f"{shown}, score double")
+    return exposure_events(scored, "score", 0.5, "m")
 
 
 def publish(spark, log, rules, **more):
@@ -153,3 +164,22 @@ def test_existing_day_is_not_overwritten_by_default(spark, log):
     with pytest.raises(FileExistsError):
         publish_day(log, *args)
     publish_day(log, *args, overwrite=True)
+
+
+def test_a_failed_day_changes_nothing_and_a_clean_one_empties_the_quarantine(spark, log):
+    base, aside, ids = scratch(spark, "published"), scratch(spark, "aside"), spark.range(24)
+    dims = (ids.withColumnRenamed("id", "video_id"), ids.withColumnRenamed("id", "user_id"))
+    where = (base, aside, DAY, "m")
+    publish_day(log, {"one": F.col("video_id") == 3}, *dims, *where)
+    assert spark.read.json(aside).count() == 5 + log.where("video_id = 3 and event_type <> 'impression'").count()
+    worse = log.withColumn("llm_model", F.lit("other"))
+    with pytest.raises(ValidationError, match="unexpected model"):
+        publish_day(worse, {"none": F.lit(False)}, *dims, *where, overwrite=True)
+    assert read_lake(spark, base).where("video_id = 3 or llm_model <> 'm'").count() == 0
+    assert SharedFs(spark, aside).exists(f"{aside}/dt={DAY}")
+    publish_day(log, {"none": F.lit(False)}, *dims, *where, overwrite=True)
+    assert read_lake(spark, base).count() == log.count()
+    assert not SharedFs(spark, aside).exists(f"{aside}/dt={DAY}")
+    load_day(spark, base, scratch(spark, "loaded"), DAY, ACTION_LOG)
+    with pytest.raises(SchemaDriftError):
+        publish_day(log.drop("value"), {"none": F.lit(False)}, *dims, *where, overwrite=True)

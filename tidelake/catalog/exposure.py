@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
+from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.catalog.registry import query, with_ctes
-from tidelake.functions.predicates import HASH_SPAN, any_null, md5_number
+from tidelake.functions.predicates import any_null
 from tidelake.operators.candidates import decide_click, quota_mix, threshold_choice, threshold_sweep
+from tidelake.operators.quality import outside_partition
 from tidelake.operators.ranking import first_n_users, top_n
 from tidelake.plans.exposure_log import exposure_events, publish_day
+from tidelake.plans.raw_load import load_day
 from tidelake.session import scratch
 from tidelake.sources.lake import read_partition
 
 GRID = [round(0.1 * i, 1) for i in range(1, 21)]
 TARGET = 0.02
-THRESHOLD = 0.98
+THRESHOLD = 0.5
 
 
 @query(
@@ -134,62 +137,66 @@ def candidate_mix(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).select("user_id", "video_id", "strategy", "slot")
 
 
-@query(
-    "exposure_log",
-    with_ctes(
-        f"""SELECT user_id, video_id, unnest(CASE WHEN score >= {THRESHOLD}
-            THEN ['impression', 'click', 'view'] ELSE ['impression'] END) AS event_type,
-          DATE '{s.DAY}' AS dt
-        FROM (SELECT user_id, video_id,
-          {_HASH.format("user_id || '|' || video_id || '|score'")} / {HASH_SPAN}.0 AS score
-          FROM mix)""",
-        s.LOG,
-        s.VIDEOS,
-        MIX,
-    ),
-)
+_EXPOSED = f"""steps AS (
+  SELECT *, unnest(['impression', 'click', 'view']) AS kind, unnest([0, 1, 2]) AS step
+  FROM log WHERE event_type = 'impression'),
+exposed AS (
+  SELECT event_id * 3 + step AS event_id, user_id, video_id, kind AS event_type,
+    event_timestamp + to_seconds(step) AS event_timestamp, value / 100 AS value, dt
+  FROM steps WHERE step = 0 OR value / 100 >= {THRESHOLD})"""
+
+
+@query("exposure_log", with_ctes("SELECT * FROM exposed", s.LOG, _EXPOSED))
 def exposure_log(spark: SparkSession, sf: str) -> DataFrame:
-    """The log of a day in which every user is shown their candidates; a hash of user
-    and video stands in for the ranking service's score."""
-    return _exposed(spark, sf).select("user_id", "video_id", "event_type", "dt")
+    """The impressions of all days with their decided clicks; the value of an event
+    stands in for the ranking service's score."""
+    return _exposed(spark, sf).drop("llm_model")
 
 
 def _exposed(spark: SparkSession, sf: str) -> DataFrame:
-    score = md5_number(F.col("user_id"), F.col("video_id"), "score") / F.lit(float(HASH_SPAN))
-    scored = _mix(spark, sf).withColumn("score", score)
-    return exposure_events(scored, "score", THRESHOLD, s.DAY, s.MODEL)
+    shown = s.action_log(spark, sf).where(F.col("event_type") == "impression")
+    scored = shown.withColumn("score", F.col("value") / 100)
+    return exposure_events(scored, "score", THRESHOLD, s.MODEL)
 
 
 @query(
     "exposure_publish",
     with_ctes(
-        f"""SELECT event_type, count(*) AS events FROM
-          (SELECT unnest(CASE WHEN score >= {THRESHOLD}
-            THEN ['impression', 'click', 'view'] ELSE ['impression'] END) AS event_type
-          FROM (SELECT {_HASH.format("user_id || '|' || video_id || '|score'")} / {HASH_SPAN}.0
-            AS score FROM mix))
+        f"""SELECT event_type, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS id_sum,
+          CAST(sum(user_id) AS BIGINT) AS users, CAST(sum(video_id) AS BIGINT) AS videos,
+          max(event_timestamp) AS last, max(value) AS value
+        FROM exposed
+        WHERE dt = DATE '{s.DAY}' AND CAST(event_timestamp + INTERVAL 9 HOUR AS DATE) = dt
         GROUP BY event_type""",
         s.LOG,
-        s.VIDEOS,
-        MIX,
+        _EXPOSED,
     ),
 )
 def exposure_publish(spark: SparkSession, sf: str) -> DataFrame:
-    """The same log through quarantine, partition write and quality report."""
-    base = scratch(spark, "published")
-    rules = {"missing key": any_null(["event_id", "user_id", "video_id"])}
-    publish_day(
-        _exposed(spark, sf),
-        rules,
-        s.videos(spark, sf),
-        s.users(spark, sf),
-        base,
-        scratch(spark, "set-aside"),
-        s.DAY,
-        s.MODEL,
+    """A day of that log through quarantine, quality report and partition write, published
+    again over itself and then loaded into the raw layer."""
+    base, aside = scratch(spark, "published"), scratch(spark, "set-aside")
+    rules = {
+        "missing key": any_null(["event_id", "user_id", "video_id"]),
+        "outside the day": outside_partition(),
+    }
+    day = _exposed(spark, sf).where(F.col("dt") == F.lit(s.DAY))
+    for _ in range(2):
+        publish_day(
+            day, rules, s.videos(spark, sf), s.users(spark, sf), base, aside, s.DAY, s.MODEL,
+            overwrite=True,
+        )
+    target = scratch(spark, "loaded")
+    load_day(spark, base, target, s.DAY, ACTION_LOG)
+    stored = read_partition(spark, target, s.DAY, schema=ACTION_LOG.schema)
+    return stored.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("events"),
+        F.sum("event_id").alias("id_sum"),
+        F.sum("user_id").alias("users"),
+        F.sum("video_id").alias("videos"),
+        F.max("event_timestamp").alias("last"),
+        F.max("value").alias("value"),
     )
-    stored = read_partition(spark, base, s.DAY)
-    return stored.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"))
 
 
 def _scored_events(spark: SparkSession, sf: str) -> DataFrame:
