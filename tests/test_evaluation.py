@@ -5,6 +5,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.sql import functions as F
 
 from tidelake.operators.evaluation import (
+    _in_ranges,
     calibrate_scores,
     downsample,
     fit_score,
@@ -37,6 +38,32 @@ def test_auc_agrees_with_all_pairs(spark, distinct):
         assert whole.auc == pytest.approx(ml.evaluate(df), abs=1e-9)
 
 
+def test_every_group_is_cut_by_itself_and_cuts_change_nothing(spark):
+    rng = random.Random(5)
+    rows = [("low", rng.random(), int(rng.random() < 0.3)) for _ in range(400)]
+    rows += [("high", 1e6 + rng.random(), int(rng.random() < 0.3)) for _ in range(400)]
+    rows += [(None, 7.0, i % 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, s double, y int")
+    want = {g: pairs_auc([(s, y) for k, s, y in rows if k == g]) for g in ("low", "high", None)}
+    for ranges in (1, 16, 500):
+        got = {r.g: r.auc for r in roc_auc(df, "s", "y", ["g"], ranges).collect()}
+        assert got == {g: pytest.approx(v, abs=1e-12) for g, v in want.items()}
+    spread = _in_ranges(df.select("g", F.col("s").alias("_score")), ["g"], 16)
+    used = {r.g: r.n for r in spread.groupBy("g").agg(F.count_distinct("_range").alias("n")).collect()}
+    assert used == {"low": 16, "high": 16, None: 1}
+
+
+def test_auc_starts_no_job_before_it_is_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    df = spark.range(100).select(F.col("id").alias("s"), (F.col("id") % 2).alias("y"))
+    spark.sparkContext.setJobGroup("auc-plan", "")
+    try:
+        frames = [roc_auc(df, "s", "y"), roc_auc(df, "s", "y", ["y"])]
+        assert frames and not tracker.getJobIdsForGroup("auc-plan")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_auc_edge_cases(spark):
     df = spark.createDataFrame(
         [("one", 1.0, 1), ("one", 2.0, 1), ("tie", 5.0, 1), ("tie", 5.0, 0), ("tie", None, 1), (None, 1.0, 0), (None, 2.0, 1)],

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier
@@ -15,7 +17,6 @@ from tidelake.functions.predicates import HASH_SPAN, md5_number
 
 # The promotion metric.
 METRIC = "val_roc_auc"
-_SCORE_RANGES = 128
 
 
 def _check_rate(rate: float) -> None:
@@ -40,27 +41,25 @@ def calibrate_scores(df: DataFrame, p: str, rate: float) -> DataFrame:
     return df.withColumn("calibrated", calibrated(F.col(p), rate))
 
 
-def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+def roc_auc(
+    df: DataFrame, score: str, label: str, by: Sequence[str] = (), ranges: int | None = None
+) -> DataFrame:
     """Exact ROC-AUC per group; equal scores count half.
 
-    Rows shrink to counts per distinct score. Scores are then cut at approximate
-    percentiles: the cut points only spread the work, the sum over ranges is exact
-    whatever they are. Each range starts from a seed row with the negatives below it,
-    so no task ranks a whole group. Groups of one class get a NULL.
+    Rows shrink to counts per distinct score. The scores of each group are then cut at
+    approximate percentiles into ``ranges``, by default one for each shuffle partition of
+    the session: the cut points only spread the work, the sum over ranges is exact whatever
+    they are. Each range starts from a seed row with the negatives below it, so no task
+    ranks a whole group. Groups of one class get a NULL.
     """
     by = list(by)
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.where(F.col(score).isNotNull() & F.col(label).isin(0, 1))
-    steps = [i / _SCORE_RANGES for i in range(1, _SCORE_RANGES)]
-    cuts = rows.agg(F.percentile_approx(score, steps, 1_000).alias("c")).first().c or []
-    cut_array = F.array(*[F.lit(float(c)) for c in sorted(set(cuts))])
-    counted = (
-        rows.groupBy(*by, F.col(score).cast("double").alias("_score"))
-        .agg(
-            F.count_if(F.col(label) == 1).alias("_pos"),
-            F.count_if(F.col(label) == 0).alias("_neg"),
-        )
-        .withColumn("_range", F.size(F.filter(cut_array, lambda c: c < F.col("_score"))))
+    scores = rows.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+        F.count_if(F.col(label) == 1).alias("_pos"),
+        F.count_if(F.col(label) == 0).alias("_neg"),
     )
+    counted = _in_ranges(scores, by, max(ranges, 2))
     # one row per group and range
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     seeds = (
@@ -95,6 +94,26 @@ def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> Da
     )
 
 
+def _in_ranges(scores: DataFrame, by: list[str], ranges: int) -> DataFrame:
+    """Add ``_range``, the number of cut points of the row's group below its score.
+
+    A group has one row of cuts. Without groups the cuts are a scalar subquery, else they
+    join with no hint: small ones are broadcast by their measured size, and a hot group's
+    scores are split at run time.
+    """
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = F.percentile_approx("_score", steps, F.lit(max(1_000, 8 * ranges))).alias("_cuts")
+    below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_score")))
+    if not by:
+        cut_scores = scores.withColumn("_cuts", scores.select(cuts).scalar())
+    else:
+        names = [f"_group_{i}" for i in range(len(by))]
+        groups = scores.groupBy(*by).agg(cuts).toDF(*names, "_cuts")
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, names)]
+        cut_scores = scores.join(groups, reduce(and_, same)).drop(*names)
+    return cut_scores.withColumn("_range", below).drop("_cuts")
+
+
 def latest_candidate(versions: DataFrame) -> DataFrame:
     """Per model its ``champion`` and its ``candidate`` row, either of them NULL.
 
