@@ -113,3 +113,21 @@ def test_empty_window_gives_no_rows(spark):
     spine = left.selectExpr("*", "to_date(event_timestamp) as dt", "1 as label")
     views = [View(right, "user_id", ["x"], "u_")]
     assert training_dataset(spine, views, [], date(2030, 1, 1), date(2030, 1, 2)).count() == 0
+
+
+def test_every_view_adds_the_same_work(spark):
+    day = date(2024, 1, 1)
+    rows = [(i, i % 3, datetime(2024, 1, 1, i % 14), day) for i in range(40)]
+    spine = spark.createDataFrame(rows, "event_id long, k long, event_timestamp timestamp_ntz, dt date")
+    facts = [(i % 3, datetime(2023, 12, 31, i), float(i)) for i in range(24)]
+    view = spark.createDataFrame(facts, "k long, event_timestamp timestamp_ntz, x double")
+
+    def plan(n):
+        views = [View(view, "k", ["x"], f"v{i}_") for i in range(n)]
+        joined = training_dataset(spine, views, [], day, day)
+        assert joined.count() == 40 and joined.where("v0_x IS NULL").count() == 0
+        return joined._jdf.queryExecution().optimizedPlan().toString()
+
+    reads = [plan(n).count("Relation") for n in (1, 2, 3)]
+    windows = [plan(n).count("Window [") for n in (1, 2, 3)]
+    assert reads == [2, 3, 4] and windows == [2, 4, 6]

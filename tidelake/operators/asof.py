@@ -33,6 +33,7 @@ def pit_join(
     prefix: str = "",
     bucket_seconds: int = BUCKET_SECONDS,
     span: Span | None = None,
+    origin: DataFrame | None = None,
 ) -> DataFrame:
     """Left as-of join. Adds ``<prefix>event_timestamp`` and the prefixed features.
 
@@ -42,6 +43,9 @@ def pit_join(
     With the ``span`` of the spine a long history stays cheap: later rows of the view
     are not read, and earlier ones count as one bucket, which the map tasks reduce to
     the latest row of each key.
+
+    ``origin`` is a frame with the keys and times of the spine, such as the stored one that
+    a chain of joins began with; seeds are then found on it, and the spine is used once.
     """
     keys = list(keys)
     # rows without a key match nothing; a hash spreads them over the tasks
@@ -72,7 +76,7 @@ def pit_join(
         F.col(view_ts).alias("_at"),
         found.alias("_found"),
     )
-    seeds = _seeds(spine, right, keys, ts, bucket_seconds)
+    seeds = _seeds(spine if origin is None else origin, right, keys, ts, bucket_seconds)
     merged = left.unionByName(right.where(near), allowMissingColumns=True).unionByName(
         seeds, allowMissingColumns=True
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from tidelake.functions.dates import in_date_window
 from tidelake.operators.asof import BUCKET_SECONDS, pit_join, span_of, with_static
+from tidelake.session import stored
 
 
 @dataclass(frozen=True)
@@ -32,12 +33,14 @@ def training_dataset(
 ) -> DataFrame:
     """Spine rows of the window with the features known at their time.
 
-    Every view adds one exchange by its own key; rows never multiply. The earliest and
+    The spine of the window is derived once and stored; a view is used twice, so pass a
+    stored table. Every view adds one exchange by its own key, and its seeds are found on
+    the stored spine, not on the joins before it; rows never multiply. The earliest and
     latest event time of the window decide which rows of a view are read. Check the
     spine with ``require_positives`` before training on it.
     """
-    rows = in_date_window(spine, start, end)
-    span = span_of(rows)
+    origin = rows = stored(in_date_window(spine, start, end), "spine")
+    span = span_of(origin)
     for view in views:
         rows = pit_join(
             rows,
@@ -47,6 +50,7 @@ def training_dataset(
             prefix=view.prefix,
             bucket_seconds=view.bucket_seconds,
             span=span,
+            origin=origin,
         )
     for dim, key in dims:
         rows = with_static(rows, dim, key)
