@@ -62,6 +62,26 @@ def test_long_runs_take_linear_time():
         pii.base_spans(text)
 
 
+def test_contexts_leave_out_words_under_spans():
+    rng = random.Random(9)
+    parts = ["ann@ex.org", "10.0.0.7", "+49 30 123 45 67", "4111 1111 1111 1111", "Walter", "of", "x", "42", "né", "_id"]
+    for _ in range(500):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        spans = plain_spans(text)
+        near = pii.contexts(text, spans, 30)
+        want = {
+            m.span() for m in re.finditer(r"\w\w+", text)
+            if all(m.end() <= a or m.start() >= b for a, _, b in spans)
+            and any(m.start() >= a - 30 and m.end() <= b + 30 for a, _, b in spans)
+        }
+        assert {(s, e) for _, _, s, e in near} == want
+
+
+def test_many_mentions_in_one_text():
+    text = "ann@ex.org wrote to 10.0.0.7 today. " * 20_000
+    assert len(pii.contexts(text, pii.base_spans(text), 80)) > 100_000
+
+
 def test_report_on_whole_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}

@@ -13,6 +13,7 @@ documents, since a term seen once always looks as if it told everything.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -82,9 +83,26 @@ def _entity(kind: int, value: str) -> int:
     return xxhash.xxh64_intdigest(f"{kind}:{plain}", 7) - (1 << 63)
 
 
+def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint stretches that sorted spans cover."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the whole words near each mention that no span overlaps."""
-    taken = [(s, e) for s, _, e in spans]
+    """(entity, term, start, end) for the whole words near each mention that no span overlaps.
+
+    Spans are sorted by start. A word looks up the one stretch that could overlap it, so a
+    text with very many mentions costs no more per mention than one with few.
+    """
+    starts, ends = _covered(spans)
     found = []
     for start, kind, end in spans:
         entity = _entity(kind, text[start:end])
@@ -94,7 +112,8 @@ def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[t
             cut = (s == lo and s > 0 and _WORD.match(text[s - 1])) or (
                 e == hi and e < len(text) and _WORD.match(text[e])
             )
-            if not cut and e - s > 1 and all(e <= a or s >= b for a, b in taken if a < hi and b > lo):
+            before = bisect_left(starts, e) - 1
+            if not cut and e - s > 1 and (before < 0 or ends[before] <= s):
                 found.append((entity, m[0].lower(), s, e))
     return found
 
