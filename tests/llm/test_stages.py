@@ -193,6 +193,19 @@ def test_mix_targets_are_shared_again(spark):
     assert (found[None], found["c"], found["b"]) == (300, 270, 600)
 
 
+def test_a_source_without_words_takes_its_turn_in_the_weights(spark):
+    words = " ".join(["w"] * 10)
+    rows = [(i, words, s) for i, s in enumerate(["a"] * 10 + ["c"] * 90 + [None] * 200)]
+    rows += [(900, None, "b"), (901, " ", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = {r.row.source: (r.source_size, r.target) for r in mixing.mixed(docs).collect()}
+    # weights: a 5, b 2, c 1, null 5; a stops at 300, b at 0, the others share 2,700 as 1 to 5
+    assert found["a"] == (100, 300.0) and found["b"] == (0, 0.0)
+    assert found["c"] == (900, pytest.approx(450)) and found[None] == (2000, pytest.approx(2250))
+    blank = docs.filter("source = 'b'")
+    assert [(r.size, r.target, r.taken) for r in mixing.mixed(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
 def test_weights_make_unequal_inclusion(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), 10)).alias("text"),

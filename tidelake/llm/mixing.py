@@ -105,7 +105,8 @@ def mix_plan(
             uniform(seed, F.col(id_col), F.col(text_col)).alias("u"),
         ),
         "mix-measured",
-    ).filter("size > 0")
+    )
+    # a source without words still has its place in the order of the weights
     totals = measured.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("weight")).alias("weighted")
     )
@@ -113,12 +114,13 @@ def mix_plan(
         totals.select(F.col("source").alias("s"), "weighted"), F.col("source").eqNullSafe(F.col("s"))
     )
     aims = stored(
-        aims.select("source", "source_size", "target", (F.col("target") / F.col("weighted")).alias("unit")),
+        aims.select("source", "source_size", "target", F.coalesce(F.try_divide("target", "weighted"), F.lit(0.0)).alias("unit")),
         "mix-aims",
     )
     due = _due(F.col("weight"))
     ranked = (
-        measured.join(aims.select(F.col("source").alias("s"), "unit"), F.col("source").eqNullSafe(F.col("s")))
+        measured.filter("size > 0")
+        .join(aims.select(F.col("source").alias("s"), "unit"), F.col("source").eqNullSafe(F.col("s")))
         .withColumn("rank", _rank(due, F.col("u")))
         .withColumn("sure", F.floor(due) * F.col("size"))
         .withColumn("bin", F.floor(F.col("rank") * bins))
@@ -173,7 +175,7 @@ def mixed(
 
     copies is how often the mix takes the document, at most 3; taken its words. A null or
     empty text has size 0 and is never taken; a null source is a source of its own, last in
-    order. A source without words has size 0 and target 0. Rows that repeat id and text share their number and
+    order. A source without words has size 0 and target 0, and takes its turn in the weights. Rows that repeat id and text share their number and
     so their fate. An empty table gives an empty result.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, weight, seed, bins)
