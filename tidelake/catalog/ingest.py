@@ -136,6 +136,28 @@ def raw_load(spark: SparkSession, sf: str) -> DataFrame:
     return loaded.join(ready.select("dt"), "dt", "left_semi")
 
 
+@query(
+    "raw_load_gaps",
+    with_ctes(f"{_PER_DAY}, TRUE AS refused FROM log WHERE dt <> DATE '{s.DAY}' GROUP BY dt", s.LOG),
+)
+def raw_load_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    """A load that names a day the lake lacks is refused as a whole; the other days then load."""
+    source = scratch(spark, "gaps")
+    target, ledger = scratch(spark, "raw"), scratch(spark, "ledger")
+    log = s.action_log(spark, sf).where(F.col("dt") != F.lit(s.DAY))
+    backfill(log, source, schema=schemas.ACTION_LOG)
+    days = [date.fromisoformat(d) for d in partitions(spark, source)]
+    try:
+        load_days(spark, source, target, [*days, s.DAY], ACTION_LOG, ledger)
+        refused = False
+    except FileNotFoundError:
+        refused = not SharedFs(spark, target).exists(target)
+    load_days(spark, source, target, days, ACTION_LOG, ledger)
+    loaded = _per_day(read_lake(spark, target, schema=schemas.ACTION_LOG))
+    ready = ready_dates(spark.read.parquet(ledger), [ACTION_LOG.name])
+    return loaded.join(ready.select("dt"), "dt", "left_semi").withColumn("refused", F.lit(refused))
+
+
 @query(
     "kst_daily_counts",
     with_ctes(

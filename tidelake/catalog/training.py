@@ -143,8 +143,7 @@ def training_set(spark: SparkSession, sf: str) -> DataFrame:
     return _dataset(spark, sf).withColumn("user_ctr", F.round("user_ctr", 9))
 
 
-@query("train_score")
-def train_score(spark: SparkSession, sf: str) -> DataFrame:
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Trees fitted on all but the last day of the window score that day."""
     rows = cut(_dataset(spark, sf))
     last = s.WINDOW[1] - timedelta(days=1)
@@ -160,5 +159,24 @@ def train_score(spark: SparkSession, sf: str) -> DataFrame:
     ]
     train = require_positives(rows.where(F.col("dt") <= F.lit(last)))
     test = rows.where(F.col("dt") > F.lit(last))
-    scored = fit_score(train, test, numeric, iterations=5)
-    return scored.select("event_id", "label", F.round("score", 6).alias("score"))
+    return fit_score(train, test, numeric, iterations=5)
+
+
+@query("train_score")
+def train_score(spark: SparkSession, sf: str) -> DataFrame:
+    return _scored(spark, sf).select("event_id", "label", F.round("score", 6).alias("score"))
+
+
+@query(
+    "train_score_rows",
+    with_ctes(
+        f"""SELECT event_id, dt, label, TRUE AS has_score FROM spine
+        WHERE dt = DATE '{s.WINDOW[1]}'""",
+        s.LOG,
+        s.spine_sql(),
+    ),
+)
+def train_score_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Which rows the model scores, and that every score is a probability."""
+    scored = F.coalesce(F.col("score").between(0, 1), F.lit(False))
+    return _scored(spark, sf).select("event_id", "dt", "label", scored.alias("has_score"))
