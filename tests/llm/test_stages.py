@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm.helpers import SF, awkward, empty
-from tidelake.llm import components, exact_dedup, langid, mixing, pieces, simhash
+from tidelake.llm import components, exact_dedup, langid, mixing, near_copies, pieces, simhash
 from tidelake.llm.queries import QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -330,6 +330,53 @@ def test_longest_prefix_map_records_alignment():
 
 # pipeline
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_near_stage_links_edited_copies(spark, block):
+    rng = random.Random(23)
+    texts = []
+    for length in (12, 50, 200, 400) * 6:
+        base = [f"w{rng.randrange(3000)}" for _ in range(length)]
+        texts.append(" ".join(base))
+        for edits in (1, max(1, length // 60), max(1, length // 25)):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(length)] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    wanted = {find(i) for i in range(len(texts))}
+    assert len(wanted) < len(texts) - 24  # one in two edited copies is a near copy
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id for r in near_copies.one_per_group(docs, block=block).collect()} == wanted
+    assert {r.doc_id for r in corpus_pipeline.near(spark, docs, SF).collect()} == wanted
+
+
+def test_near_stage_on_one_large_group(spark):
+    rng = random.Random(29)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(120)] = f"own{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    texts[75] = " ".join(base)  # 0.84 from each of the others, which are at 0.72 from one another
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.doc_id for r in near_copies.one_per_group(docs, block=16).collect()] == [0]
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["language_id", "exact_dedup", "simhash_near_dedup", "source_mix", "sentencepiece"]

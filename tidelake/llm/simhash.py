@@ -207,6 +207,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select(F.col("component_id").alias("id"), F.col("keep_key").alias("key"))
         .distinct()
     )
+    return rows_that_stay(docs, stays, id_col, text_col)
+
+
+def rows_that_stay(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of the documents (id, key) that stay, with the columns of the input."""
     rows = packed(
         docs,
         id=F.col(id_col).cast("long"),
