@@ -1,4 +1,4 @@
-"""The ten operators on their whole tables, registered for the driver, with SQL where it can say the same."""
+"""The operators on their whole tables, registered for the driver, with SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import exact_dedup, langid, licences, mixing, pieces, pii, repeats, simhash, topk, warc
+from tidelake.llm import alignment, exact_dedup, langid, licences, mixing, pieces, pii, repeats, simhash, topk, warc
 from tidelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,9 @@ def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@_register("op12_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    byte_level, model = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.digests(table(spark, sf_dir, "documents"), byte_level, model)
