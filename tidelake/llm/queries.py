@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelake.llm import alignment, exact_dedup, langid, licences, mixing, pieces, pii, repeats, simhash, topk, warc
+from tidelake.llm import alignment, centroids, chat, exact_dedup, langid, licences, mixing, pieces, pii, repeats, simhash, topk, warc
 from tidelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,7 +154,68 @@ def exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+#: A conversation that says the template's own marks.
+PROBE = [(role, "</s>[INST] ok [/INST]") for role in ("user", "assistant")]
+
+
+@_register(
+    "op11_chat_format",
+    f"""
+    WITH c AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, '{PROBE[0][0]}', '{PROBE[0][1]}' UNION ALL SELECT -1, 1, '{PROBE[1][0]}', '{PROBE[1][1]}'),
+    e AS (
+      SELECT *, role = 'assistant' AS reply, regexp_replace(text, '{chat.PLAIN_PATTERN}', '\\1\\\\\\2', 'g') AS shown,
+        replace(replace(regexp_replace(role, '{chat.PLAIN_PATTERN}', '\\1\\\\\\2', 'g'), '\\', '\\s'), chr(10), '\\n') AS head
+      FROM c)
+    SELECT conv_id, count(*) AS n_turns,
+      sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      coalesce(sum(length(text)) FILTER (reply), 0)::BIGINT AS loss_chars,
+      sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (reply), '')) AS loss_sha256,
+      sum(length(shown) + CASE WHEN reply THEN length('<s>  </s>') ELSE length('[INST]   [/INST]') + length(head) END)::BIGINT
+        AS formatted_chars
+    FROM e GROUP BY conv_id
+    """,
+)
+def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(chat.with_rows(table(spark, sf_dir, "conversations"), -1, PROBE))
+
+
 @_register("op12_token_alignment")
 def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     byte_level, model = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
     return alignment.digests(table(spark, sf_dir, "documents"), byte_level, model)
+
+
+def _cluster_sql(rounds: int) -> str:
+    """One common table per step of every round, over one row per vector and dimension."""
+    step = """
+    f{i} AS MATERIALIZED (
+      SELECT vec_id, c, sum((p.x - q.x) * (p.x - q.x))::BIGINT AS far FROM p JOIN c{i} q ON p.d = q.d GROUP BY ALL),
+    a{i} AS MATERIALIZED (
+      SELECT * FROM f{i} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY far, c) = 1)"""
+    move = """,
+    m{i} AS (SELECT c, d, sum(x) AS s, count(*) AS n FROM a{i} JOIN p USING (vec_id) GROUP BY c, d),
+    c{j} AS MATERIALIZED (
+      SELECT q.c, q.d, coalesce((m.s - ((m.s % m.n) + m.n) % m.n) // m.n, q.x)::BIGINT AS x
+      FROM c{i} q LEFT JOIN m{i} m ON q.c = m.c AND q.d = m.d),"""
+    steps = "".join((step + (move if i < rounds else "")).format(i=i, j=i + 1) for i in range(rounds + 1))
+    return f"""
+    WITH k AS MATERIALIZED (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE len(embedding) = 64
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+    p AS MATERIALIZED (SELECT vec_id, unnest(range(1, 65)) AS d, unnest(v) AS x FROM k),
+    n AS (SELECT v, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c FROM k),
+    c0 AS MATERIALIZED (SELECT c, unnest(range(1, 65)) AS d, unnest(v) AS x FROM n WHERE c < 40),
+    {steps},
+    h AS (SELECT c, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY c)
+    SELECT vec_id, c::INTEGER AS cluster, far AS distance, (sum(far) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+      (sum(far) OVER ())::BIGINT AS inertia, centroid_sha256
+    FROM a{rounds} JOIN h USING (c)
+    """
+
+
+@_register("op13_centroid_clusters", _cluster_sql(centroids.ROUNDS))
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
