@@ -1,13 +1,18 @@
 """PII: base patterns, and terms that the corpus shows to reveal a protected entity.
 
-Protected entities are the values the base patterns find. A term's disclosure of an
-entity is their pointwise mutual information over documents divided by the entity's
-information content, log2(N co / (df_t df_e)) / log2(N / df_e): 1 if the term is only ever
-found beside the entity, 0 if the two are independent. Document frequencies of terms are
-counted over the whole corpus, joint ones over the terms within ``reach`` characters of a
-mention. A term in such a context whose disclosure reaches ``remove_at`` is removed, from
-``generalise_at`` on it is generalised to its kind. A pair must be seen in ``support``
-documents, since a term seen once always looks as if it told everything.
+Protected entities are the values the base patterns find. What a term tells of an entity is
+read from how many documents hold the term (df_t), the entity (df_e) and both (co), over
+whole documents. The chance of the entity given the term is not taken as co / df_t, which
+is 1 for every word seen once, but as the lower end of its Wilson interval, L. With
+N documents the term discloses log2(L N / df_e) of the entity's log2(N / df_e) bits and
+leaves -log2(L) hidden. A term that discloses the share ``generalise_at`` of an entity and
+leaves at most ``hidden_at`` bits is generalised to its kind wherever it occurs in the
+corpus; one that leaves at most ``remove_at`` bits is removed.
+
+No pair is left out of this for being rare, and none is written that cannot count: a
+term's documents with any entity bound co, so common words fall out before they meet an
+entity, and entities found in the same documents, like terms found in the same
+documents, are judged as one.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelake.llm.common import ROW, packed, stored, text_slices
+from tidelake.llm.exact_dedup import BLOCK_BITS, key_bitmaps
 
 # fixed values of the contract: kinds in listed order, and what each accepts
 KINDS = ("email", "ip", "card", "phone")
@@ -34,7 +40,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-_WORD = re.compile(r"\w+")
+_WORD = re.compile(r"\w\w+")
 
 
 def _emails(text: str) -> Iterator[tuple[int, int]]:
@@ -65,7 +71,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in code points, sorted; leftmost non-overlapping per kind."""
     spans = [(s, 0, e) for s, e in _emails(text)]
     for m in IP.finditer(text):
-        if all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        parts = [part.lstrip("0") for part in m[0].split(".")]
+        if all(len(part) <= 3 and int(part or 0) <= 255 for part in parts):
             spans.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -96,144 +103,213 @@ def _covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
     return starts, ends
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, str, int, int]]:
-    """(entity, term, start, end) for the whole words near each mention that no span overlaps.
+def words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """(term, start, end) of the words of two letters or more that no span overlaps.
 
-    Spans are sorted by start. A word looks up the one stretch that could overlap it, so a
-    text with very many mentions costs no more per mention than one with few.
+    A word looks up the one stretch that could overlap it, so a text with very many
+    mentions costs no more per word than one with few.
     """
     starts, ends = _covered(spans)
-    found = []
-    for start, kind, end in spans:
-        entity = _entity(kind, text[start:end])
-        lo, hi = max(0, start - reach), min(len(text), end + reach)
-        for m in _WORD.finditer(text, lo, hi):
-            s, e = m.span()
-            cut = (s == lo and s > 0 and _WORD.match(text[s - 1])) or (
-                e == hi and e < len(text) and _WORD.match(text[e])
-            )
-            before = bisect_left(starts, e) - 1
-            if not cut and e - s > 1 and (before < 0 or ends[before] <= s):
-                found.append((entity, m[0].lower(), s, e))
-    return found
+    for m in _WORD.finditer(text):
+        s, e = m.span()
+        before = bisect_left(starts, e) - 1
+        if before < 0 or ends[before] <= s:
+            yield m[0].lower(), s, e
+
+
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    if spans:
+        return {term for term, _, _ in words(text, spans)}
+    return {w.lower() for w in set(_WORD.findall(text))}
+
+
+def term_documents(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
+    """(term, documents, naming): rows with the term, and those of them that name an entity.
+
+    Whole texts; tasks add up terms before anything is shuffled.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        naming: Counter[str] = Counter()
+
+        def out() -> pa.RecordBatch:
+            columns = [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64()),
+                       pa.array([naming[t] for t in counts], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "n", "naming"])
+
+        for batch in text_slices(batches):
+            for text in batch.column("text").to_pylist():
+                spans = base_spans(text)
+                terms = _terms(text, spans)
+                counts.update(terms)
+                if spans:
+                    naming.update(terms)
+                if len(counts) > flush:
+                    yield out()
+                    counts.clear()
+                    naming.clear()
+        yield out()
+
+    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
+    found = texts.mapInArrow(run, "term string, n long, naming long")
+    return found.groupBy("term").agg(F.sum("n").alias("documents"), F.sum("naming").alias("naming"))
+
+
+def lower_bound(hits: Column, trials: Column, z: float) -> Column:
+    """The lower end of the Wilson interval of a share; it grows with the hits."""
+    p, z2 = hits / trials, z * z
+    spread = F.sqrt(p * (1 - p) / trials + z2 / (4 * trials * trials))
+    return (p + z2 / (2 * trials) - z * spread) / (1 + z2 / trials)
+
+
+def term_filter(terms: DataFrame, bits_per_term: int, most_bits: int) -> bytes:
+    """A bitmap over the terms' hashes, of a size that follows their number up to ``most_bits``."""
+    wanted = max(terms.count(), 1) * bits_per_term
+    bits = min(max(1 << (wanted - 1).bit_length(), BLOCK_BITS), most_bits)
+    blocks = key_bitmaps(terms.select(F.pmod(F.xxhash64("term"), F.lit(bits)).alias("slot"))).collect()
+    out = bytearray(bits // 8)
+    for b in blocks:
+        out[b["block"] * BLOCK_BITS // 8 : (b["block"] + 1) * BLOCK_BITS // 8] = b["bitmap"]
+    return bytes(out)
+
+
+def _in_filter(term: str, bitmap: bytes) -> bool:
+    slot = xxhash.xxh64_intdigest(term.encode(), 42) & (len(bitmap) * 8 - 1)
+    return bool(bitmap[slot >> 3] >> (slot & 7) & 1)
 
 
 SPAN = T.StructType(
     [T.StructField("start", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("end", T.IntegerType())]
 )
-MENTION = T.StructType(
-    [
-        T.StructField("entity", T.LongType()),
-        T.StructField("term", T.StringType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-    ]
+HIT = T.StructType(
+    [T.StructField("term", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]
 )
 _ARROW_SPANS = pa.list_(pa.struct([(n, pa.int32()) for n in ("start", "kind", "end")]))
-_ARROW_MENTIONS = pa.list_(
-    pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-)
+_ARROW_HITS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _scan(rows: DataFrame, bitmap: bytes) -> DataFrame:
+    """Base spans, entities and the places of words that the filter knows, per row."""
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
 
+    def hits(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
+        known = {t for t in _terms(text, spans) if _in_filter(t, shared.value)}
+        return [{"term": t, "start": s, "end": e} for t, s, e in words(text, spans) if t in known] if known else []
 
-def _scan(rows: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_slices(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             spans = [base_spans(t) for t in texts]
-            near = [contexts(t, s, reach) if s else [] for t, s in zip(texts, spans)]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(ROW),
                     pa.array([[dict(zip(("start", "kind", "end"), x)) for x in s] for s in spans], _ARROW_SPANS),
-                    pa.array(
-                        [[dict(zip(("entity", "term", "start", "end"), x)) for x in n] for n in near], _ARROW_MENTIONS
-                    ),
+                    pa.array([sorted({_entity(k, t[a:b]) for a, k, b in s}) for t, s in zip(texts, spans)], pa.list_(pa.int64())),
+                    pa.array([hits(t, s) for t, s in zip(texts, spans)], _ARROW_HITS),
                 ],
-                names=[ROW, "base", "near"],
+                names=[ROW, "base", "entities", "hits"],
             )
 
     fields = [
         rows.schema[ROW],
         T.StructField("base", T.ArrayType(SPAN)),
-        T.StructField("near", T.ArrayType(MENTION)),
+        T.StructField("entities", T.ArrayType(T.LongType())),
+        T.StructField("hits", T.ArrayType(HIT)),
     ]
     return rows.mapInArrow(run, T.StructType(fields))
 
 
-def term_documents(docs: DataFrame, text_col: str = "text", flush: int = 200_000) -> DataFrame:
-    """(term, documents) over whole texts; tasks add up terms before anything is shuffled."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["term", "n"]
-            )
-
-        for batch in text_slices(batches):
-            for text in batch.column("text").to_pylist():
-                counts.update(set(_WORD.findall(text.lower())))
-                if len(counts) > flush:
-                    yield out()
-                    counts.clear()
-        yield out()
+def _classes(members: DataFrame, key: str, df: str) -> DataFrame:
+    """(key, class, df): members of the same rows get the same class.
 
-    texts = docs.select(F.col(text_col).alias("text")).filter("text IS NOT NULL")
-    return texts.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("documents"))
+    ``members`` is distinct (rid, key). The class is a 128-bit sum over the rows' hashes,
+    which map tasks add up, so a member of very many rows is one sum.
+    """
+    marks = [F.sum(F.xxhash64(F.lit(salt), "rid").cast("decimal(38,0)")) for salt in (1, 2)]
+    return members.groupBy(key).agg(F.count("*").alias(df), marks[0].alias("m1"), marks[1].alias("m2")).select(
+        key, F.xxhash64(F.lit(3), "m1", "m2", df).alias("c1"), F.xxhash64(F.lit(4), "m1", "m2", df).alias("c2"), df
+    )
 
 
 def disclosures(
-    scanned: DataFrame, terms: DataFrame, support: int, generalise_at: float, remove_at: float
+    rows: int, entities: DataFrame, terms: DataFrame, generalise_at: float, hidden_at: float, remove_at: float, z: float
 ) -> DataFrame:
-    """(entity, term, removed): the pairs whose disclosure reaches a threshold."""
-    seen = scanned.select("rid", F.explode("near").alias("m")).select("rid", "m.entity", "m.term").distinct()
-    joint = seen.groupBy("entity", "term").agg(F.count("*").alias("co")).filter(F.col("co") >= support)
-    entities = seen.select("rid", "entity").distinct().groupBy("entity").agg(F.count("*").alias("df_e"))
-    n = F.lit(scanned.count())
-    share = F.log2(n * F.col("co") / (F.col("documents") * F.col("df_e"))) / F.log2(n / F.col("df_e"))
-    return (
-        joint.join(terms, "term")
-        .join(entities, "entity")
-        .filter(F.col("df_e") < n)
-        .withColumn("share", share)
-        .filter(F.col("share") >= generalise_at)
-        .select("entity", "term", (F.col("share") >= remove_at).alias("removed"))
+    """(term, removed): the terms that disclose some entity.
+
+    ``entities`` is distinct (rid, entity), ``terms`` distinct (rid, term, documents), both over
+    the same rows. Per row, different classes of entities meet different classes of terms.
+    """
+    n = F.lit(float(rows))
+    entity_class = _classes(entities, "entity", "df_e").filter(F.col("df_e") < n)
+    term_class = stored(_classes(terms.select("rid", "term"), "term", "held"), "pii-classes")
+    of_entity = entities.join(entity_class, "entity").select("rid", F.struct("c1", "c2").alias("e"), "df_e").distinct()
+    of_term = terms.join(term_class, "term").select("rid", F.struct("c1", "c2").alias("t"), "documents").distinct()
+    joint = of_entity.join(of_term, "rid").groupBy("e", "t").agg(
+        F.count("*").alias("co"), F.first("df_e").alias("df_e"), F.first("documents").alias("documents")
     )
+    left = -F.log2(lower_bound(F.col("co"), F.col("documents"), z))
+    telling = (
+        joint.withColumn("hidden", left)
+        .filter((F.col("hidden") <= hidden_at) & (1 - F.col("hidden") / F.log2(n / F.col("df_e")) >= generalise_at))
+        .groupBy("t").agg((F.min("hidden") <= remove_at).alias("removed"))
+    )
+    named = term_class.select("term", F.struct("c1", "c2").alias("t"))
+    return named.join(telling, "t").select("term", "removed")
 
 
 def find(
     docs: DataFrame,
     text_col: str = "text",
     carry: list[Column] | None = None,
-    reach: int = 80,
-    support: int = 3,
     generalise_at: float = 0.8,
-    remove_at: float = 0.95,
+    hidden_at: float = 2.5,
+    remove_at: float = 1.0,
+    z: float = 1.96,
+    bits_per_term: int = 16,
+    most_filter_bits: int = 1 << 27,
 ) -> DataFrame:
     """One row per input row: ``row`` (all input or the carried columns), base, terms.
 
     base are the spans of the patterns, terms those of disclosing terms (start, end,
     removed), both sorted. A null text counts as empty. Repeated rows each count as a
     document. An empty table gives an empty result; a corpus in which every document names
-    an entity has nothing to learn about it. Contexts of a document stay with it, a hot
-    entity or term is reduced in the map tasks and its rows are split in the joins.
+    an entity has nothing to learn about it. Texts of any length are read whole, in time
+    in proportion.
+
+    Two passes read the texts: one counts terms, one marks base spans and the words of
+    terms that could disclose anything. Those are known to the second pass by a bitmap of at
+    most ``most_filter_bits`` (16 MB); where there are more terms than it can tell apart, more
+    words go to the exact join behind it. A hot entity or term is reduced in the map tasks
+    and its rows are split in the joins.
     """
+    terms = term_documents(docs, text_col)
+    suspects = stored(
+        terms.filter((F.col("naming") > 0) & (-F.log2(lower_bound(F.col("naming"), F.col("documents"), z)) <= hidden_at))
+        .select("term", "documents"),
+        "pii-suspects",
+    )
+    bitmap = term_filter(suspects, bits_per_term, most_filter_bits)
     rows = packed(docs, carry, text=F.col(text_col))
-    scanned = stored(_scan(rows, reach).withColumn("rid", F.monotonically_increasing_id()), "pii-scan")
-    terms = stored(term_documents(docs, text_col), "pii-terms")
-    telling = stored(disclosures(scanned, terms, support, generalise_at, remove_at), "pii-telling")
+    scanned = stored(_scan(rows, bitmap).withColumn("rid", F.monotonically_increasing_id()), "pii-scan")
+    places = stored(
+        scanned.select("rid", F.explode("hits").alias("h")).select("rid", "h.*").join(suspects, "term"), "pii-places"
+    )
+    telling = disclosures(
+        scanned.count(),
+        scanned.select("rid", F.explode("entities").alias("entity")),
+        places.select("rid", "term", "documents").distinct(),
+        generalise_at, hidden_at, remove_at, z,
+    )
     flagged = (
-        scanned.select("rid", F.explode("near").alias("m"))
-        .select("rid", "m.*")
-        .join(telling, ["entity", "term"])
-        .groupBy("rid", "start", "end")
-        .agg(F.max("removed").alias("removed"))
+        places.join(stored(telling, "pii-telling"), "term")
         .groupBy("rid")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end", "removed"))).alias("terms"))
     )
     none = F.array().cast("array<struct<start:int,end:int,removed:boolean>>")
-    return scanned.drop("near").join(flagged, "rid", "left").select(ROW, "base", F.coalesce("terms", none).alias("terms"))
+    return scanned.select(ROW, "base", "rid").join(flagged, "rid", "left").select(
+        ROW, "base", F.coalesce("terms", none).alias("terms")
+    )
 
 
 def span_list(spans: Column) -> Column:
