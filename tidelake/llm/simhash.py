@@ -60,9 +60,13 @@ def shingle_hashes(text: str, width: int) -> np.ndarray:
     return np.fromiter((digest(s, 42) for s in shingles), np.uint64, len(shingles))
 
 
-def fingerprint(text: str, width: int = 3, block: int = 4096) -> int:
-    """Bit i is 1 if it is set in over half the shingle hashes; 0 for a text without words."""
-    hashes = shingle_hashes(text, width)
+def fingerprint(text: str, width: int = 3) -> int:
+    """The fingerprint of a text's shingles, repeats included; 0 for a text without words."""
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: np.ndarray, block: int = 4096) -> int:
+    """Bit i is 1 if it is set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for start in range(0, len(hashes), block):
         octets = hashes[start : start + block].astype("<u8").view(np.uint8).reshape(-1, 8)
