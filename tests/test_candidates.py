@@ -1,3 +1,4 @@
+from collections import Counter
 from datetime import date, datetime
 
 import pytest
@@ -6,10 +7,12 @@ from pyspark.sql import functions as F
 from tidelake.operators.candidates import (
     Mix,
     decide_click,
+    permuted,
+    positions,
     quota_mix,
-    shuffled_blocks,
     threshold_choice,
     threshold_sweep,
+    user_keys,
 )
 from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.operators.quality import ValidationError
@@ -72,12 +75,53 @@ def test_small_catalog_is_shown_whole(spark, users, items):
     assert {r.n for r in rows} == {9} and len(rows) == 50
 
 
-def test_blocks_cover_the_catalog_once(items):
-    blocks, n = shuffled_blocks(items, 24, 42)
-    rows = blocks.collect()
-    seen = [v for r in rows for v in r.ids]
-    assert n == len(rows) == 12 and sorted(seen) == list(range(300))
-    assert all(24 <= len(r.ids) < 48 for r in rows)
+def test_positions_number_the_catalog_once(items):
+    for ranges in (1, 7, 4096):
+        rows = positions(items, 42, ranges).collect()
+        assert sorted(r.position for r in rows) == list(range(300)) == sorted(r.video_id for r in rows)
+
+
+@pytest.mark.parametrize("total", [1, 2, 3, 5, 24, 25, 97, 256, 300, 1000])
+def test_every_users_walk_is_a_permutation(spark, total):
+    users = spark.createDataFrame([(u,) for u in range(5)], "user_id long")
+    places = users.crossJoin(spark.range(total)).select(
+        "user_id", "id", permuted(F.col("id"), user_keys(42), F.lit(total).cast("long")).alias("at")
+    ).collect()
+    orders = {u: [r.at for r in sorted(places, key=lambda r: r.id) if r.user_id == u] for u in range(5)}
+    assert all(sorted(o) == list(range(total)) for o in orders.values())
+    assert total < 24 or len({tuple(o) for o in orders.values()}) == 5
+
+
+def test_every_item_reaches_every_part_of_the_users(spark, items):
+    """Exploration alone: 2,000 users with 6 of 300 items see each about 40 times."""
+    users = spark.range(2000).select(F.col("id").alias("user_id"), F.lit(None).cast("string").alias("category"))
+    mix = Mix(n=6, personalized=0.0, popular=0.0, exploration=1.0)
+    picks = quota_mix(users, items, mix).collect()
+    assert len(picks) == 12_000 and {r.strategy for r in picks} <= {"personalized", "exploration"}
+    for half in (0, 1):
+        seen = Counter(r.video_id for r in picks if r.user_id % 2 == half)
+        assert len(seen) == 300 and max(seen.values()) < 60
+    pairs = Counter(frozenset(p) for p in _first_two(picks).values())
+    assert max(pairs.values()) <= 4
+
+
+def _first_two(picks):
+    out = {}
+    for r in picks:
+        if r.slot <= 2:
+            out.setdefault(r.user_id, []).append(r.video_id)
+    return out
+
+
+def test_nothing_runs_while_the_plan_is_made(spark, users, items):
+    spark.sparkContext.setJobGroup("plan-only", "plan-only")
+    quota_mix(users, items)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("plan-only"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_an_empty_catalog_gives_no_candidates(users, items):
+    assert quota_mix(users, items.where("false")).count() == 0
 
 
 def test_plan_has_no_cross_join(users, items):

@@ -9,7 +9,15 @@ from tidelake.catalog import standin as s
 from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.functions.predicates import any_null
-from tidelake.operators.candidates import decide_click, quota_mix, threshold_choice, threshold_sweep
+from tidelake.operators.candidates import (
+    PRIME,
+    ROUNDS,
+    WALK_STEPS,
+    decide_click,
+    quota_mix,
+    threshold_choice,
+    threshold_sweep,
+)
 from tidelake.operators.quality import outside_partition
 from tidelake.operators.ranking import first_n_users, top_n
 from tidelake.plans.exposure_log import exposure_events, publish_day
@@ -84,6 +92,38 @@ def _mix(spark: SparkSession, sf: str) -> DataFrame:
 
 _HASH = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
+
+
+def _walk_sql() -> str:
+    """Every user's first 24 places of their own permutation of the catalog, step by step."""
+    keys = ", ".join(
+        f"{_HASH.format(f"user_id || '|42|add{r}'")} % {PRIME} AS add{r}, "
+        f"{_HASH.format(f"user_id || '|42|times{r}'")} % {PRIME - 1} + 1 AS times{r}"
+        for r in range(ROUNDS)
+    )
+    moves, left, right = [], "l0", "r0"
+    for r in range(ROUNDS):
+        moved, by, size = (left, right, "height") if r % 2 == 0 else (right, left, "side")
+        name = f"{moved[0]}{r + 1}"
+        moves.append(f"({moved} + (({by} + add{r}) % {PRIME}) * times{r} % {PRIME}) % {size} AS {name}")
+        left, right = (name, right) if r % 2 == 0 else (left, name)
+    once = f"place // side AS l0, place % side AS r0, {', '.join(moves)}, {left} * side + {right} AS moved"
+    kept = "user_id, i, total, side, height, " + ", ".join(f"add{r}, times{r}" for r in range(ROUNDS))
+    steps = [
+        f"""grid AS (
+  SELECT total, side, (total + side - 1) // side AS height
+  FROM (SELECT count(*) AS total, CAST(ceil(sqrt(count(*))) AS BIGINT) AS side FROM videos)),
+w_ AS (SELECT {kept}, i AS place FROM (SELECT user_id, {keys} FROM people), grid, range(24) t(i) WHERE i < total),
+w0 AS (SELECT {kept}, moved AS place FROM (SELECT *, {once} FROM w_))"""
+    ]
+    for n in range(WALK_STEPS):
+        steps.append(
+            f"w{n + 1} AS (SELECT {kept}, CASE WHEN place < total THEN place ELSE moved END AS place "
+            f"FROM (SELECT *, {once} FROM w{n}))"
+        )
+    return ",\n".join(steps)
+
+
 MIX = f"""taste AS (
   SELECT user_id, category FROM log JOIN videos USING (video_id) WHERE event_type <> 'error'
   GROUP BY user_id, category
@@ -95,7 +135,7 @@ ranked AS (
     row_number() OVER (PARTITION BY category ORDER BY price DESC, video_id) AS in_category,
     row_number() OVER (ORDER BY price DESC, video_id) AS overall,
     row_number() OVER (ORDER BY {_HASH.format("video_id || '|42'")}, video_id) - 1 AS position,
-    greatest(count(*) OVER () // 24, 1) AS blocks
+    count(*) OVER () AS total
   FROM videos),
 mine AS (
   SELECT user_id, video_id, in_category AS k FROM people JOIN ranked USING (category)
@@ -107,13 +147,12 @@ shared AS (
     (SELECT 1 FROM mine m WHERE m.user_id = p.user_id AND m.video_id = r.video_id)
   QUALIFY k <= 5),
 taken AS (SELECT user_id, video_id FROM mine UNION ALL SELECT user_id, video_id FROM shared),
+{_walk_sql()},
 walked AS (
-  SELECT p.user_id, r.video_id,
-    row_number() OVER (PARTITION BY p.user_id ORDER BY r.position) AS k
-  FROM people p JOIN ranked r
-    ON {_HASH.format("p.user_id || '|42'")} % r.blocks = least(r.position // 24, r.blocks - 1)
+  SELECT w.user_id, r.video_id, row_number() OVER (PARTITION BY w.user_id ORDER BY w.i) AS k
+  FROM w{WALK_STEPS} w JOIN ranked r ON w.place = r.position
   WHERE NOT EXISTS
-    (SELECT 1 FROM taken t WHERE t.user_id = p.user_id AND t.video_id = r.video_id)),
+    (SELECT 1 FROM taken t WHERE t.user_id = w.user_id AND t.video_id = r.video_id)),
 sizes AS (SELECT user_id, count(*) AS n FROM taken GROUP BY user_id),
 mix AS (
   SELECT user_id, video_id, 'personalized' AS strategy, 1 AS part, k FROM mine
