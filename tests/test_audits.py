@@ -41,7 +41,7 @@ def test_strict_path_refuses(spark, uri):
 OBJECTS = {
     "gs://b/lake/log/dt=2024-01-02/part-0.parquet": ("b", "lake/log", date(2024, 1, 2), "canonical"),
     "gs://b/dt=2024-01-02/part-00001-x.snappy.parquet": ("b", "", date(2024, 1, 2), "canonical"),
-    "gs://b/l/dt=2024-01-02/part-0.parquet.staging-0f6a43ed": ("b", "l", date(2024, 1, 2), "staging"),
+    "gs://b/l/dt=2024-01-02/part-0.parquet.staging-11aa22bb": ("b", "l", date(2024, 1, 2), "staging"),
     "gs://b/l/dt=2024-01-02/shard=001/part-0.parquet": ("b", "l", date(2024, 1, 2), "shard"),
     "gs://b/l/dt=2024-01-02/quarantine.jsonl": ("b", "l", date(2024, 1, 2), "other"),
     "gs://b/l/dt=2024-02-30/part-0.parquet": ("b", "l/dt=2024-02-30", None, "other"),

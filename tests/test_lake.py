@@ -7,8 +7,8 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidelake.plans.raw_load import RawTable, load_day, load_days
-from tidelake.operators.quality import ValidationError
+from tidelake.operators.quality import ValidationError, validate_raw
+from tidelake.plans.raw_load import RawTable, complete_days, load_day, load_days
 from tidelake.session import scratch
 from tidelake.sources import lake, schemas, sink
 
@@ -48,7 +48,7 @@ def test_day_column_comes_from_the_path_as_a_date(spark, base):
 
 def test_left_over_copies_and_shards_are_not_read(spark, base):
     part = glob.glob(f"{base}/dt={DAYS[0]}/part-*.parquet")[0]
-    shutil.copy(part, f"{base}/dt={DAYS[0]}/part-0.parquet.staging-0f6a43ed")
+    shutil.copy(part, f"{base}/dt={DAYS[0]}/part-0.parquet.copy-of-last-run")
     shutil.copytree(f"{base}/dt={DAYS[1]}", f"{base}/dt={DAYS[1]}/shard=001")
     assert counts(lake.read_lake(spark, base)) == dict.fromkeys(DAYS, 4)
     assert counts(lake.read_partition(spark, base, DAYS[0])) == {DAYS[0]: 4}
@@ -72,6 +72,66 @@ def test_partition_without_marker_is_not_ready(spark, base, log):
     assert lake.read_partition(spark, base, DAYS[0], require_success=True).count() == 4
 
 
+def test_a_committed_scan_follows_the_manifest(spark, base):
+    folder = f"{base}/dt={DAYS[0]}".removeprefix("file:")
+    found = lake.day_manifest(spark, base, DAYS[0])
+    assert found["rows"] == 4 and set(found["files"]) <= {p.split("/")[-1] for p in glob.glob(f"{folder}/part-*")}
+    part = sorted(found["files"])[0]
+    shutil.copy(f"{folder}/{part}", f"{folder}/part-77777-not-named.parquet")
+    assert lake.read_partition(spark, base, DAYS[0]).count() == 8
+    assert lake.read_partition(spark, base, DAYS[0], committed=True).count() == 4
+    assert lake.read_days(spark, base, DAYS, committed=True).count() == 12
+    assert lake.commit_day(spark, base, DAYS[0], "again") == lake.day_manifest(spark, base, DAYS[0])
+    assert lake.read_partition(spark, base, DAYS[0], committed=True).count() == 8
+
+
+def test_a_half_arrived_day_is_not_ready(spark, base, log):
+    target, ledger = scratch(spark, "raw"), scratch(spark, "ledger")
+    folder = f"{base}/dt={DAYS[1]}".removeprefix("file:")
+    part = glob.glob(f"{folder}/part-*.parquet")[0]
+    shutil.move(part, f"{folder}/aside")
+    days = [date.fromisoformat(d) for d in DAYS]
+    with pytest.raises(lake.PartitionNotReadyError, match="lacks part-"):
+        load_days(spark, base, target, days, TABLE, ledger)
+    with open(part, "w") as short:
+        short.write("PAR1")
+    with pytest.raises(lake.PartitionNotReadyError):
+        load_day(spark, base, target, days[1], TABLE, ledger)
+    shutil.move(f"{folder}/aside", part)
+    shutil.move(f"{folder}/{lake.MANIFEST}", f"{folder}/_aside")
+    with pytest.raises(lake.PartitionNotReadyError, match="no commit manifest"):
+        lake.read_days(spark, base, days, committed=True)
+    assert complete_days(spark, base, days)[0] == [days[0], days[2]]
+    load_day(spark, base, target, days[1], TABLE, ledger, committed=False)
+    assert lake.partitions(spark, target) == [DAYS[1]]
+
+
+def test_a_repeated_load_leaves_one_ledger_entry(spark, base, log):
+    target, ledger = scratch(spark, "raw"), scratch(spark, "ledger")
+    days = [date.fromisoformat(d) for d in DAYS]
+    for _ in range(2):
+        load_days(spark, base, target, days, TABLE, ledger)
+        load_day(spark, base, target, days[0], TABLE, ledger, committed=True)
+    assert spark.read.parquet(ledger).count() == 3
+    sink.backfill(log.where("dt = '2024-01-03' and event_id = 30"), base)
+    load_days(spark, base, target, days, TABLE, ledger)
+    assert counts(spark.read.parquet(ledger)) == {DAYS[0]: 1, DAYS[1]: 1, DAYS[2]: 2}
+    assert lake.day_manifest(spark, target, DAYS[2])["load_id"] == lake.day_manifest(spark, base, DAYS[2])["load_id"]
+
+
+def test_content_check_sees_swapped_and_moved_values(spark, log):
+    def said(loaded, source):
+        return {r.content_check for r in validate_raw(loaded, source, TABLE.required, TABLE.key, content=True).collect()}
+
+    assert said(log.orderBy(F.rand(1)).repartition(3), log) == {"ok"}
+    other = {"user_id": "video_id", "video_id": "user_id"}
+    moved = log.withColumn("user_id", F.col("user_id") + 1)
+    assert said(moved.select(*[F.col(other.get(c, c)).alias(c) for c in log.columns]), moved) != {"ok"}
+    gap, shifted = (log.withColumn(c, F.lit(None).cast("long")).withColumn(d, F.lit(5).cast("long"))
+                    for c, d in (("user_id", "video_id"), ("video_id", "user_id")))
+    assert said(gap, shifted) != {"ok"} and said(gap, gap) == {"ok"}
+
+
 def test_missing_partitions(spark, base):
     inventory = lake.read_lake(spark, base).where("dt <> '2024-01-02'")
     got = lake.missing_partitions(inventory, date(2024, 1, 1), date(2024, 1, 4)).collect()
@@ -165,7 +225,7 @@ TABLE = RawTable("log", schemas.ACTION_LOG, ("event_id", "user_id"), "event_id")
 
 def test_load_records_a_day_only_after_its_checks(spark, base):
     target, ledger = scratch(spark, "raw"), scratch(spark, "ledger")
-    load_day(spark, base, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+    load_day(spark, base, target, date(2024, 1, 1), TABLE, ledger)
     load_days(spark, base, target, [date(2024, 1, 2), date(2024, 1, 3)], TABLE, ledger)
     assert counts(lake.read_lake(spark, target)) == dict.fromkeys(DAYS, 4)
     entries = spark.read.parquet(ledger).collect()
@@ -176,18 +236,18 @@ def test_bad_day_raises_and_is_not_recorded(spark, log):
     source, target, ledger = (scratch(spark, n) for n in ("src", "raw", "ledger"))
     sink.backfill(log.unionByName(log.where("event_id = 10")), source)
     with pytest.raises(ValidationError, match="1 duplicate event_id rows"):
-        load_day(spark, source, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+        load_day(spark, source, target, date(2024, 1, 1), TABLE, ledger)
     with pytest.raises(PySparkException):
         spark.read.parquet(ledger)
 
 
 def test_a_failed_reload_leaves_the_good_day(spark, base, log):
     target, ledger, worse = (scratch(spark, n) for n in ("raw", "ledger", "src"))
-    load_day(spark, base, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+    load_day(spark, base, target, date(2024, 1, 1), TABLE, ledger)
     before = sorted(map(tuple, lake.read_partition(spark, target, DAYS[0]).collect()))
     sink.backfill(log.unionByName(log.where("event_id = 10")), worse)
     with pytest.raises(ValidationError):
-        load_day(spark, worse, target, date(2024, 1, 1), TABLE, ledger, require_success=False)
+        load_day(spark, worse, target, date(2024, 1, 1), TABLE, ledger)
     assert sorted(map(tuple, lake.read_partition(spark, target, DAYS[0]).collect())) == before
     with pytest.raises(FileNotFoundError):
         load_days(spark, base, target, [date(2024, 1, 1), date(2024, 2, 1)], TABLE, ledger)

@@ -11,7 +11,7 @@ from tidelake.plans.raw_load import RawTable
 from tidelake.session import scratch
 from tidelake.sources import schemas
 from tidelake.sources.fs import SharedFs
-from tidelake.sources.lake import read_lake
+from tidelake.sources.lake import commit_day, read_lake
 from tidelake.sources.online import read_online
 from tidelake.sources.sink import backfill
 from tidelake.streaming import jobs
@@ -51,6 +51,7 @@ def test_ingest_reloads_the_days_with_new_files(spark, log):
     # the second day gets another file, a third day arrives, a stray copy lies about
     more = log.where("dt = '2024-01-02'").withColumn("event_id", F.col("event_id") + 10_000)
     more.drop("dt").coalesce(1).write.mode("append").parquet(f"{source}/dt=2024-01-02")
+    commit_day(spark, source, "2024-01-02")
     backfill(log.where("dt = '2024-01-03'"), source, schema=schemas.ACTION_LOG)
     fs = SharedFs(spark, source)
     part = next(n for n in fs.names(f"{source}/dt=2024-01-01") if n.startswith("part-"))

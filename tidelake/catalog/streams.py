@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
-from tidelake.catalog.ingest import ACTION_LOG
+from tidelake.catalog.ingest import _PER_DAY, ACTION_LOG, _per_day
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.session import scratch
 from tidelake.sources import schemas
-from tidelake.sources.lake import read_lake
+from tidelake.sources.fs import SharedFs
+from tidelake.sources.lake import MANIFEST, partition_path, partitions, read_lake
 from tidelake.sources.online import read_online
 from tidelake.sources.sink import backfill
 from tidelake.streaming import jobs
@@ -25,23 +27,42 @@ def _log_stream(spark: SparkSession, sf: str) -> DataFrame:
     return read_lake_stream(spark, base, schemas.ACTION_LOG)
 
 
-@query(
-    "stream_ingest",
-    with_ctes(
-        "SELECT dt, count(*) AS rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM log GROUP BY dt",
-        s.LOG,
-    ),
-)
+@query("stream_ingest", with_ctes(f"{_PER_DAY} FROM log GROUP BY dt", s.LOG))
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     source, target = scratch(spark, "stream-lake"), scratch(spark, "stream-raw")
     ledger = scratch(spark, "stream-ledger")
     backfill(s.action_log(spark, sf), source, schema=schemas.ACTION_LOG)
     job = jobs.stream_ingest(spark, source, target, ACTION_LOG, ledger)
     drain(job, scratch(spark, "checkpoint"))
-    loaded = read_lake(spark, target, schema=schemas.ACTION_LOG)
-    return loaded.groupBy("dt").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("event_id").alias("id_sum")
-    )
+    return _per_day(read_lake(spark, target, schema=schemas.ACTION_LOG))
+
+
+@query(
+    "stream_ingest_half_day",
+    with_ctes(
+        f"""SELECT *, dt <> DATE '{s.DAY}' AS early, 1 AS entries
+        FROM ({_PER_DAY} FROM log GROUP BY dt)""",
+        s.LOG,
+    ),
+)
+def stream_ingest_half_day(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream that meets a half-arrived day: it loads the others and fails, and its next
+    run, with the same batch, loads all. A batch that runs twice leaves one ledger entry a day."""
+    source, target, aside = (scratch(spark, n) for n in ("stream-lake", "stream-raw", "late"))
+    ledger, checkpoint = scratch(spark, "stream-ledger"), scratch(spark, "checkpoint")
+    backfill(s.action_log(spark, sf), source, schema=schemas.ACTION_LOG)
+    fs, folder = SharedFs(spark, source), partition_path(source, s.DAY)
+    fs.rename(f"{folder}/{MANIFEST}", f"{aside}/{MANIFEST}")
+    early = []
+    try:
+        drain(jobs.stream_ingest(spark, source, target, ACTION_LOG, ledger), checkpoint)
+    except StreamingQueryException:
+        early = partitions(spark, target)
+    fs.rename(f"{aside}/{MANIFEST}", f"{folder}/{MANIFEST}")
+    drain(jobs.stream_ingest(spark, source, target, ACTION_LOG, ledger), checkpoint)
+    entries = spark.read.parquet(ledger).groupBy("dt").agg(F.count("*").cast("int").alias("entries"))
+    loaded = _per_day(read_lake(spark, target, schema=schemas.ACTION_LOG)).join(entries, "dt")
+    return loaded.withColumn("early", F.col("dt").cast("string").isin(early))
 
 
 @query(

@@ -93,6 +93,13 @@ def target_date(
     return _local_day(interval_end) - timedelta(days=lag_days)
 
 
+def target_day(named: Column, interval_end: Column, lag_days: Column) -> Column:
+    """The same for many runs at once, from UTC wall clocks: a named day as it is, else the
+    local day of the interval end less the lag. An empty name is none."""
+    given = F.when(F.length(named) > 0, named).cast("date")
+    return F.coalesce(given, F.date_sub(kst_date(interval_end), lag_days))
+
+
 def training_window(
     conf: Mapping[str, str] | None, interval_end: datetime, days: int = 7
 ) -> tuple[date, date]:

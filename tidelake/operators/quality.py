@@ -35,6 +35,15 @@ def dup_count(*keys: str) -> Column:
     return F.count_if(none_null(keys)) - F.count_distinct(*keys)
 
 
+def content_sum(columns: Sequence[str]) -> Column:
+    """Order-free checksum of whole rows: the sum of their hashes, as a partial aggregate.
+
+    Which values are NULL goes into a row's hash too, since a hash passes over them.
+    """
+    gaps = [F.col(c).isNull() for c in columns]
+    return F.coalesce(F.sum(F.xxhash64(*columns, *gaps).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+
+
 def _of_day(df: DataFrame, day: date | None) -> tuple[DataFrame, list[str]]:
     if day is None:
         return df, ["dt"]
@@ -51,21 +60,31 @@ def validate_raw(
     required: Sequence[str],
     key: str,
     day: date | None = None,
+    content: bool = False,
 ) -> DataFrame:
     """Four checks of a load: not empty, as many rows as the source, no NULL in a
     required column, no duplicate key. One metrics row per day; one row for a named
-    day even if nothing was loaded."""
+    day even if nothing was loaded. ``content`` adds a fifth: the rows of both sides are
+    the same, by an order-free checksum of all columns but the day, taken in the same
+    aggregates as the counts."""
     loaded, by = _of_day(loaded, day)
     source, _ = _of_day(source, day)
+    body = [c for c in loaded.columns if c != "dt"]
     left = loaded.groupBy(*by).agg(
         row_count().alias("row_count"),
         F.count_if(any_null(required)).alias("null_key_count"),
         dup_count(key).alias("duplicate_key_count"),
+        *([content_sum(body).alias("_loaded")] if content else []),
+    )
+    right = source.groupBy(*by).agg(
+        row_count().alias("source_row_count"), *([content_sum(body).alias("_source")] if content else [])
     )
-    right = source.groupBy(*by).agg(row_count().alias("source_row_count"))
     counts = ["row_count", "source_row_count", "null_key_count", "duplicate_key_count"]
     both = left.unionByName(right, allowMissingColumns=True).groupBy(*by)
-    metrics = both.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts])
+    sums = [F.max(c).alias(c) for c in ("_loaded", "_source")] if content else []
+    metrics = both.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in counts], *sums)
+    differs = ~F.col("_loaded").eqNullSafe(F.col("_source"))
+    extra = [_failed(differs, F.lit("content differs from the source")).alias("content_check")] if content else []
     day_column = F.col("dt") if day is None else F.lit(day).alias("dt")
     n, s, nulls, dups = (F.col(c) for c in counts)
     return metrics.select(
@@ -81,6 +100,7 @@ def validate_raw(
         _failed(
             dups > 0, F.format_string(f"%d duplicate {key} rows", dups)
         ).alias("unique_key_check"),
+        *extra,
     )
 
 

@@ -13,15 +13,26 @@ from pyspark.sql import DataFrame, SparkSession
 from tidelake.operators.attribution import CLICK_WINDOW_SECONDS, attribute_clicks
 from tidelake.operators.features import user_dynamic, video_feature
 from tidelake.operators.quality import enforce, validate_feature
+from tidelake.session import scratch
 from tidelake.sources import schemas
+from tidelake.sources.fs import SharedFs
 from tidelake.sources.lake import read_partition
 from tidelake.sources.sink import assert_layers_apart, replace_date
 
 
-def _publish(df: DataFrame, base: str, day: date, schema, keys: Sequence[str]) -> list[dict]:
-    replace_date(df, base, day, schema=schema)
-    stored = read_partition(df.sparkSession, base, day, schema=schema)
-    return enforce(validate_feature(stored, keys, day=day))
+def publish_features(df: DataFrame, base: str, day: date, schema, keys: Sequence[str]) -> list[dict]:
+    """Replace a day of a feature table if its staged copy passes the checks; a day that
+    fails leaves the old one."""
+    spark = df.sparkSession
+    staging = scratch(spark, "staged-feature")
+    try:
+        replace_date(df, staging, day, schema=schema)
+        staged = read_partition(spark, staging, day, schema=schema)
+        metrics = enforce(validate_feature(staged, keys, day=day))
+        replace_date(staged, base, day, schema=schema)
+    finally:
+        SharedFs(spark, staging).delete(staging)
+    return metrics
 
 
 def build_snapshots(
@@ -30,14 +41,14 @@ def build_snapshots(
     """Replace day ``day`` of the user and video tables, in this order; the first
     failing check stops the rest."""
     assert_layers_apart(raw, features)
-    _publish(
+    publish_features(
         user_dynamic(log, trending.where(trending.dt == day), day),
         f"{features}/user_dynamic_feature",
         day,
         schemas.USER_DYNAMIC_FEATURE,
         ["user_id"],
     )
-    _publish(
+    publish_features(
         video_feature(trending, day),
         f"{features}/video_feature",
         day,
@@ -58,7 +69,7 @@ def build_entity(
     assert_layers_apart(raw, features)
     day = snapshot_day - timedelta(days=1)
     spine = attribute_clicks(log, keys, window_seconds, day)
-    _publish(
+    publish_features(
         spine.select(*schemas.TRAINING_ENTITY.names, "dt"),
         f"{features}/training_entity",
         day,

@@ -24,6 +24,13 @@ class SharedFs:
             return []
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(path)))
 
+    def sizes(self, path: str) -> dict[str, int]:
+        """Length of every file directly inside a folder."""
+        if not self.exists(path):
+            return {}
+        found = self._fs.listStatus(self._path(path))
+        return {s.getPath().getName(): s.getLen() for s in found if s.isFile()}
+
     def rename(self, source: str, target: str) -> None:
         parent = self._path(target).getParent()
         self._fs.mkdirs(parent)

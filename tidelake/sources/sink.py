@@ -1,7 +1,7 @@
 """Idempotent partition writes.
 
-A day is written beside the table first and swapped in as one folder, so readers
-see the old day or the new one. Nothing else in the table is touched.
+A day is written beside the table first, gets a manifest of its files and is swapped in as
+one folder, so readers see the old day or the new one. Nothing else in the table is touched.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from tidelake.functions.predicates import messages
 from tidelake.sources.fs import SharedFs
-from tidelake.sources.lake import partition_path
+from tidelake.sources.lake import CANONICAL, commit_folder, partition_path
 from tidelake.sources.schemas import assert_schema
 
 
@@ -43,6 +43,12 @@ def assert_layers_apart(raw: str, feature: str) -> None:
         raise LayerError(f"raw and feature layers overlap: {raw} and {feature}")
 
 
+def layers_overlap(raw: Column, feature: Column) -> Column:
+    """The same question about many jobs at once, as an expression."""
+    a, b = (F.concat(F.rtrim(c, F.lit("/")), F.lit("/")) for c in (raw, feature))
+    return F.startswith(a, b) | F.startswith(b, a)
+
+
 def replace_partition(
     df: DataFrame,
     base: str,
@@ -51,6 +57,7 @@ def replace_partition(
     schema: T.StructType | None = None,
     overwrite: bool = False,
     rebalance: bool = False,
+    load_id: str | None = None,
 ) -> int:
     """Replace exactly one day and return its row count; running twice equals once.
 
@@ -83,6 +90,7 @@ def replace_partition(
         if counts["rows"] == 0:
             raise EmptyPartitionError(f"no rows for {target}")
         raise ForeignRowsError(f"{counts['foreign']} rows of other days for {target}")
+    commit_folder(spark, staged, counts["rows"], load_id or run)
     _swap(fs, staged, target, f"{base}/_replaced/{run}")
     return counts["rows"]
 
@@ -108,24 +116,34 @@ def replace_date(
     return replace_partition(df, base, dt, schema=schema, overwrite=True)
 
 
-def backfill(df: DataFrame, base: str, *, schema: T.StructType | None = None) -> None:
+def backfill(
+    df: DataFrame, base: str, *, schema: T.StructType | None = None, load_ids: Mapping[str, str] | None = None
+) -> None:
     """Write a many-day source: its days are replaced, days absent from it are kept.
 
-    Rebalancing by day gives few, even files and splits a day too big for one task.
+    Rebalancing by day gives few, even files and splits a day too big for one task. All days
+    are staged and counted before the first is swapped in; the swap is atomic per day.
     """
+    spark = df.sparkSession
     if schema is not None:
         df = assert_schema(df, schema)
     checked = F.when(
         F.col("dt").isNull(), F.raise_error(F.lit("row without a partition day"))
     ).otherwise(F.col("dt"))
-    (
-        df.withColumn("dt", checked)
-        .hint("rebalance", "dt")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .parquet(base)
-    )
+    run = uuid.uuid4().hex
+    staged = f"{base}/_staging/{run}"
+    df.withColumn("dt", checked).hint("rebalance", "dt").write.partitionBy("dt").parquet(staged)
+    fs = SharedFs(spark, base)
+    days = [n.removeprefix("dt=") for n in fs.names(staged) if n.startswith("dt=")]
+    if days:
+        paths = [f"{partition_path(staged, d)}/{CANONICAL}" for d in days]
+        rows = spark.read.option("basePath", staged).parquet(*paths).groupBy(F.col("dt").cast("string")).count()
+        counts = dict(rows.collect())  # one row a day
+        for day in days:
+            commit_folder(spark, partition_path(staged, day), counts[day], (load_ids or {}).get(day, run))
+        for day in days:
+            _swap(fs, partition_path(staged, day), partition_path(base, day), f"{base}/_replaced/{run}-{day}")
+    fs.delete(staged)
 
 
 def tag_quarantine(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
@@ -149,14 +167,18 @@ def split_tagged(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_quarantine(bad: DataFrame, base: str, day: date | None = None) -> None:
     """Bad rows as JSON lines under their day.
 
-    With a named day its quarantine is replaced as a whole, by nothing if no row is bad.
+    A named day is written beside the others and swapped in as a whole; if none of its rows
+    is bad its quarantine goes.
     """
-    if day is not None:
-        SharedFs(bad.sparkSession, base).delete(f"{base}/dt={day}")
-    (
-        bad.hint("rebalance", "dt")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("dt")
-        .json(base)
-    )
+    rows = bad.hint("rebalance", "dt").write.partitionBy("dt")
+    if day is None:
+        rows.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(base)
+        return
+    fs, run = SharedFs(bad.sparkSession, base), uuid.uuid4().hex
+    staged, target = f"{base}/_staging/{run}", f"{base}/dt={day}"
+    rows.json(staged)
+    if fs.exists(f"{staged}/dt={day}"):
+        _swap(fs, f"{staged}/dt={day}", target, f"{base}/_replaced/{run}")
+    else:
+        fs.delete(target)
+    fs.delete(staged)

@@ -13,10 +13,10 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from tidelake.functions.dates import LOCAL_ZONE, instant, kst_date
 from tidelake.operators.attribution import CLICK_WINDOW_SECONDS, attribute_clicks
-from tidelake.plans.raw_load import RawTable, load_days
+from tidelake.plans.raw_load import RawTable, complete_days, load_days
 from tidelake.sources.fs import SharedFs
-from tidelake.sources.lake import days_between, partitions, read_days
-from tidelake.sources.online import publish, upsert_onto
+from tidelake.sources.lake import PartitionNotReadyError, days_between, partitions, read_days
+from tidelake.sources.online import merge, vacuum
 from tidelake.sources.sink import backfill
 from tidelake.streaming.source import read_lake_stream
 
@@ -27,13 +27,19 @@ def stream_ingest(
     """Load and validate whole days as their files arrive.
 
     The stream only tells which days have new files. Each of them is then replaced
-    from the lake as a whole, so a day that arrives in pieces ends up complete.
+    from the lake as a whole, by its manifest. A batch that names a day which is not
+    complete loads the others and fails; run again, it loads the day once it is complete
+    and leaves one ledger entry per load.
     """
 
     def load(batch: DataFrame, _: int) -> None:
-        days = [r.dt for r in batch.select("dt").distinct().collect()]
-        if days:
-            load_days(batch.sparkSession, source, target, days, table, ledger)
+        session = batch.sparkSession
+        days = sorted(r.dt for r in batch.select("dt").distinct().collect())
+        complete, lacking = complete_days(session, source, days)
+        if complete:
+            load_days(session, source, target, complete, table, ledger)
+        if lacking:
+            raise PartitionNotReadyError("; ".join(lacking))
 
     return read_lake_stream(spark, source, table.schema).writeStream.foreachBatch(load)
 
@@ -109,17 +115,25 @@ def stream_dedup(
 
 
 def upsert_stream(
-    rows: DataFrame, base: str, view: str, keys: list[str], order: str, mode: str = "append"
+    rows: DataFrame,
+    base: str,
+    view: str,
+    keys: list[str],
+    order: str,
+    mode: str = "append",
+    retain: timedelta = timedelta(days=1),
 ) -> DataStreamWriter:
-    """Keep the newest row of each key; batch N writes version N+1 from version N."""
+    """Keep the newest row of each key; batch N publishes version N+1 from version N.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
+    Versions stay readable for ``retain`` after they were published, and the last three always.
+    """
+
+    def advance(batch: DataFrame, batch_id: int) -> None:
         fresh = batch.withColumn(order, F.lit(batch_id)) if order not in batch.columns else batch
-        merged = upsert_onto(session, base, view, batch_id, fresh, keys, order)
-        publish(session, base, view, batch_id + 1, merged, datetime.now())
+        merge(fresh, base, view, batch_id, keys, order, datetime.now())
+        vacuum(batch.sparkSession, base, view, older_than=retain)
 
-    return rows.writeStream.outputMode(mode).foreachBatch(merge)
+    return rows.writeStream.outputMode(mode).foreachBatch(advance)
 
 
 def stream_online(features: DataFrame, base: str, view: str, keys: list[str]) -> DataStreamWriter:
