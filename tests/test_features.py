@@ -6,7 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from tidelake.operators.features import daily_activity, trailing, user_dynamic, video_feature
+from tidelake.operators.features import daily_activity, trailing, trailing_distinct, user_dynamic, video_feature
 from tidelake.operators.ranking import first_n_users, latest_per_key, top_n, trending_snapshot
 
 
@@ -66,6 +66,23 @@ def test_trailing_window_counts_calendar_days(spark):
     assert got == {1: (1, 1), 2: (2, 2), 7: (3, 3), 8: (3, 3), 20: (1, 1)}
 
 
+def test_trailing_distinct_counts_each_item_once(spark):
+    rng = random.Random(3)
+    rows = [
+        (rng.choice([1, 2, None]), rng.choice([None, *range(6)]), date(2024, 1, 1) + timedelta(days=rng.choice([0, 1, 2, 6, 7, 8, 13, 30])))
+        for _ in range(300)
+    ]
+    log = spark.createDataFrame(rows, "user_id long, video_id long, dt date")
+    for days in (1, 2, 7, 40):
+        got = {(r.user_id, r.dt): r[2] for r in trailing_distinct(log, "user_id", "video_id", days).collect()}
+        want = {
+            (u, d): len({v for w, v, e in rows if w == u and v is not None and timedelta(0) <= d - e < timedelta(days=days)})
+            for u, _, d in rows
+        }
+        assert got == want
+    assert trailing_distinct(log.limit(0), "user_id", "video_id").count() == 0
+
+
 def test_daily_activity(make_log, rows):
     total = daily_activity(make_log(rows)).agg(F.sum("clicks")).first()[0]
     assert total == sum(r[4] == "click" for r in rows)

@@ -143,3 +143,30 @@ def test_orphans_leave_null_keys_out(spark):
     fact = spark.createDataFrame([(DAY, 1), (DAY, 9), (DAY, 9), (DAY, None)], "dt date, k long")
     dim = spark.createDataFrame([(1,)], "k long")
     assert [tuple(r) for r in q.orphans(fact, dim, "k").collect()] == [(DAY, 9, 2)]
+
+
+def test_a_bitmap_of_known_keys_leaves_only_suspects(spark):
+    known = [-70_000, -32_769, -32_768, -32_767, -1, 0, 1, 5, 32_767, 32_768, 32_769, 40_000, 10**12]
+    asked = sorted({k + d for k in known for d in (-1, 0, 1)})
+    fact = spark.createDataFrame([(DAY, k) for k in asked for _ in range(3)], "dt date, k long")
+    dim = spark.createDataFrame([(k,) for k in known] + [(None,), (5,)], "k long")
+    want = sorted((DAY, k, 3) for k in asked if k not in known)
+    assert sorted(tuple(r) for r in q.suspects(fact, dim, "k").groupBy("dt", "k").count().collect()) == want
+    assert sorted(tuple(r) for r in q.orphans(fact, dim, "k").collect()) == want
+    # with a bitmap of one block alone the others stay suspects, and the answer the same
+    few = q.suspects(fact, dim, "k", blocks=1).groupBy("dt", "k").count()
+    assert len(want) < few.count() < len(asked)
+    ints = dim.where("k between -70000 and 40000").select(F.col("k").try_cast("int").alias("k"))
+    assert {r.k for r in q.orphans(fact.where("k < 100000"), ints, "k").collect()} == {k for _, k, _ in want if k < 100_000}
+    names = fact.select("dt", F.concat(F.lit("n"), "k").alias("k"))
+    people = dim.select(F.concat(F.lit("n"), "k").alias("k"))
+    assert sorted(r.k for r in q.orphans(names, people, "k").collect()) == sorted(f"n{k}" for _, k, _ in want)
+    assert q.orphans(fact, dim.limit(0), "k").count() == len(asked)
+
+
+def test_the_screen_stands_before_the_shuffle(spark):
+    fact = spark.range(1000).selectExpr("date_add(date'2024-01-01', int(id % 2)) as dt", "id as k")
+    plan = q.orphans(fact, spark.range(990).selectExpr("id as k"), "k")._jdf.queryExecution().executedPlan().toString()
+    # top down: the anti join, the counts that map tasks send, the screen below them
+    assert plan.index("LeftAnti") < plan.index("partial_count") < plan.index("LeftOuter")
+    assert "Cartesian" not in plan and "NestedLoop" not in plan

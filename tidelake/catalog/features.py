@@ -9,7 +9,7 @@ from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.operators import attribution
 from tidelake.operators.asof import with_static
-from tidelake.operators.features import daily_activity, trailing
+from tidelake.operators.features import daily_activity, trailing, trailing_distinct
 from tidelake.plans.feature_build import build_entity, build_snapshots
 from tidelake.session import scratch
 from tidelake.sources import schemas
@@ -46,17 +46,22 @@ def video_feature(spark: SparkSession, sf: str) -> DataFrame:
         """SELECT user_id, dt,
           CAST(sum(impressions) OVER w AS BIGINT) AS impressions_7d,
           CAST(sum(clicks) OVER w AS BIGINT) AS clicks_7d,
-          count(*) OVER w AS active_days_7d
+          count(*) OVER w AS active_days_7d,
+          (SELECT count(DISTINCT l.video_id) FROM log l
+            WHERE l.user_id = a.user_id AND l.dt BETWEEN a.dt - 6 AND a.dt) AS distinct_videos_7d
         FROM (SELECT user_id, dt, count(*) FILTER (event_type = 'impression') AS impressions,
                 count(*) FILTER (event_type = 'click') AS clicks
-              FROM log GROUP BY user_id, dt)
+              FROM log GROUP BY user_id, dt) a
         WINDOW w AS (PARTITION BY user_id ORDER BY dt
           RANGE BETWEEN INTERVAL 6 DAY PRECEDING AND CURRENT ROW)""",
         s.LOG,
     ),
 )
 def user_trailing_7d(spark: SparkSession, sf: str) -> DataFrame:
-    return trailing(daily_activity(s.action_log(spark, sf)), "user_id", ["impressions", "clicks"])
+    log = s.action_log(spark, sf)
+    sums = trailing(daily_activity(log), "user_id", ["impressions", "clicks"])
+    videos = trailing_distinct(log, "user_id", "video_id", name="distinct_videos_7d")
+    return sums.join(videos, ["user_id", "dt"], "left")
 
 
 @query(

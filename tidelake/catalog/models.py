@@ -14,6 +14,7 @@ from tidelake.operators.evaluation import (
     promotion_decision,
     roc_auc,
 )
+from tidelake.operators.isotonic import isotonic_scores
 
 RATE = 0.25
 
@@ -46,6 +47,30 @@ def calibrate(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "isotonic_calibration",
+    with_ctes(
+        """SELECT score, rows, positives, round(max(low), 9) AS fitted FROM (
+          SELECT j.i AS j, k.i AS i, min((k.s - j.s + j.p) / (k.n - j.n + j.r)::DOUBLE) OVER (
+            PARTITION BY j.i ORDER BY k.i DESC) AS low
+          FROM sums j JOIN sums k ON j.i <= k.i) m JOIN sums USING (i)
+        GROUP BY score, rows, positives""",
+        s.SCORED,
+        """counts AS (SELECT n_chars::DOUBLE AS score, count(*) AS rows, sum(quality)::BIGINT AS positives
+          FROM scored GROUP BY n_chars)""",
+        """sums AS (SELECT *, rows AS r, positives AS p, row_number() OVER (ORDER BY score) AS i,
+          sum(rows) OVER (ORDER BY score) AS n, sum(positives) OVER (ORDER BY score) AS s FROM counts)""",
+    ),
+)
+def isotonic_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    """The non-decreasing fit of the quality label over document length, per length; in SQL
+    the largest over starts of the least mean over ends."""
+    fitted = isotonic_scores(s.scored_documents(spark, sf), "n_chars", "quality")
+    return fitted.select(
+        F.col("n_chars").alias("score"), "rows", "positives", F.round("fitted", 9).alias("fitted")
+    )
+
+
 def _auc_sql(rows: str, by: str) -> str:
     """Mean rank of the positives, ties at their average rank."""
     return f"""SELECT {by}, count(*) FILTER (label = 1) AS positives,

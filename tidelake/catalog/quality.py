@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,10 @@ from tidelake.catalog.ingest import ACTION_LOG
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.operators import quality as q
 from tidelake.operators.features import EVENT_TYPES
+from tidelake.operators.repeats import blocks_for, repeats, take_in
 from tidelake.session import scratch
+from tidelake.sources import schemas
+from tidelake.sources.lake import partitions
 from tidelake.sources.sink import backfill, split_quarantine, tag_quarantine, write_quarantine
 
 
@@ -256,3 +261,36 @@ def quarantine_ratio(spark: SparkSession, sf: str) -> DataFrame:
     """The limit is set so that some days pass and some do not."""
     tagged = tag_quarantine(s.faulty_log(spark, sf), rules())
     return q.quarantine_ratio(tagged, 0.22).withColumn("bad_ratio", F.round("bad_ratio", 9))
+
+
+def _resent_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log with some events sent again, up to two times, on other days."""
+    log = s.action_log(spark, sf).where(F.col("dt") >= F.lit(s.FIRST_DAY))
+    again = [
+        log.where(F.col("event_id") % n == 0).withColumn("dt", F.least(F.date_add("dt", n % 7), F.lit(s.LAST_DAY)))
+        for n in (211, 503)
+    ]
+    return log.unionByName(again[0]).unionByName(again[1])
+
+
+@query(
+    "duplicate_keys_incremental",
+    with_ctes(
+        f"""SELECT event_id, count(*) AS copies FROM (
+          SELECT event_id FROM log WHERE dt >= DATE '{s.FIRST_DAY}'
+          UNION ALL SELECT event_id FROM log WHERE dt >= DATE '{s.FIRST_DAY}' AND event_id % 211 = 0
+          UNION ALL SELECT event_id FROM log WHERE dt >= DATE '{s.FIRST_DAY}' AND event_id % 503 = 0)
+        GROUP BY event_id HAVING count(*) > 1""",
+        s.LOG,
+    ),
+)
+def duplicate_keys_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated events of the whole lake, found in three batches of days by their filters."""
+    base, state = scratch(spark, "resent"), scratch(spark, "repeats")
+    backfill(_resent_log(spark, sf), base, schema=schemas.ACTION_LOG)
+    days = [date.fromisoformat(d) for d in partitions(spark, base)]
+    size = -(-len(days) // 3)
+    for start in range(0, len(days), size):
+        batch = days[start : start + size]
+        take_in(spark, base, state, batch, ["event_id"], blocks_for(20_000), schema=schemas.ACTION_LOG, committed=True)
+    return repeats(spark, state)

@@ -11,9 +11,9 @@ from tidelake.catalog import standin as s
 from tidelake.catalog.registry import query, with_ctes
 from tidelake.operators.asof import pit_join
 from tidelake.operators.attribution import attribute_clicks, last_touch, require_positives
-from tidelake.operators.evaluation import fit_score
+from tidelake.operators.evaluation import fit_score, roc_auc
 from tidelake.plans.training import View, training_dataset
-from tidelake.session import cut
+from tidelake.session import cut, stored
 
 _SPINE = ["event_id", "user_id", "video_id", "event_timestamp", "dt", "label"]
 USER_COLUMNS = ["impressions", "clicks", "ctr", "distinct_videos", "top_category"]
@@ -76,7 +76,8 @@ def click_last_touch(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pit_user_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = s.spine(spark, sf).select("event_id", "user_id", "event_timestamp", "label")
-    joined = pit_join(rows, s.user_features(spark, sf), ["user_id"], USER_COLUMNS, prefix="user_")
+    view = stored(s.user_features(spark, sf).select("user_id", "event_timestamp", *USER_COLUMNS), "view")
+    joined = pit_join(rows, view, ["user_id"], USER_COLUMNS, prefix="user_")
     return joined.withColumn("user_ctr", F.round("user_ctr", 9))
 
 
@@ -98,7 +99,8 @@ def pit_user_features(spark: SparkSession, sf: str) -> DataFrame:
 )
 def pit_video_features(spark: SparkSession, sf: str) -> DataFrame:
     rows = s.spine(spark, sf).select("event_id", "video_id", "event_timestamp", "label")
-    return pit_join(rows, s.video_features(spark, sf), ["video_id"], VIDEO_COLUMNS, prefix="video_")
+    view = stored(s.video_features(spark, sf).select("video_id", "event_timestamp", *VIDEO_COLUMNS), "view")
+    return pit_join(rows, view, ["video_id"], VIDEO_COLUMNS, prefix="video_")
 
 
 def _dataset(spark: SparkSession, sf: str) -> DataFrame:
@@ -180,3 +182,30 @@ def train_score_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Which rows the model scores, and that every score is a probability."""
     scored = F.coalesce(F.col("score").between(0, 1), F.lit(False))
     return _scored(spark, sf).select("event_id", "dt", "label", scored.alias("has_score"))
+
+
+@query(
+    "train_score_separable",
+    with_ctes(
+        f"""SELECT dt % 2 AS fold, count(*) FILTER (label = 1) AS positives,
+          count(*) FILTER (label = 0) AS negatives, 1.0::DOUBLE AS auc FROM (
+            SELECT day(dt) AS dt, CAST(floor(value / 20) >= 6 AND event_type <> 'error' AS INTEGER) AS label FROM log
+            WHERE dt > DATE '{s.DAY}')
+        GROUP BY fold""",
+        s.LOG,
+    ),
+)
+def train_score_separable(spark: SparkSession, sf: str) -> DataFrame:
+    """What the scores say, on a label that two columns decide: fitted on the days up to one,
+    the model must rank every later positive above every later negative."""
+    steps = F.least(F.floor(F.col("value") / 20), F.lit(20))  # fewer values than the trees have bins
+    log = s.action_log(spark, sf).select(
+        "dt",
+        steps.alias("amount"),
+        (F.col("event_type") != "error").cast("int").alias("known"),
+        (F.col("event_id") % 17).alias("noise"),
+        ((steps >= 6) & (F.col("event_type") != "error")).cast("int").alias("label"),
+    )
+    train, test = log.where(F.col("dt") <= F.lit(s.DAY)), log.where(F.col("dt") > F.lit(s.DAY))
+    scored = fit_score(train, test, ["amount", "known", "noise"], iterations=5)
+    return roc_auc(scored.withColumn("fold", F.dayofmonth("dt") % 2), "score", "label", ["fold"])

@@ -59,7 +59,7 @@ def roc_auc(
         F.count_if(F.col(label) == 1).alias("_pos"),
         F.count_if(F.col(label) == 0).alias("_neg"),
     )
-    counted = _in_ranges(scores, by, max(ranges, 2))
+    counted = in_ranges(scores, by, max(ranges, 2))
     # one row per group and range
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     seeds = (
@@ -94,7 +94,7 @@ def roc_auc(
     )
 
 
-def _in_ranges(scores: DataFrame, by: list[str], ranges: int) -> DataFrame:
+def in_ranges(scores: DataFrame, by: list[str], ranges: int) -> DataFrame:
     """Add ``_range``, the number of cut points of the row's group below its score.
 
     A group has one row of cuts. Without groups the cuts are a scalar subquery, else they

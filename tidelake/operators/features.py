@@ -104,6 +104,43 @@ def trailing(
     )
 
 
+def trailing_distinct(
+    log: DataFrame, key: str, item: str, days: int = 7, day: str = "dt", name: str | None = None
+) -> DataFrame:
+    """Different items of the last ``days`` calendar days, on every day a key has rows.
+
+    Distinct counts of single days do not add up, but this does: an item counts from each of
+    its days until the window has left it or its next day takes over, so per key and item
+    these spans never overlap. A day's count is the spans begun less the spans ended by
+    then. What is shuffled is one row per key, item and day, then one per key and day, and
+    both are reduced in the map tasks; no set of items is ever held. NULL items count nothing.
+    """
+    name = name or f"distinct_{item}_{days}d"
+    own = Window.partitionBy(key, item).orderBy("_no")
+    seen = log.where(F.col(item).isNotNull()).select(key, item, F.unix_date(day).alias("_no")).distinct()
+    ends = F.least(F.col("_no") + days, F.lead("_no").over(own))  # a NULL is passed over
+    spans = seen.select(key, "_no", ends.alias("_end"))
+    steps = spans.select(
+        key,
+        F.explode(
+            F.array(
+                F.struct(F.col("_no").alias("_at"), F.lit(1).alias("_step")),
+                F.struct(F.col("_end").alias("_at"), F.lit(-1).alias("_step")),
+            )
+        ).alias("_s"),
+    ).select(key, "_s._at", "_s._step", F.lit(False).alias("_shown"))
+    rows = log.select(key, F.unix_date(day).alias("_at"), F.lit(0).alias("_step"), F.lit(True).alias("_shown"))
+    daily = steps.unionByName(rows).groupBy(key, "_at").agg(
+        F.sum("_step").alias("_step"), F.max("_shown").alias("_shown")
+    )
+    running = Window.partitionBy(key).orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        daily.withColumn(name, F.sum("_step").over(running))
+        .where("_shown")
+        .select(key, F.date_from_unix_date("_at").alias(day), name)
+    )
+
+
 def daily_activity(log: DataFrame, key: str = "user_id") -> DataFrame:
     """Impressions and clicks per key and day, the input of :func:`trailing`."""
     return log.groupBy(key, "dt").agg(

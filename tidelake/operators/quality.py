@@ -12,14 +12,18 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelake.functions.dates import kst_date
 from tidelake.functions.predicates import any_null, messages, none_null
+from tidelake.operators.ranking import ordered_limit
 
 OK = "ok"
 # Event kinds a complete log shows, and the quarantine limit.
 REQUIRED_EVENTS = ("impression", "click", "view")
 MAX_QUARANTINE_RATIO = 0.5
+#: Blocks of 32,768 keys whose bitmaps go to all tasks: 8 MB at most.
+KNOWN_BLOCKS = 2_048
 
 
 class ValidationError(ValueError):
@@ -163,12 +167,47 @@ def dup_keys_global(df: DataFrame, key: str) -> DataFrame:
     return counted.where(F.col("copies") > 1)
 
 
+def _known_blocks(dim: DataFrame, key: str, blocks: int) -> DataFrame:
+    """(block, bitmap) of the whole numbers a table has as keys: its fullest blocks of 32,768."""
+    number = F.col(key).cast("long")
+    keyed = dim.where(F.col(key).isNotNull()).select(
+        F.bitmap_bucket_number(number).alias("_block"), F.bitmap_bit_position(number).alias("_bit")
+    )
+    built = keyed.groupBy("_block").agg(
+        F.bitmap_construct_agg("_bit").alias("_bitmap"), F.count(F.lit(1)).alias("_keys")
+    )
+    return ordered_limit(built, [F.desc("_keys"), F.col("_block")], blocks).select("_block", "_bitmap")
+
+
+def bit_set(bitmap: Column, position: Column) -> Column:
+    octet = F.conv(F.hex(F.substring(bitmap, F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return F.bit_get(octet.cast("int"), F.pmod(position, F.lit(8)).cast("int")) == 1
+
+
+def suspects(fact: DataFrame, dim: DataFrame, key: str, blocks: int = KNOWN_BLOCKS) -> DataFrame:
+    """Rows whose key a bitmap of the dimension's keys does not show to be there.
+
+    Bitmaps of at most ``blocks`` blocks (4 KB each) go to all tasks; a key outside them
+    stays a suspect. Only whole numbers have a bitmap; of other keys all rows are suspects.
+    """
+    rows = fact.where(F.col(key).isNotNull())
+    if not all(isinstance(df.schema[key].dataType, T.IntegralType) for df in (fact, dim)):
+        return rows
+    number = F.col(key).cast("long")
+    known = F.broadcast(_known_blocks(dim, key, blocks))
+    met = rows.join(known, F.bitmap_bucket_number(number) == F.col("_block"), "left")
+    there = F.coalesce(bit_set(F.col("_bitmap"), F.bitmap_bit_position(number)), F.lit(False))
+    return met.where(~there).select(*[F.col(c) for c in fact.columns])
+
+
 def orphans(fact: DataFrame, dim: DataFrame, key: str, by: Sequence[str] = ("dt",)) -> DataFrame:
     """Key values without a dimension row, with their row counts.
 
-    Rows are counted per key before the join, so a hot key joins once per group.
+    A bitmap screens the rows in their own tasks, so only suspects are shuffled. They are
+    counted per key before the exact anti join, so a hot key joins once per group.
     """
-    counted = fact.where(F.col(key).isNotNull()).groupBy(*by, key).agg(row_count().alias("rows"))
+    rows = suspects(fact.select(*by, key), dim, key)
+    counted = rows.groupBy(*by, key).agg(row_count().alias("rows"))
     return counted.join(dim.select(key), key, "left_anti").select(*by, key, "rows")
 
 
