@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tests.llm.helpers import SF, awkward, empty
 from tidelake.llm import components, exact_dedup, langid, mixing, near_copies, pieces, simhash
-from tidelake.llm.queries import QUERIES
+from tidelake.llm.queries import ORACLES, QUERIES
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -206,6 +207,19 @@ def test_a_source_without_words_takes_its_turn_in_the_weights(spark):
     assert [(r.size, r.target, r.taken) for r in mixing.mixed(blank).collect()] == [(0, 0.0, 0)] * 2
 
 
+def test_the_mix_agrees_with_its_sql_where_a_source_has_no_words(spark):
+    rng = random.Random(19)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice(["a", "c", "c", None])) for i in range(200)]
+    rows += [(900, None, "b"), (901, " ", "b"), (902, "", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    want = sorted(con.execute(ORACLES["op2_mix_sources"]).fetchall())
+    got = sorted(tuple(r) for r in mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken").collect())
+    assert [(r[:3], r[4]) for r in got] == [(r[:3], r[4]) for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want])
+
+
 def test_weights_make_unequal_inclusion(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.concat_ws(" ", F.array_repeat(F.lit("w"), 10)).alias("text"),
@@ -231,6 +245,15 @@ def test_mix_edges(spark):
 
 # language ID
 
+def test_numerals_and_signs_are_no_letters(spark):
+    assert not any(map(langid.has_letter, ["²", "½", "Ⅳ", "①", "१२", "_", "\u0301", "😀", ""]))
+    assert all(map(langid.has_letter, ["a", "1é", "ʰ", "中", "ª"]))
+    docs = docs_of(spark).select("doc_id", "text", "lang", "source")
+    signs = spark.createDataFrame([(10**6 + i, t, None, None) for i, t in enumerate(["² ½", "Ⅳ ① 3"])], docs.schema)
+    found = langid.language_id(docs.union(signs)).filter("doc_id >= 1000000").collect()
+    assert [(r.lang_pred, r.score) for r in found] == [("und", 0.0)] * 2
+
+
 def test_language_id_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.language_id(docs).collect()

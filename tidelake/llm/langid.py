@@ -14,7 +14,6 @@ table of one row of language scores per bucket.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -33,7 +32,11 @@ DIM = 16
 SAMPLE_BITS = 16
 #: Every ASCII byte that is no letter becomes a space; other bytes stay.
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Any character of the Unicode categories L*; numerals, marks and signs are none."""
+    return any(map(str.isalpha, text))
 
 
 def subwords(text: str) -> np.ndarray:
@@ -61,7 +64,7 @@ class Model:
     reject_below: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or text is None or not _HAS_LETTER.search(text):
+        if not self.languages or text is None or not has_letter(text):
             return UNDECIDED, 0.0
         buckets = subwords(text)
         mean = self.table[buckets].mean(axis=0, dtype=np.float64) if len(buckets) else 0.0

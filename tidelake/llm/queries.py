@@ -36,7 +36,7 @@ WITH d AS (
       + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u
   FROM documents),
 s AS (
-  SELECT source, sum(size)::BIGINT AS source_size FROM d WHERE size > 0 GROUP BY source),
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight,
     3 * source_size AS lim FROM s),
@@ -51,7 +51,7 @@ lev AS (
 t AS (
   SELECT source, source_size, least(lim::DOUBLE, level * weight::DOUBLE) AS target FROM o, lev),
 c AS (
-  SELECT source, source_size, target, least(3, target / source_size::DOUBLE) AS due FROM t),
+  SELECT source, source_size, target, least(3, target / nullif(source_size, 0)::DOUBLE) AS due FROM t),
 k AS (
   SELECT d.*, source_size, target, due, target - floor(due) * source_size AS wanted,
     CASE WHEN due < 3 THEN u * (1 - (due - floor(due)))
