@@ -1,14 +1,18 @@
 """Licence scans: a trained paragraph classifier, calibrated, confirmed against templates.
 
-Paragraphs are lines. Features are the words and word pairs of the licence templates; an
-ordinary line has few of them and a licence line many. A multinomial logistic regression
-over their presence is fitted on the driver from the templates, noisy variants of them,
-and a bounded sample of corpus lines as ordinary text. Its weights are a small table of
-at most ``max_features`` rows, which is broadcast; scoring is joins and sums.
-
-A predicted family is confirmed when a template of that family is found in the line by
-most of its word pairs. A line that is neither ordinary nor confidently of a family, or
-that no template confirms, is ``unknown``: the threshold is set on held-out variants.
+Paragraphs are single lines, and runs of up to 12 non-blank lines from a line that has any
+feature on, so a wrapped notice is seen whole. Features are the words and word pairs of
+the licence templates; an ordinary line has few of them and a licence line many. A
+multinomial logistic regression over their presence is fitted on the driver from the
+templates, noisy variants of them, and a bounded sample of corpus lines as ordinary text.
+Its weights are a small table of at most ``max_features`` rows, which is broadcast; scoring
+is joins and sums.
+
+A predicted family is confirmed when a template of that family is found in the paragraph by
+most of its word pairs. Of confirmed paragraphs that overlap the one stays that has most
+of a template, then the shortest. A line that is neither ordinary nor confidently of a
+family, or that no template confirms, is ``unknown``: the threshold is set on held-out
+variants.
 
 The main path is built-in SQL functions only.
 """
@@ -21,7 +25,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelake.llm.common import stored
@@ -30,11 +34,24 @@ ORDINARY, UNKNOWN = "none", "unknown"
 
 # fixed values: short notices by which licence families are named
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        "with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed '
+        'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License '
+        "for the specific language governing permissions and limitations under the License.",
+    ],
     "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted.",
         "This software is released under the BSD license.",
         "Licensed under the BSD 3-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+        "products derived from this software without specific prior written permission.",
     ],
     "CC-BY": ["Licensed under CC BY 4.0.", "Licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-NC": [
@@ -42,21 +59,49 @@ TEMPLATES = {
         "Licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ],
     "CC-BY-SA": ["Licensed under CC BY-SA 4.0.", "Licensed under a Creative Commons Attribution-ShareAlike 4.0 License."],
-    "CC0": ["This work is dedicated to the public domain under CC0 1.0 Universal."],
+    "CC0": [
+        "This work is dedicated to the public domain under CC0 1.0 Universal.",
+        "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to "
+        "this software to the public domain worldwide.",
+    ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it under the terms of the GNU General Public License.",
         "Licensed under the GPL, version 2 or later.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License "
+        "for more details.",
+    ],
+    "LGPL": [
+        "Licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, or "
+        "(at your option) any later version.",
     ],
-    "LGPL": ["Licensed under the GNU Lesser General Public License, version 3."],
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        "the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and "
+        "to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "proprietary": ["All rights reserved. No part of this work may be reproduced without permission."],
 }
 
+#: Numbers of lines that a paragraph is tried with, beside the whole run up to a blank line.
+LENGTHS = (1, 2, 3, 4, 6, 8, 12)
+
 
 def words_of(line: Column) -> Column:
     """Lower-case runs of ASCII letters, digits and dots between digits."""
@@ -81,13 +126,6 @@ def grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
-def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, paragraph number, text) of the lines of whole texts; a null text has none."""
-    return docs.select(
-        F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("paragraph", "line")
-    )
-
-
 def _variants(rng: random.Random, line: list[str], filler: list[list[str]], count: int) -> list[list[str]]:
     """The notice with words lost, and with ordinary words around it."""
     out = [line]
@@ -100,14 +138,14 @@ def _variants(rng: random.Random, line: list[str], filler: list[list[str]], coun
 
 
 def fit(
-    ordinary: list[str], max_features: int = 2000, variants: int = 40, steps: int = 600, rate: float = 2.0,
+    ordinary: list[str], max_features: int = 2000, variants: int = 30, steps: int = 250, rate: float = 2.0,
     penalty: float = 1e-4, seed: int = 11, common: float = 0.01,
 ) -> dict:
     """Weights per n-gram and class, bias, classes and the calibrated threshold.
 
     Ordinary lines with over half of some template's pairs are left out of the sample,
     since they are notices themselves. An n-gram that more than the share ``common`` of
-    the ordinary lines has is no feature.
+    the ordinary lines has is no feature. More features than ``max_features`` are refused.
     """
     rng = random.Random(seed)
     notices = [(f, _words(t)) for f, ts in TEMPLATES.items() for t in ts]
@@ -123,7 +161,9 @@ def fit(
     rng.shuffle(samples)
     seen = Counter(g for w in plain for g in _grams(w))
     wanted = set().union(*(_grams(w) for _, w in notices))
-    features = sorted(g for g in wanted if seen[g] <= common * len(plain))[:max_features]
+    features = sorted(g for g in wanted if seen[g] <= common * len(plain))
+    if len(features) > max_features:
+        raise ValueError(f"the templates have {len(features)} features, more than {max_features}")
     index = {g: i for i, g in enumerate(features)}
     x = np.zeros((len(samples), len(features)), np.float32)
     for row, (_, words) in zip(x, samples):
@@ -189,24 +229,20 @@ def _templates(spark: SparkSession) -> DataFrame:
     return _inline(spark, rows, "gram string, family string, number int, pairs int")
 
 
-def classify(lines: DataFrame, model: dict, confirm_at: float = 0.7) -> DataFrame:
-    """(line, family, score, similarity, confirmed) for every different line that is not ordinary.
+def _has_feature(grams: Column, model: dict) -> Column:
+    return F.exists(grams, lambda g: g.isin(*model["features"])) if model["features"] else F.lit(False)
+
+
+def _classes(keyed: DataFrame, model: dict, confirm_at: float) -> DataFrame:
+    """(key, family, nearest, score, similarity, confirmed) of every different key that is not ordinary.
 
-    A line without any single word that is a feature is ordinary and is left out before
-    its pairs are built.
+    ``keyed`` has one row per key with its grams.
     """
-    spark = lines.sparkSession
-    single = [g for g in model["features"] if " " not in g]
+    spark = keyed.sparkSession
     bias, classes = model["bias"], model["classes"]
-    known = F.array(*(F.lit(g) for g in single)).cast("array<string>")
-    grams = (
-        lines.select("line")
-        .filter(F.arrays_overlap(words_of(F.col("line")), known))
-        .distinct()
-        .select("line", F.explode(grams_of(words_of(F.col("line")))).alias("gram"))
-    )
+    grams = keyed.select("key", F.explode("grams").alias("gram"))
     sums = [(F.sum(F.col("w")[i]) + F.lit(float(bias[i]))).alias(f"z{i}") for i in range(len(classes))]
-    scored = grams.join(F.broadcast(_weights(spark, model)), "gram").groupBy("line").agg(*sums)
+    scored = grams.join(F.broadcast(_weights(spark, model)), "gram").groupBy("key").agg(*sums)
     z = [F.col(f"z{i}") for i in range(len(classes))]
     top = F.greatest(*z)
     total = sum((F.exp(v - top) for v in z[1:]), F.exp(z[0] - top))
@@ -214,44 +250,116 @@ def classify(lines: DataFrame, model: dict, confirm_at: float = 0.7) -> DataFram
     best = F.greatest(*z[1:])
     family = F.element_at(F.array(*(F.lit(c) for c in classes[1:])), F.array_position(F.array(*z[1:]), best).cast("int"))
     picked = ranked.select(
-        "line", family.alias("family"), (F.exp(best - top) / F.col("total")).alias("score"), "p_none"
+        "key", family.alias("family"), (F.exp(best - top) / F.col("total")).alias("score"), "p_none"
     ).filter("p_none < 0.5")
     found = (
         grams.join(F.broadcast(_templates(spark)), "gram")
-        .groupBy("line", "family", "number")
-        .agg((F.count("*") / F.first("pairs")).alias("part"))
-        .groupBy("line", "family")
-        .agg(F.max("part").alias("similarity"))
+        .groupBy("key", "family", "number")
+        .agg((F.count("*") / F.first("pairs")).alias("part"), F.count("*").alias("hits"))
+        .groupBy("key", "family")
+        .agg(F.max("part").alias("similarity"), F.max(F.when(F.col("part") >= confirm_at, F.col("hits"))).alias("hits"))
     )
-    joined = picked.join(found, ["line", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    joined = picked.join(found, ["key", "family"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
     sure = (F.col("similarity") >= confirm_at) & (F.col("score") >= model["threshold"])
     return joined.select(
-        "line",
+        "key",
         F.when(sure, F.col("family")).otherwise(UNKNOWN).alias("family"),
         F.col("family").alias("nearest"),
         F.round("score", 6).alias("score"),
         F.round("similarity", 6).alias("similarity"),
+        F.coalesce("hits", F.lit(0)).alias("hits"),
         sure.alias("confirmed"),
     )
 
 
+def classify(lines: DataFrame, model: dict, confirm_at: float = 0.7) -> DataFrame:
+    """(line, family, nearest, score, similarity, confirmed) for every different line that is not ordinary."""
+    known = lines.select("line").distinct().withColumn("key", F.sha2("line", 256))
+    keyed = known.withColumn("grams", grams_of(words_of(F.col("line"))))
+    found = _classes(keyed.filter(_has_feature(F.col("grams"), model)).select("key", "grams"), model, confirm_at)
+    return known.join(found, "key").drop("key", "hits")
+
+
+def paragraphs(docs: DataFrame, model: dict, id_col: str, text_col: str) -> DataFrame:
+    """(rid, doc_id, first, last, key, grams): the paragraphs that start at a line with a feature.
+
+    first and last are line numbers from 0. A null text has no line.
+    """
+    blank = r"^[\s]*$"
+
+    def run_from(line: Column, number: Column) -> Column:
+        run = F.slice(F.col("lines"), number + 1, F.lit(max(LENGTHS)))
+        hit = _has_feature(grams_of(words_of(line)), model)
+        return F.when(hit, F.struct(number.alias("first"), run.alias("run")))
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.split(F.col(text_col), "\n", -1).alias("lines"))
+    started = rows.withColumn("rid", F.monotonically_increasing_id()).select(
+        "rid", "doc_id", F.explode(F.filter(F.transform("lines", run_from), lambda r: r.isNotNull())).alias("r")
+    )
+    stop = F.array_position(F.transform("run", lambda x: F.regexp_like(x, F.lit(blank))), F.lit(True)).cast("int")
+    size = F.when(stop > 0, stop - 1).otherwise(F.size("run"))
+    lengths = F.array_distinct(
+        F.concat(F.filter(F.array(*(F.lit(n) for n in LENGTHS)), lambda n: n < F.col("size")), F.array("size"))
+    )
+    tried = (
+        started.select("rid", "doc_id", "r.*")
+        .withColumn("size", size)
+        .select("rid", "doc_id", "first", "run", F.explode(lengths).alias("length"))
+        .withColumn("text", F.array_join(F.slice("run", F.lit(1), F.col("length")), "\n"))
+    )
+    return tried.select(
+        "rid", "doc_id", "first", (F.col("first") + F.col("length") - 1).alias("last"),
+        F.sha2("text", 256).alias("key"), grams_of(words_of(F.col("text"))).alias("grams"),
+    )
+
+
+def _standing(found: DataFrame) -> DataFrame:
+    """Confirmed paragraphs that no better one overlaps, and unknown lines outside of those.
+
+    Only paragraphs that start within the longest run of one another can overlap, so a row
+    looks at a bounded number of others.
+    """
+    reach = max(LENGTHS) - 1
+    near = Window.partitionBy("rid").orderBy("first").rangeBetween(-reach, reach)
+    rank = F.struct((-F.col("similarity")).alias("s"), (-F.col("hits")).alias("h"), (F.col("last") - F.col("first")).alias("n"), F.col("first").alias("f"))
+    ranked = found.withColumn("rank", rank)
+
+    def others(df: DataFrame) -> DataFrame:
+        kept = F.when(F.col("confirmed"), F.struct("first", "last", "rank"))
+        return df.withColumn("others", F.collect_list(kept).over(near))
+
+    def overlaps(o: Column) -> Column:
+        return (o["first"] <= F.col("last")) & (o["last"] >= F.col("first"))
+
+    best = others(ranked).withColumn(
+        "beaten", F.exists("others", lambda o: overlaps(o) & (o["rank"] < F.col("rank")))
+    )
+    stays = best.filter(~F.col("confirmed") | ~F.col("beaten")).drop("others", "beaten")
+    alone = others(stays).filter(F.col("confirmed") | ~F.exists("others", overlaps))
+    return alone.filter(F.col("confirmed") | (F.col("first") == F.col("last")))
+
+
 def scan(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: dict | None = None, confirm_at: float = 0.7,
     **options,
 ) -> DataFrame:
-    """One row per line that is not ordinary text: doc_id, paragraph, family, nearest, score, similarity, confirmed.
-
-    paragraph is the number of the line in its whole text, from 0. family is a licence
-    family, or unknown where the score is below the calibrated threshold or no template
-    confirms it; nearest is the family with the highest score. Null and empty texts have
-    no such line. Equal lines are classified once and get equal rows; a line that a large
-    share of the documents has is split in the join. Repeated rows each give their rows.
+    """One row per paragraph that is not ordinary text: doc_id, paragraph, last_line, family, nearest, score,
+    similarity, confirmed.
+
+    paragraph and last_line are the numbers of its first and last line in the whole text,
+    from 0. family is a licence family, or unknown where the score is below the calibrated
+    threshold or no template confirms it; nearest is the family with the highest score.
+    Unknown are single lines alone, and none within a confirmed paragraph. Null and empty
+    texts have no paragraph. Equal paragraphs are classified once and get equal rows; one
+    that a large share of the documents has is split in the join. Repeated rows each give
+    their rows.
     """
     model = model or train(docs, text_col, **options)
-    lines = lines_of(docs, id_col, text_col)
-    classes = stored(classify(lines, model, confirm_at), "licence-lines")
-    single = F.array(*(F.lit(g) for g in model["features"] if " " not in g)).cast("array<string>")
-    likely = lines.filter(F.arrays_overlap(words_of(F.col("line")), single))
-    return likely.join(classes, "line").select(
-        "doc_id", "paragraph", "family", "nearest", "score", "similarity", "confirmed"
+    tried = stored(paragraphs(docs, model, id_col, text_col), "licence-paragraphs")
+    different = tried.groupBy("key").agg(F.first("grams").alias("grams"))
+    classes = stored(_classes(different, model, confirm_at), "licence-classes")
+    found = tried.drop("grams").join(classes, "key")
+    return _standing(found).select(
+        "doc_id", F.col("first").alias("paragraph"), F.col("last").alias("last_line"), "family", "nearest", "score",
+        "similarity", "confirmed",
     )
