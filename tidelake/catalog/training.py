@@ -208,4 +208,4 @@ def train_score_separable(spark: SparkSession, sf: str) -> DataFrame:
     )
     train, test = log.where(F.col("dt") <= F.lit(s.DAY)), log.where(F.col("dt") > F.lit(s.DAY))
     scored = fit_score(train, test, ["amount", "known", "noise"], iterations=5)
-    return roc_auc(scored.withColumn("fold", F.dayofmonth("dt") % 2), "score", "label", ["fold"])
+    return roc_auc(scored.withColumn("fold", (F.dayofmonth("dt") % 2).cast("long")), "score", "label", ["fold"])
