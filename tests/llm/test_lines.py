@@ -148,63 +148,6 @@ def test_unknown_notices_are_not_given_a_family(spark):
     assert 1 not in rows or rows[1].family == licences.UNKNOWN
 
 
-HEADERS = {  # as files carry them, wrapped and marked as comments
-    "GPL": """# Copyright (C) 2019 Somebody Else
-#
-# This program is free software; you can redistribute it and/or modify
-# it under the terms of the GNU General Public License as published by
-# the Free Software Foundation; either version 2 of the License, or
-# (at your option) any later version.""",
-    "LGPL": """ * This library is free software; you can redistribute it and/or
- * modify it under the terms of the GNU Lesser General Public
- * License as published by the Free Software Foundation; either
- * version 2 of the License, or (at your option) any later version.""",
-    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
-of this software and associated documentation files (the "Software"), to deal
-in the Software without restriction, including without limitation the rights
-to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
-copies of the Software, and to permit persons to whom the Software is
-furnished to do so, subject to the following conditions:""",
-    "BSD": """Redistribution and use in source and binary forms, with or without
-modification, are permitted provided that the following conditions
-are met:""",
-    "Apache-2.0": """// Licensed under the Apache License, Version 2.0 (the "License");
-// you may not use this file except in compliance with the License.
-// You may obtain a copy of the License at
-//
-//     http://www.apache.org/licenses/LICENSE-2.0""",
-}
-
-
-def test_wrapped_headers_are_confirmed_with_their_lines(spark):
-    prose = "Some words of a story that goes on.\n\n"
-    docs = spark.createDataFrame(
-        [(i, f"{prose}{text}\n\nAnd {prose}") for i, text in enumerate(HEADERS.values())]
-        + [(50, "\n\n".join([prose, HEADERS["MIT"], HEADERS["GPL"], "Licensed under CC BY 4.0.\nReleased under the MIT License."])),
-           (60, prose * 3)],
-        "doc_id long, text string",
-    )
-    model = licences.fit(["the story of the work", "under a version of it", "some words that go on"])
-    rows = licences.scan(docs, model=model).collect()
-    by_doc = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.paragraph)):
-        if r.confirmed:
-            by_doc.setdefault(r.doc_id, []).append((r.family, r.paragraph, r.last_line))
-    for i, (family, text) in enumerate(HEADERS.items()):
-        size = text.count("\n")
-        assert {f for f, _, _ in by_doc[i]} == {family}, (family, by_doc[i])
-        assert all(2 <= first <= last <= 2 + size for _, first, last in by_doc[i])
-        assert max(last - first for _, first, last in by_doc[i]) >= min(size, 2) - 1
-    assert [f for f, _, _ in by_doc[50]] == ["MIT", "GPL", "CC-BY", "MIT"]
-    assert 60 not in {r.doc_id for r in rows}
-    assert all(r.paragraph == r.last_line for r in rows if not r.confirmed)
-
-
-def test_features_are_refused_and_not_cut():
-    with pytest.raises(ValueError, match="more than 100"):
-        licences.fit(["plain"], max_features=100)
-
-
 def test_scores_equal_the_model(spark):
     model = licences.fit(["the story of the work", "under a version of it"])
     lines = spark.createDataFrame([("Licensed under the Apache License, Version 2.0.",)], "line string")
