@@ -203,17 +203,18 @@ class Aligner:
     def texts(self, texts: list[str]) -> list[list[Stretch] | None]:
         """The stretches of each text in order; None for a text of which a side does not give the bytes."""
         cut = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        wanted = {p for pieces in cut for p in pieces}
-        got = {p: self.known.get(p) or self.before.get(p) for p in wanted}
-        new = self.align([p for p, stretch in got.items() if stretch is None])
-        got |= new
+        have = [list(map(self.known.get, pieces)) for pieces in cut]
+        missing = {p for pieces, known in zip(cut, have) if not all(known) for p, s in zip(pieces, known) if s is None}
+        new = {p: s for p in missing if (s := self.before.get(p))}
+        new |= self.align([p for p in missing if p not in new])
         if len(self.known) >= REMEMBERED:
             self.known, self.before = {}, self.known
-        self.known.update((p, s) for p, s in got.items() if s and len(p) <= SHORT)
+        self.known.update((p, s) for p, s in new.items() if s and len(p) <= SHORT)
         found = []
-        for pieces in cut:
-            stretches = [got[p] for p in pieces]
-            found.append(None if None in stretches else stretches)
+        for pieces, known in zip(cut, have):
+            if not all(known):
+                known = [s or new[p] for p, s in zip(pieces, known)]
+            found.append(known if all(known) else None)
         return found
 
 
@@ -229,15 +230,14 @@ FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs
 def _record(stretches: list[Stretch] | None) -> tuple:
     if not stretches:
         return 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
-    groups = ";".join([s.groups for s in stretches])
-    pairs = np.frombuffer(b"".join([s.pairs for s in stretches]), "<i4")
-    times = np.frombuffer(b"".join([s.times for s in stretches]), "<i8")
+    n_a, n_b, parts, pairs, times = zip(*stretches)
+    groups = ";".join(parts)
+    pairs, times = np.frombuffer(b"".join(pairs), "<i4"), np.frombuffer(b"".join(times), "<i8")
     order = np.argsort(pairs)
     pairs, times = pairs[order], times[order]
     heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
     return (
-        sum([s.n_a for s in stretches]), sum([s.n_b for s in stretches]), groups.count(";") + 1,
-        int(times.sum()), groups, pairs[heads], np.add.reduceat(times, heads),
+        sum(n_a), sum(n_b), groups.count(";") + 1, int(times.sum()), groups, pairs[heads], np.add.reduceat(times, heads),
     )
 
 
