@@ -93,11 +93,13 @@ def permuted(index: Column, keys: Sequence[tuple[Column, Column]], total: Column
             left, right = (moved, right) if n % 2 == 0 else (left, moved)
         return left * side + right
 
-    return F.aggregate(
+    first = once(index)
+    walked = F.aggregate(
         F.sequence(F.lit(1), F.lit(WALK_STEPS)),
-        once(index),
+        first,
         lambda place, _: F.when(place < total, place).otherwise(once(place)),
     )
+    return F.when(first < total, first).otherwise(walked)  # few places need a walk
 
 
 def user_keys(seed: int) -> list[tuple[Column, Column]]:
