@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from tidelake.catalog import ingest
 from tidelake.operators.quality import ValidationError, validate_raw
 from tidelake.plans.raw_load import RawTable, complete_days, load_day, load_days
 from tidelake.session import scratch
@@ -264,3 +265,21 @@ def test_a_clean_rerun_empties_the_days_quarantine(spark, log):
     assert 0 < others < rows.count()
     sink.write_quarantine(bad.limit(0), path, day)
     assert spark.read.json(path).count() == others
+
+
+def test_check_sums_equal_plain_ones_and_wrap_beyond_64_bits(spark):
+    days = {"2024-01-01": [5, -7], "2024-01-02": [2**63 - 1, 2], "2024-01-03": [-(2**63), -1], "2024-01-04": [None],
+            "2024-01-05": [2**63 - 1, 2**63 - 1, -(2**63), 1]}
+    df = spark.createDataFrame([(d, n) for d, numbers in days.items() for n in numbers], "dt string, n long")
+    found = dict(map(tuple, df.groupBy("dt").agg(ingest._check_sum(F.col("n"))).collect()))
+    signed = lambda n: (n + 2**63) % 2**64 - 2**63
+    assert found == {d: None if n == [None] else signed(sum(n)) for d, n in days.items()}
+
+
+def test_a_day_of_many_rows_has_a_checksum(spark, make_log):
+    log = make_log([(1, 2, 3, "2024-01-01 01:00:00", "click")]).withColumn("event_id", F.lit(2**62))
+    few, many = (ingest._per_day(log.join(spark.range(n), how="cross")).first() for n in (1, 200_000))
+    assert (few.rows, many.rows) == (1, 200_000)
+    assert few.id_sum == 2**62 and many.id_sum == 0  # 200,000 is divisible by four
+    assert 0 <= few.content < 2**48
+    assert many.content == (few.content * 200_000 + 2**63) % 2**64 - 2**63

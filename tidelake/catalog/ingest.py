@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 from datetime import date
+from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelake.catalog import standin as s
@@ -50,8 +51,18 @@ def _lake(spark: SparkSession, sf: str, name: str) -> str:
 _ROW = ("event_id", "user_id", "video_id", "at", "event_type", "llm_model", "cents")
 
 
+def _check_sum(number: Column) -> Column:
+    """The sum as a long: itself while it fits, else modulo 2**64, as a checksum of many rows must."""
+    half, whole = (F.lit(Decimal(1 << bits)) for bits in (63, 64))
+    return (F.pmod(F.sum(number.cast("decimal(38,0)")) + half, whole) - half).cast("long")
+
+
 def _per_day(df: DataFrame) -> DataFrame:
-    """Rows, ids and an order-free checksum of every column, per day."""
+    """Rows, ids and an order-free checksum of every column, per day.
+
+    A row's number has 48 bits, so some 65,000 rows a day leave 64. Both sums then wrap,
+    where the plain sums of the SQL are an error.
+    """
     at = F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at")
     cents = F.round(F.col("value") * 100).cast("long").alias("cents")
     spelt = df.select("dt", "event_id", "user_id", "video_id", at, "event_type", "llm_model", cents)
@@ -59,8 +70,8 @@ def _per_day(df: DataFrame) -> DataFrame:
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
     return spelt.groupBy("dt").agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum("event_id").alias("id_sum"),
-        F.sum(number).alias("content"),
+        _check_sum(F.col("event_id")).alias("id_sum"),
+        _check_sum(number).alias("content"),
     )
 
 
