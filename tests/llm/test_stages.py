@@ -462,3 +462,21 @@ def test_pipeline_takes_awkward_and_empty_tables(spark):
 def test_every_operator_has_a_query():
     assert sorted(QUERIES, key=lambda n: int(n.split("_")[0][2:])) == list(QUERIES)
     assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 14)]
+
+
+def test_near_stage_asks_the_pivot_tables(spark):
+    rng = random.Random(5)
+    values = [rng.getrandbits(64) for _ in range(40)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 9, 23, 24, 25, 26]))) for v in values]
+    fps = spark.createDataFrame([(simhash._long(v), 50) for v in values], "fp long, size int")
+    fps = fps.select("fp", "size", *simhash.distance_table(F.col("fp")))
+    for radius in (2, 24):
+        pairs = fps.alias("x").crossJoin(fps.alias("y")).filter(near_copies._screen("x", "y", radius, 0.8))
+        kept = {(a % 2**64, b % 2**64) for a, b in pairs.select("x.fp", "y.fp").collect()}
+        assert kept == {(a, b) for a in values for b in values if (a ^ b).bit_count() <= radius}
+    # a distance to a pivot that differs by more than the radius settles it, except for few shingles
+    far = fps.limit(1).withColumn("t0", F.lit(0).cast("long")).withColumn("size", F.explode(F.array(F.lit(50), F.lit(8))))
+    away = fps.limit(1).withColumn("t0", F.lit(25).cast("long")).withColumn("size", F.lit(50))
+    few = away.withColumn("size", F.lit(8))
+    met = far.alias("x").crossJoin(away.union(few).alias("y")).filter(near_copies._screen("x", "y", 24, 0.8))
+    assert [tuple(r) for r in met.select("x.size", "y.size").collect()] == [(8, 8)]
