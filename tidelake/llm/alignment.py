@@ -39,7 +39,8 @@ from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
 from tidelake.llm.common import ROW, packed, stored, text_slices
 
-CUT = re.compile("(?<=[!-~À-ÖØ-öø-ſ]) (?=[!-~À-ÖØ-öø-ſ])")
+#: A single space between two such characters; the space comes first, so that it is searched for as it stands.
+CUT = re.compile(" (?=[!-~À-ÖØ-öø-ſ])(?<=[!-~À-ÖØ-öø-ſ] )")
 BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 SPACE = "▁"
 #: Ids of B stay below this and those of A below twice this, so a pair fits into 31 bits.
@@ -135,8 +136,9 @@ class Aligner:
         data = "".join(spaced).encode()
         octets = np.frombuffer(data, np.uint8)
         places = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(data))
-        close = np.cumsum([len(s) for s in spaced])  # in characters
-        begin = close - [len(s) for s in spaced]
+        sizes = np.fromiter(map(len, spaced), np.int64, len(spaced))
+        close = np.cumsum(sizes)  # in characters
+        begin = close - sizes
 
         coded = self.a.encode(spaced, is_pretokenized=True, add_special_tokens=False)
         a_ids, a_of = coded.ids, np.array(coded.word_ids, np.int64)
@@ -145,10 +147,12 @@ class Aligner:
             stretches, return_type="offset_mapping", return_bytes=False, num_threads=1,
             add_bos=False, add_eos=False, enable_sampling=False,
         )
-        b_ids = [i for p in parts for i in p["ids"]]
-        b_of = np.repeat(np.arange(len(parts)), [len(p["ids"]) for p in parts])
-        b, b_spans = np.array(b_ids, np.int64), _pairs([x for p in parts for x in p["offsets"]]) + (begin + 1)[b_of, None]
-        if b"".join([self.a_bytes[i] for i in a_ids]) != data or b"".join([self.b_bytes[i] for i in b_ids]) != data:
+        ids_of = [p["ids"] for p in parts]
+        b_ids = list(chain.from_iterable(ids_of))
+        b_of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, ids_of), np.int64, len(parts)))
+        b, b_spans = np.array(b_ids, np.int64), _pairs(list(chain.from_iterable([p["offsets"] for p in parts]))) + (begin + 1)[b_of, None]
+        a_side, b_side = (b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
+        if a_side != data or b_side != data:
             return None
         a_last, b_last = (np.append(of[1:] != of[:-1], True) for of in (a_of, b_of))
         a_ends = byte_ends(a_spans, a_last, places, self.a_lengths[a])
@@ -172,7 +176,7 @@ class Aligner:
         order[a_at], order[b_at] = a, b
         mark[a_from + m + b_from - 1] = 1
         mark[a_from + m + b_from + n - 1] = np.where(final, 3, 2)
-        text = [self.shown[i] for i in (order + mark * self.ids).tolist()]
+        text = list(map(self.shown.__getitem__, (order + mark * self.ids).tolist()))
         till = np.append(0, (a_from + m + b_from + n)[final]).tolist()
 
         small = np.flatnonzero(m * n <= SMALL_GROUP)
@@ -189,33 +193,31 @@ class Aligner:
             pairs = np.append(pairs, (left[:, None] * B_IDS + right).ravel())
             times = np.append(times, (l_times[:, None] * r_times).ravel())
             owners = np.append(owners, np.full(len(left) * len(right), owner[g]))
-        by = np.argsort(owners, kind="stable")
-        pairs, times = pairs[by].astype("<i4"), times[by].astype("<i8")
-        upto = np.append(0, np.searchsorted(owners[by], np.arange(len(close)), side="right")).tolist()
+        if len(small) < len(m):
+            by = np.argsort(owners, kind="stable")
+            pairs, times, owners = pairs[by], times[by], owners[by]
+        pairs, times = pairs.astype("<i4").tobytes(), times.astype("<i8").tobytes()
+        upto = np.append(0, np.searchsorted(owners, np.arange(len(close)), side="right")).tolist()
         n_a = np.diff(np.searchsorted(a_ends, close, side="right"), prepend=0).tolist()
         n_b = np.diff(np.searchsorted(b_ends, close, side="right"), prepend=0).tolist()
-        return [
-            Stretch(n_a[i], n_b[i], "".join(text[till[i] : till[i + 1]]),
-                    pairs[upto[i] : upto[i + 1]].tobytes(), times[upto[i] : upto[i + 1]].tobytes())
-            for i in range(len(close))
-        ]
+        groups = ["".join(text[i:j]) for i, j in zip(till, till[1:])]
+        linked = [pairs[4 * i : 4 * j] for i, j in zip(upto, upto[1:])]
+        often = [times[8 * i : 8 * j] for i, j in zip(upto, upto[1:])]
+        return list(map(Stretch._make, zip(n_a, n_b, groups, linked, often)))
 
     def texts(self, texts: list[str]) -> list[list[Stretch] | None]:
         """The stretches of each text in order; None for a text of which a side does not give the bytes."""
         cut = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        have = [list(map(self.known.get, pieces)) for pieces in cut]
-        missing = {p for pieces, known in zip(cut, have) if not all(known) for p, s in zip(pieces, known) if s is None}
+        different = set().union(*cut)
+        missing = different.difference(self.known)
         new = {p: s for p in missing if (s := self.before.get(p))}
         new |= self.align([p for p in missing if p not in new])
+        here = {p: self.known[p] for p in different - missing} | new
         if len(self.known) >= REMEMBERED:
             self.known, self.before = {}, self.known
         self.known.update((p, s) for p, s in new.items() if s and len(p) <= SHORT)
-        found = []
-        for pieces, known in zip(cut, have):
-            if not all(known):
-                known = [s or new[p] for p, s in zip(pieces, known)]
-            found.append(known if all(known) else None)
-        return found
+        found = [list(map(here.__getitem__, pieces)) for pieces in cut]
+        return [stretches if all(stretches) else None for stretches in found]
 
 
 @lru_cache(maxsize=2)
