@@ -11,6 +11,7 @@ from tidelake.catalog import ORACLES, QUERIES
 QUERIES_OF_DAYS = (
     "canonical_scan",
     "partition_replace",
+    "raw_load",
 )
 
 
