@@ -12,6 +12,7 @@ QUERIES_OF_DAYS = (
     "canonical_scan",
     "partition_replace",
     "raw_load",
+    "raw_load_gaps",
 )
 
 
