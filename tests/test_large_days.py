@@ -13,6 +13,7 @@ QUERIES_OF_DAYS = (
     "partition_replace",
     "raw_load",
     "raw_load_gaps",
+    "stream_ingest",
 )
 
 
