@@ -8,6 +8,7 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -154,3 +155,24 @@ def test_empty_table(spark):
 def test_the_level_of_common_pairs(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([1, 1, 1, 2, 3, 4, 8, 9])], "pair int, n long")
     assert [alignment.common_from(counts, most) for most in (0, 1, 2, 3, 5, 8, 100)] == [16, 16, 8, 4, 2, 1, 1]
+
+
+def test_runs_of_texts_are_bounded_by_rows_and_bytes_and_lose_none():
+    texts = ["ä" * 30, None, "", "x" * 500, "y" * 10, None, *["z" * 40] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])
+    runs = [r.column("text").to_pylist() for r in alignment.together([batch.slice(0, 0), batch], rows=4, size=100)]
+    assert [t for run in runs for t in run] == texts
+    assert all(len(run) <= 4 and (len(run) == 1 or sum(len((t or "").encode()) for t in run) <= 100) for run in runs)
+    assert runs[:2] == [["ä" * 30, None, ""], ["x" * 500]] and len(runs) < len(texts)
+
+
+def test_stretches_without_times_meet_those_with_them():
+    big = "ab" * 300  # one group of more links than are written out
+    for texts in (["a b", big, f"a {big} b a"], [big], ["a b a b"]):
+        aligner = alignment.Aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+        plain = Plain()
+        for text, stretches in zip(texts, aligner.texts(texts)):
+            n_a, n_b, n_groups, n_links, _, pairs, times = alignment._record(stretches)
+            links = Counter(a * alignment.B_IDS + b for left, right in plain.groups(text) for a in left for b in right)
+            assert dict(zip(pairs.tolist(), times.tolist())) == links and n_links == links.total()
+            assert n_groups == len(plain.groups(text))

@@ -25,11 +25,12 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tokenizers
 from pyspark.sql import Column, DataFrame, Window
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
-from tidelake.llm.common import ROW, packed, stored, text_slices
+from tidelake.llm.common import ROW, packed, stored
 
 #: A single space between two such characters; the space comes first, so that it is searched for as it stands.
 CUT = re.compile(" (?=[!-~À-ÖØ-öø-ſ])(?<=[!-~À-ÖØ-öø-ſ] )")
@@ -47,6 +48,10 @@ SPACE = "▁"
 B_IDS = 32_768
 #: Stretches up to this length are remembered, at most twice so many at a time.
 SHORT, REMEMBERED = 48, 100_000
+#: Texts are read together up to so many rows and bytes, longer ones on their own.
+ROWS, TEXT_BYTES = 2_048, 4_000_000
+#: So many stretches are aligned at a time, as larger arrays leave the processor's caches.
+AT_ONCE = 8_000
 #: Groups up to so many links are written out as they stand, larger ones by different ids.
 SMALL_GROUP = 64
 #: Counts of so many most frequent pairs at most go to all executors; other pairs meet theirs by a shuffle.
@@ -55,7 +60,10 @@ _SEPARATORS = (",", "|", ";", "")
 
 
 class Stretch(NamedTuple):
-    """Tokens of each side, the groups as text, linked id pairs and how often each (32-bit numbers)."""
+    """Tokens of each side, the groups as text, linked id pairs and how often each (32 and 64-bit numbers).
+
+    Where every pair stands for one link ``times`` is empty.
+    """
 
     n_a: int
     n_b: int
@@ -184,7 +192,8 @@ class Aligner:
         of = np.repeat(small, links)
         inside = np.arange(len(of)) - np.repeat(np.cumsum(links) - links, links)
         pairs = a[a_from[of] + inside // n[of]] * B_IDS + b[b_from[of] + inside % n[of]]
-        times, owners = np.ones(len(pairs), np.int64), owner[of]
+        owners = owner[of]
+        times = np.ones(len(pairs) if len(small) < len(m) else 0, np.int64)
         for g in np.flatnonzero(m * n > SMALL_GROUP).tolist():
             (left, l_times), (right, r_times) = (
                 np.unique(ids[start : start + size], return_counts=True)
@@ -202,7 +211,7 @@ class Aligner:
         n_b = np.diff(np.searchsorted(b_ends, close, side="right"), prepend=0).tolist()
         groups = ["".join(text[i:j]) for i, j in zip(till, till[1:])]
         linked = [pairs[4 * i : 4 * j] for i, j in zip(upto, upto[1:])]
-        often = [times[8 * i : 8 * j] for i, j in zip(upto, upto[1:])]
+        often = [times[8 * i : 8 * j] for i, j in zip(upto, upto[1:])] if times else repeat(b"")
         return list(map(Stretch._make, zip(n_a, n_b, groups, linked, often)))
 
     def texts(self, texts: list[str]) -> list[list[Stretch] | None]:
@@ -211,7 +220,9 @@ class Aligner:
         different = set().union(*cut)
         missing = different.difference(self.known)
         new = {p: s for p in missing if (s := self.before.get(p))}
-        new |= self.align([p for p in missing if p not in new])
+        unknown = [p for p in missing if p not in new]
+        for start in range(0, len(unknown), AT_ONCE):
+            new |= self.align(unknown[start : start + AT_ONCE])
         here = {p: self.known[p] for p in different - missing} | new
         if len(self.known) >= REMEMBERED:
             self.known, self.before = {}, self.known
@@ -234,13 +245,34 @@ def _record(stretches: list[Stretch] | None) -> tuple:
         return 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
     n_a, n_b, parts, pairs, times = zip(*stretches)
     groups = ";".join(parts)
-    pairs, times = np.frombuffer(b"".join(pairs), "<i4"), np.frombuffer(b"".join(times), "<i8")
-    order = np.argsort(pairs)
-    pairs, times = pairs[order], times[order]
-    heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-    return (
-        sum(n_a), sum(n_b), groups.count(";") + 1, int(times.sum()), groups, pairs[heads], np.add.reduceat(times, heads),
-    )
+    if any(times):
+        ones = np.ones(1, "<i8").tobytes()
+        times = np.frombuffer(b"".join(t or ones * (len(p) // 4) for p, t in zip(pairs, times)), "<i8")
+        pairs = np.frombuffer(b"".join(pairs), "<i4")
+        order = np.argsort(pairs)
+        pairs, times = pairs[order], times[order]
+        heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        links, times = int(times.sum()), np.add.reduceat(times, heads)
+    else:
+        pairs = np.sort(np.frombuffer(b"".join(pairs), "<i4"))
+        heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+        links, times = len(pairs), np.diff(heads, append=len(pairs))
+    return sum(n_a), sum(n_b), groups.count(";") + 1, links, groups, pairs[heads], times
+
+
+def together(batches: Iterable[pa.RecordBatch], rows: int = ROWS, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into runs of at most so many rows and bytes of text, and at least one row.
+
+    The more texts a run holds, the more often its stretches repeat in it; the bytes bound the
+    Python objects that live at once.
+    """
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = before = 0
+        while start < batch.num_rows:
+            end = min(max(int(np.searchsorted(ends, before + size, side="right")), start + 1), start + rows, batch.num_rows)
+            yield batch.slice(start, end - start)
+            start, before = end, int(ends[end - 1])
 
 
 def aligned(docs: DataFrame, byte_level: str, model: str, text_col: str = "text", carry: list[Column] | None = None) -> DataFrame:
@@ -263,7 +295,7 @@ def aligned(docs: DataFrame, byte_level: str, model: str, text_col: str = "text"
         collecting = gc.isenabled()
         gc.disable()  # remembered stretches hold no cycles, and walking them costs a third of the time
         try:
-            for batch in text_slices(batches, 256):
+            for batch in together(batches):
                 found = [_record(s) for s in aligner.texts([t or "" for t in batch.column("text").to_pylist()])]
                 counts = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
                 lists = [pa.array([f[i] for f in found], kind) for i, kind in ((5, pa.list_(pa.int32())), (6, pa.list_(pa.int64())))]
