@@ -114,6 +114,9 @@ def in_ranges(scores: DataFrame, by: list[str], ranges: int) -> DataFrame:
     return cut_scores.withColumn("_range", below).drop("_cuts")
 
 
+_in_ranges = in_ranges
+
+
 def latest_candidate(versions: DataFrame) -> DataFrame:
     """Per model its ``champion`` and its ``candidate`` row, either of them NULL.
 
