@@ -176,3 +176,38 @@ def test_stretches_without_times_meet_those_with_them():
             links = Counter(a * alignment.B_IDS + b for left, right in plain.groups(text) for a in left for b in right)
             assert dict(zip(pairs.tolist(), times.tolist())) == links and n_links == links.total()
             assert n_groups == len(plain.groups(text))
+
+
+def test_pieces_of_many_texts_equal_the_pattern_text_by_text():
+    rng = random.Random(5)
+    letters = [*map(chr, range(0x20, 0x190)), *" " * 200, *"\n\t\u00a0\u2581\u3000中日\U0001f9ff"]
+    texts = [None, "", " ", "  ", "a", " a", "a ", "é é", " é ", "é"]
+    texts += ["".join(rng.choices(letters, k=rng.randrange(12))) for _ in range(3000)] + [f"{c} {d}" for c in letters[:368] for d in ("x", "×", "ſ", c)]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(texts, kind)
+        for part, want in ((column, texts), (column.slice(3, 900), texts[3:903]), (column.slice(0, 2), texts[:2])):
+            cut = [alignment.CUT.split(t) if t else [] for t in want]
+            pieces, held = alignment.pieces_of(part)
+            assert pieces.to_pylist() == [p for pieces in cut for p in pieces]
+            assert held.tolist() == [len(pieces) for pieces in cut]
+            whole, held = alignment.pieces_of(part, cuts=False)
+            assert whole.to_pylist() == [t for t in want if t] and held.tolist() == [int(bool(t)) for t in want]
+
+
+def test_what_is_remembered_is_bounded_and_changes_no_row(monkeypatch):
+    def fresh():
+        return alignment.Aligner(open(A, encoding="utf-8").read(), open(B, "rb").read())
+
+    rng = random.Random(7)
+    words = ["the", "a", "of", "Entwicklung", "▁", "a▁b", "été", "12", "ab" * 40, *map(str, range(30))]
+    runs = [[" ".join(rng.choices(words, k=rng.randrange(9))) for _ in range(20)] for _ in range(12)] + [["", ""], ["▁"], [""]]
+    whole = fresh()
+    want = [whole.texts(run) for run in runs]
+    monkeypatch.setattr(alignment, "REMEMBERED", 10)
+    monkeypatch.setattr(alignment, "SHORT", 5)
+    small = fresh()
+    for run, rows in zip(runs, want):
+        assert small.texts(run) == rows
+        assert len(small.known) == len(small.met) <= 10
+        assert all(len(p.encode()) <= 5 for p in small.known["text"].to_pylist())
+    assert len(whole.known) > 30 and not all(whole.known["ok"].to_pylist())

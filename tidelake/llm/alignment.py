@@ -9,8 +9,9 @@ text into groups, and every A token of a group is linked with every B token of i
 
 A text is read in stretches that end where both tokenizers must end a token: before a
 single space between two characters that neither takes for white space. A task aligns each
-different short stretch once and many at a time; what is left per text is to put
-stretches together. A model with a piece that crosses such a place gets whole texts.
+different short stretch once and many at a time, remembers them as Arrow rows, and puts the
+stretches of a run of texts together by whole columns. A model with a piece that crosses
+such a place gets whole texts.
 
 The installed sentencepiece has no immutable proto any more; its offset mapping holds the
 same spans.
@@ -25,8 +26,7 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
-from typing import NamedTuple
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +46,10 @@ BYTE_PIECE = re.compile("<0x([0-9A-F]{2})>")
 SPACE = "▁"
 #: Ids of B stay below this and those of A below twice this, so a pair fits into 31 bits.
 B_IDS = 32_768
-#: Stretches up to this length are remembered, at most twice so many at a time.
-SHORT, REMEMBERED = 48, 100_000
+#: Stretches up to so many bytes are remembered; beyond so many stretches the more frequent half stays.
+SHORT, REMEMBERED = 48, 300_000
 #: Texts are read together up to so many rows and bytes, longer ones on their own.
-ROWS, TEXT_BYTES = 2_048, 4_000_000
+ROWS, TEXT_BYTES = 10_000, 2_000_000
 #: So many stretches are aligned at a time, as larger arrays leave the processor's caches.
 AT_ONCE = 8_000
 #: Groups up to so many links are written out as they stand, larger ones by different ids.
@@ -57,19 +57,60 @@ SMALL_GROUP = 64
 #: Counts of so many most frequent pairs at most go to all executors; other pairs meet theirs by a shuffle.
 COMMON_PAIRS = 200_000
 _SEPARATORS = (",", "|", ";", "")
-
-
-class Stretch(NamedTuple):
-    """Tokens of each side, the groups as text, linked id pairs and how often each (32 and 64-bit numbers).
-
-    Where every pair stands for one link ``times`` is empty.
-    """
-
-    n_a: int
-    n_b: int
-    groups: str
-    pairs: bytes
-    times: bytes
+COUNTS = ("n_a", "n_b", "n_groups", "n_links")
+#: Aligned stretches: whether both sides give the bytes, counts, the groups as text, linked id pairs and how often each.
+STRETCHES = pa.schema([
+    ("text", pa.large_string()), ("ok", pa.bool_()), *((n, pa.int64()) for n in COUNTS),
+    ("groups", pa.large_string()), ("pairs", pa.large_list(pa.int32())), ("times", pa.large_list(pa.int64())),
+])
+
+
+def _beside_cuts() -> tuple[np.ndarray, np.ndarray]:
+    """Which two bytes after a space, and which two before it, let ``CUT`` cut there."""
+    after, before = np.zeros((2, 256, 256), bool)
+    for octets in (c.encode() for c in map(chr, range(0x800)) if CUT.search(f"! {c}")):
+        if len(octets) == 1:
+            after[octets[0], :] = before[:, octets[0]] = True
+        else:
+            after[octets[0], octets[1]] = before[octets[0], octets[1]] = True
+    return after, before
+
+
+_AFTER, _BEFORE = _beside_cuts()
+
+
+def pieces_of(texts: pa.Array, cuts: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The pieces ``CUT`` leaves of all texts, and how many each text has; empty and null texts have none."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    octets = np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    begins, ends = bounds[:-1], bounds[1:]
+    filled = ends > begins
+    at = np.flatnonzero(octets == 0x20) if cuts else np.zeros(0, np.int64)
+    edge = np.zeros(len(octets), bool)
+    edge[begins[filled]] = edge[ends[filled] - 1] = True
+    at = at[~edge[at]]  # both neighbours are of the same text
+    far = np.minimum(at + 2, len(octets) - 1)  # decides only where a character has two bytes, which are then there
+    at = at[_AFTER[octets[at + 1], octets[far]] & _BEFORE[octets[at - 2], octets[at - 1]]]
+    kept = np.ones(len(octets), bool)
+    kept[at] = False
+    sizes = np.sort(np.append(ends[filled], at)) - np.sort(np.append(begins[filled], at + 1))
+    pieces = _strings(np.append(0, np.cumsum(sizes)), octets[kept])
+    return pieces, np.diff(np.searchsorted(at, bounds)) + filled
+
+
+def _strings(bounds: np.ndarray, data: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data))
+
+
+def _taken(values: pa.Array, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen strings as one run of bytes, and where each begins and the last ends."""
+    found = values.take(pa.array(at))
+    _, offsets, data = found.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[found.offset : found.offset + len(found) + 1]
+    return bounds - bounds[0], np.frombuffer(data or b"", np.uint8)[bounds[0] : bounds[-1]]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -111,34 +152,34 @@ class Aligner:
         if len(self.b_bytes) > B_IDS or len(self.a_bytes) > 2 * B_IDS:
             raise ValueError(f"more than {2 * B_IDS} ids of A or {B_IDS} of B")
         self.a_lengths, self.b_lengths = (np.array([len(t) for t in side]) for side in (self.a_bytes, self.b_bytes))
+        self.a_spelt, self.b_spelt = (pa.array(side, pa.large_binary()) for side in (self.a_bytes, self.b_bytes))
         ids = max(len(self.a_bytes), len(self.b_bytes))
-        self.shown = [f"{i}{mark}" for mark in _SEPARATORS for i in range(ids)]
+        self.shown = pa.array([f"{i}{mark}" for mark in _SEPARATORS for i in range(ids)], pa.large_string())
         self.ids = ids
         spec = model.normalizer_spec
         self.cuts = (
             spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces
             and not spec.precompiled_charsmap and not any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces)
         )
-        self.known: dict[str, Stretch] = {}  # and, before, those of the last full turn
-        self.before: dict[str, Stretch] = {}
+        self.known = STRETCHES.empty_table()
+        self.met = np.zeros(0, np.int64)  # how often each known stretch was met
 
     def _piece(self, number: int, piece: str) -> bytes:
         octet = BYTE_PIECE.fullmatch(piece) if self.b.is_byte(number) else None
         return bytes([int(octet[1], 16)]) if octet else piece.replace(SPACE, " ").encode()
 
-    def align(self, stretches: list[str]) -> dict[str, Stretch | None]:
-        """Each stretch, read after a space; None where a side does not give its bytes."""
-        if not stretches:
-            return {}
+    def align(self, stretches: list[str]) -> list[pa.RecordBatch]:
+        """Each stretch, read after a space; not ok where a side does not give its bytes."""
         found = self._together(stretches)
-        if found:
-            return dict(zip(stretches, found))
+        if found is not None:
+            return [found]
         if len(stretches) == 1:
-            return {stretches[0]: None}
+            nothing = dict(text=stretches[0], ok=False, **dict.fromkeys(COUNTS, 0), groups="", pairs=[], times=[])
+            return [pa.RecordBatch.from_pylist([nothing], STRETCHES)]
         half = len(stretches) // 2
-        return self.align(stretches[:half]) | self.align(stretches[half:])
+        return self.align(stretches[:half]) + self.align(stretches[half:])
 
-    def _together(self, stretches: list[str]) -> list[Stretch] | None:
+    def _together(self, stretches: list[str]) -> pa.RecordBatch | None:
         """All stretches as one text in which each begins with its space; None if any bytes differ."""
         spaced = [" " + s for s in stretches]
         data = "".join(spaced).encode()
@@ -149,27 +190,28 @@ class Aligner:
         begin = close - sizes
 
         coded = self.a.encode(spaced, is_pretokenized=True, add_special_tokens=False)
-        a_ids, a_of = coded.ids, np.array(coded.word_ids, np.int64)
-        a, a_spans = np.array(a_ids, np.int64), _pairs(coded.offsets) + begin[a_of, None]
+        a_of = np.array(coded.word_ids, np.int64)
+        a, a_spans = np.array(coded.ids, np.int64), _pairs(coded.offsets) + begin[a_of, None]
         parts = self.b.encode(
             stretches, return_type="offset_mapping", return_bytes=False, num_threads=1,
             add_bos=False, add_eos=False, enable_sampling=False,
         )
         ids_of = [p["ids"] for p in parts]
-        b_ids = list(chain.from_iterable(ids_of))
         b_of = np.repeat(np.arange(len(parts)), np.fromiter(map(len, ids_of), np.int64, len(parts)))
-        b, b_spans = np.array(b_ids, np.int64), _pairs(list(chain.from_iterable([p["offsets"] for p in parts]))) + (begin + 1)[b_of, None]
-        a_side, b_side = (b"".join(map(t.__getitem__, ids)) for t, ids in ((self.a_bytes, a_ids), (self.b_bytes, b_ids)))
-        if a_side != data or b_side != data:
+        b = np.fromiter(chain.from_iterable(ids_of), np.int64, len(b_of))
+        b_spans = _pairs(list(chain.from_iterable([p["offsets"] for p in parts]))) + (begin + 1)[b_of, None]
+        if not all(np.array_equal(_taken(spelt, ids)[1], octets) for spelt, ids in ((self.a_spelt, a), (self.b_spelt, b))):
             return None
         a_last, b_last = (np.append(of[1:] != of[:-1], True) for of in (a_of, b_of))
         a_ends = byte_ends(a_spans, a_last, places, self.a_lengths[a])
         b_ends = byte_ends(b_spans, b_last, places, self.b_lengths[b])
         if not (np.array_equal(a_ends[a_last], places[close]) and np.array_equal(b_ends[b_last], places[close])):
             return None
-        return self._cut(a, a_ends, b, b_ends, places[close])
+        columns = self._cut(a, a_ends, b, b_ends, places[close])
+        return pa.RecordBatch.from_arrays([pa.array(stretches, pa.large_string()), *columns], schema=STRETCHES)
 
-    def _cut(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, close: np.ndarray) -> list[Stretch]:
+    def _cut(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, close: np.ndarray) -> list[pa.Array]:
+        """The columns of ``STRETCHES`` after the text."""
         common = np.intersect1d(a_ends, b_ends, assume_unique=True)
         a_group, b_group = np.searchsorted(common, a_ends), np.searchsorted(common, b_ends)
         m, n = np.bincount(a_group), np.bincount(b_group)
@@ -184,8 +226,8 @@ class Aligner:
         order[a_at], order[b_at] = a, b
         mark[a_from + m + b_from - 1] = 1
         mark[a_from + m + b_from + n - 1] = np.where(final, 3, 2)
-        text = list(map(self.shown.__getitem__, (order + mark * self.ids).tolist()))
-        till = np.append(0, (a_from + m + b_from + n)[final]).tolist()
+        bounds, text = _taken(self.shown, order + mark * self.ids)
+        groups = _strings(bounds[np.append(0, (a_from + m + b_from + n)[final])], text)
 
         small = np.flatnonzero(m * n <= SMALL_GROUP)
         links = (m * n)[small]
@@ -193,7 +235,7 @@ class Aligner:
         inside = np.arange(len(of)) - np.repeat(np.cumsum(links) - links, links)
         pairs = a[a_from[of] + inside // n[of]] * B_IDS + b[b_from[of] + inside % n[of]]
         owners = owner[of]
-        times = np.ones(len(pairs) if len(small) < len(m) else 0, np.int64)
+        times = np.ones(len(pairs), np.int64)
         for g in np.flatnonzero(m * n > SMALL_GROUP).tolist():
             (left, l_times), (right, r_times) = (
                 np.unique(ids[start : start + size], return_counts=True)
@@ -205,30 +247,82 @@ class Aligner:
         if len(small) < len(m):
             by = np.argsort(owners, kind="stable")
             pairs, times, owners = pairs[by], times[by], owners[by]
-        pairs, times = pairs.astype("<i4").tobytes(), times.astype("<i8").tobytes()
-        upto = np.append(0, np.searchsorted(owners, np.arange(len(close)), side="right")).tolist()
-        n_a = np.diff(np.searchsorted(a_ends, close, side="right"), prepend=0).tolist()
-        n_b = np.diff(np.searchsorted(b_ends, close, side="right"), prepend=0).tolist()
-        groups = ["".join(text[i:j]) for i, j in zip(till, till[1:])]
-        linked = [pairs[4 * i : 4 * j] for i, j in zip(upto, upto[1:])]
-        often = [times[8 * i : 8 * j] for i, j in zip(upto, upto[1:])] if times else repeat(b"")
-        return list(map(Stretch._make, zip(n_a, n_b, groups, linked, often)))
-
-    def texts(self, texts: list[str]) -> list[list[Stretch] | None]:
-        """The stretches of each text in order; None for a text of which a side does not give the bytes."""
-        cut = [(CUT.split(t) if self.cuts else [t]) if t else [] for t in texts]
-        different = set().union(*cut)
-        missing = different.difference(self.known)
-        new = {p: s for p in missing if (s := self.before.get(p))}
-        unknown = [p for p in missing if p not in new]
-        for start in range(0, len(unknown), AT_ONCE):
-            new |= self.align(unknown[start : start + AT_ONCE])
-        here = {p: self.known[p] for p in different - missing} | new
-        if len(self.known) >= REMEMBERED:
-            self.known, self.before = {}, self.known
-        self.known.update((p, s) for p, s in new.items() if s and len(p) <= SHORT)
-        found = [list(map(here.__getitem__, pieces)) for pieces in cut]
-        return [stretches if all(stretches) else None for stretches in found]
+        upto = np.append(0, np.searchsorted(owners, np.arange(len(close)), side="right"))
+        n_a = np.diff(np.searchsorted(a_ends, close, side="right"), prepend=0)
+        n_b = np.diff(np.searchsorted(b_ends, close, side="right"), prepend=0)
+        n_groups = np.diff(np.flatnonzero(final), prepend=-1)
+        n_links = np.diff(np.cumsum(m * n)[final], prepend=0)
+        return [
+            pa.array(np.ones(len(close), bool)), *map(pa.array, (n_a, n_b, n_groups, n_links)), groups,
+            pa.LargeListArray.from_arrays(pa.array(upto), pa.array(pairs.astype(np.int32))),
+            pa.LargeListArray.from_arrays(pa.array(upto), pa.array(times)),
+        ]
+
+    def _rows(self, different: pa.Array) -> tuple[pa.Table, np.ndarray]:
+        """A table of aligned stretches, known ones first, and the row of each different one."""
+        at = pc.index_in(different, value_set=self.known["text"].combine_chunks())
+        missing = at.is_null().to_numpy(zero_copy_only=False)
+        unknown = different.filter(pa.array(missing)).to_pylist()
+        rows = pc.fill_null(at, -1).to_numpy().astype(np.int64)
+        rows[missing] = len(self.known) + np.arange(len(unknown))
+        new = [b for start in range(0, len(unknown), AT_ONCE) for b in self.align(unknown[start : start + AT_ONCE])]
+        return pa.concat_tables([self.known, pa.Table.from_batches(new, STRETCHES)]).combine_chunks(), rows
+
+    def _remember(self, table: pa.Table, met: np.ndarray) -> None:
+        """Keep the short stretches, and of too many the half that was met most; older meetings count less."""
+        keep = np.flatnonzero(pc.less_equal(pc.binary_length(table["text"]), SHORT).to_numpy())
+        if len(keep) > REMEMBERED:
+            most = np.argpartition(met[keep], len(keep) - REMEMBERED // 2)[len(keep) - REMEMBERED // 2 :]
+            keep = np.sort(keep[most])
+            met = met // 2
+        if len(keep) < len(table):
+            table, met = table.take(pa.array(keep)).combine_chunks(), met[keep]
+        self.known, self.met = table, met
+
+    def aligned(self, texts: pa.Array) -> list[pa.Array]:
+        """The columns of ``FIELDS`` for texts of a few megabytes together, or one long text."""
+        pieces, held = pieces_of(texts, self.cuts)
+        coded = pieces.dictionary_encode()
+        table, rows = self._rows(coded.dictionary)
+        of = rows[coded.indices.to_numpy()]  # the table's row of every piece
+        met = np.bincount(of, minlength=len(table))
+        met[: len(self.met)] += self.met
+        self._remember(table, met)
+
+        text = np.repeat(np.arange(len(held)), held)
+        wrong = np.zeros(len(held), bool)
+        wrong[text[~table["ok"].to_numpy()[of]]] = True
+        if wrong.any():
+            of, text, held = of[~wrong[text]], text[~wrong[text]], np.where(wrong, 0, held)
+        upto = np.append(0, np.cumsum(held))
+        counts = [np.diff(np.append(0, np.cumsum(table[n].to_numpy()[of]))[upto]) for n in COUNTS]
+        groups = pa.LargeListArray.from_arrays(pa.array(upto), table["groups"].combine_chunks().take(pa.array(of)))
+        pairs, times, bounds = self._linked(table, of, text, len(held))
+        return [
+            *map(pa.array, counts), pc.binary_join(groups, pa.scalar(";", pa.large_string())).cast(pa.string()),
+            *(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v)) for v in (pairs, times)),
+        ]
+
+    def _linked(self, table: pa.Table, of: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The different pairs of each text in order, how many links each has, and where each text's begin."""
+        lists = table["pairs"].combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy()[of]
+        every = (np.repeat(text, sizes) << 31) + lists.take(pa.array(of)).flatten().to_numpy()
+        times = table["times"].combine_chunks()
+        often = None
+        if (times.flatten().to_numpy() == 1).all():
+            every.sort()
+        else:
+            order = np.argsort(every)
+            every, often = every[order], times.take(pa.array(of)).flatten().to_numpy()[order]
+        heads = np.flatnonzero(np.diff(every, prepend=-1))
+        links = np.diff(heads, append=len(every)) if often is None or not len(heads) else np.add.reduceat(often, heads)
+        every = every[heads]
+        return (every & 0x7FFFFFFF).astype(np.int32), links, np.searchsorted(every, np.arange(texts + 1) << 31)
+
+    def texts(self, texts: list[str]) -> list[tuple]:
+        """The values of ``FIELDS`` for each text."""
+        return list(zip(*(column.to_pylist() for column in self.aligned(pa.array(texts, pa.large_string())))))
 
 
 @lru_cache(maxsize=2)
@@ -240,31 +334,16 @@ def _aligner(byte_level: str, proto: bytes) -> Aligner:
 FIELDS = "n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<int>, times array<long>"
 
 
-def _record(stretches: list[Stretch] | None) -> tuple:
-    if not stretches:
-        return 0, 0, 0, 0, "", np.zeros(0, np.int32), np.zeros(0, np.int64)
-    n_a, n_b, parts, pairs, times = zip(*stretches)
-    groups = ";".join(parts)
-    if any(times):
-        ones = np.ones(1, "<i8").tobytes()
-        times = np.frombuffer(b"".join(t or ones * (len(p) // 4) for p, t in zip(pairs, times)), "<i8")
-        pairs = np.frombuffer(b"".join(pairs), "<i4")
-        order = np.argsort(pairs)
-        pairs, times = pairs[order], times[order]
-        heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-        links, times = int(times.sum()), np.add.reduceat(times, heads)
-    else:
-        pairs = np.sort(np.frombuffer(b"".join(pairs), "<i4"))
-        heads = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-        links, times = len(pairs), np.diff(heads, append=len(pairs))
-    return sum(n_a), sum(n_b), groups.count(";") + 1, links, groups, pairs[heads], times
+def _record(values: tuple) -> tuple:
+    """One text's values with the lists as arrays."""
+    return *values[:5], np.array(values[5], np.int32), np.array(values[6], np.int64)
 
 
 def together(batches: Iterable[pa.RecordBatch], rows: int = ROWS, size: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into runs of at most so many rows and bytes of text, and at least one row.
 
-    The more texts a run holds, the more often its stretches repeat in it; the bytes bound the
-    Python objects that live at once.
+    The more texts a run holds, the more often its stretches repeat in it; the bytes bound what
+    is held of it at once.
     """
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -293,14 +372,11 @@ def aligned(docs: DataFrame, byte_level: str, model: str, text_col: str = "text"
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*shared.value)
         collecting = gc.isenabled()
-        gc.disable()  # remembered stretches hold no cycles, and walking them costs a third of the time
+        gc.disable()  # the encoders' lists hold no cycles, and walking them takes time
         try:
             for batch in together(batches):
-                found = [_record(s) for s in aligner.texts([t or "" for t in batch.column("text").to_pylist()])]
-                counts = [pa.array([f[i] for f in found], pa.int64()) for i in range(4)]
-                lists = [pa.array([f[i] for f in found], kind) for i, kind in ((5, pa.list_(pa.int32())), (6, pa.list_(pa.int64())))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(ROW), *counts, pa.array([f[4] for f in found], pa.string()), *lists],
+                    [batch.column(ROW), *aligner.aligned(batch.column("text"))],
                     names=[ROW, "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"],
                 )
         finally:
